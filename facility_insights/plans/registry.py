@@ -702,3 +702,147 @@ def q_clean_facility(spark, sf_dir):
 @register("clean_usage", Q.with_shapes(f"SELECT * FROM ({Q.clean_usage(with_empty=False)})", "usage_raw"))
 def q_clean_usage(spark, sf_dir):
     return r6(jobs.drop_empty_usage_columns(jobs.clean_usage(sh.usage_raw(spark, sf_dir))))
+
+
+# --------------------------------------------------------------------------------------------
+# D4. Radius self-join and nearest distance
+# --------------------------------------------------------------------------------------------
+
+_GEO_SQL = Q.with_all(
+    Q.radius_ctes("geo_points"),
+    "SELECT p.ccn, g.n_win_30, g.n_win_60, g.n_win_90, {nearest} FROM geo_points p JOIN g_gf g ON p.lat = g.lat AND p.lng = g.lng",
+    "geo_points",
+)
+
+
+@register("radius_counts", _GEO_SQL.replace("{nearest}", "CAST(g.n_win_30 <= g.n_win_60 AND g.n_win_60 <= g.n_win_90 AS INTEGER) AS monotone"))
+def q_radius_counts(spark, sf_dir):
+    from ..operators import geo
+
+    pts = sh.geo_points(spark, sf_dir)
+    places = geo.place_weights(pts)
+    feats = geo.place_features(places, nearest=False).drop("w")
+    out = pts.join(feats, ["lat", "lng"])
+    mono = ((F.col("n_win_30") <= F.col("n_win_60")) & (F.col("n_win_60") <= F.col("n_win_90"))).cast("int")
+    return out.select("ccn", "n_win_30", "n_win_60", "n_win_90", mono.alias("monotone"))
+
+
+@register("nearest_distance", _GEO_SQL.replace("g.n_win_30, g.n_win_60, g.n_win_90, {nearest}", "round(g.nearest, 6) AS nearest"))
+def q_nearest_distance(spark, sf_dir):
+    from ..operators import geo
+
+    pts = sh.geo_points(spark, sf_dir)
+    feats = geo.place_features(geo.place_weights(pts)).select("lat", "lng", "nearest")
+    return r6(pts.join(feats, ["lat", "lng"]).select("ccn", "nearest"))
+
+
+# --------------------------------------------------------------------------------------------
+# P6. Full feature table, E6 variable summary
+# --------------------------------------------------------------------------------------------
+
+OWNERSHIP_LEVELS = ["Combination Government & Non-Profit", "For-Profit", "Government", "Non-Profit", "Other"]
+CARE_LEVELS = ["Missing", "No", "Yes"]
+
+
+def _features_sql() -> str:
+    stems = S.SURVEY_STEMS
+    tot = " + ".join(f"coalesce({c}, 0)" for c in S.DEMOGRAPHIC_COLUMNS)
+    demo = ", ".join(f"CASE WHEN {tot} > 95 THEN coalesce({c}, 0) ELSE {c} END AS {c}" for c in S.DEMOGRAPHIC_COLUMNS)
+    keep = [c for c in Q.MERGED_COLUMNS if c not in S.DEMOGRAPHIC_COLUMNS and c not in ("ownership", "care_home")]
+    f1 = (
+        "f1 AS (SELECT " + ", ".join(f"m.{Q.q(c)}" for c in keep) + ", m.ownership, coalesce(m.care_home, 'Missing') AS care_home, "
+        + demo + ", 100 - m.perc_white AS perc_nonwhite, g.n_win_30, g.n_win_60, g.n_win_90, g.nearest, "
+        "total_charge / nullif(distinct_bens, 0) AS total_charge_pb, nurse_visit_ct / nullif(distinct_bens, 0) AS nurse_visit_ct_pb, "
+        "(total_charge - nurse_visit_ct) / nullif(distinct_bens, 0) AS charge_less_visits_pb, "
+        + ", ".join(f"{s}_TBV / (1 + 0.01 * {s}_BBV) AS {s}_ADJ" for s in stems) + ", "
+        + f"{_RE} AS RATING_EST, "
+        + ", ".join(f"{s}_BBV / nullif({s}_TBV, 0) AS {s}_BTR_RAW" for s in stems) + ", "
+        + "EMO_REL_TBV AS MANAGED_EMO_REL, " + ", ".join(f"{s}_TBV + {s}_MBV AS MANAGED_{s}" for s in S.MANAGED_STEMS) + ", "
+        + "CAST(coalesce(CAST(m.ownership = 'For-Profit' AS INTEGER), 0) AS INTEGER) AS for_profit, "
+        + f"{_WR} AS would_recommend "
+        "FROM merged m LEFT JOIN g_gf g ON m.lat = g.lat AND m.lng = g.lng)"
+    )
+    st = "st AS (SELECT " + ", ".join(f"min({s}_BTR_RAW) AS mn_{s}, max({s}_BTR_RAW) AS mx_{s}" for s in stems) + " FROM f1)"
+    dummies = [(f"ownership_{v}", f"CAST(coalesce(CAST(ownership = '{v}' AS INTEGER), 0) AS INTEGER)") for v in OWNERSHIP_LEVELS]
+    dummies += [(f"care_home_{v}", f"CAST(coalesce(CAST(care_home = '{v}' AS INTEGER), 0) AS INTEGER)") for v in CARE_LEVELS]
+    ints = {"days_operation", "n_win_30", "n_win_60", "n_win_90", "for_profit"}
+    text = {"ccn", "name", "address", "city", "state", "zip", "county"}
+    plain = keep + list(S.DEMOGRAPHIC_COLUMNS) + ["perc_nonwhite"] + Q.GEO_OUT + [
+        "total_charge_pb", "nurse_visit_ct_pb", "charge_less_visits_pb"
+    ] + [f"{s}_ADJ" for s in stems] + ["RATING_EST", "MANAGED_EMO_REL"] + [f"MANAGED_{s}" for s in S.MANAGED_STEMS] + [
+        "for_profit", "would_recommend"
+    ]
+    sel = [Q.q(c) if (c in ints or c in text) else f"{R(Q.q(c))} AS {Q.q(c)}" for c in plain]
+    sel += [
+        R(f"1 - ({s}_BTR_RAW - mn_{s}) / (CASE WHEN mx_{s} - mn_{s} = 0 THEN 1 ELSE mx_{s} - mn_{s} END)") + f" AS {s}_BTR" for s in stems
+    ]
+    sel += [f"{e} AS {Q.q(n)}" for n, e in dummies]
+    return Q.radius_ctes("merged") + ",\n" + f1 + ",\n" + st, "SELECT " + ", ".join(sel) + " FROM f1 CROSS JOIN st"
+
+
+_FEAT_CTES, _FEAT_SELECT = _features_sql()
+
+
+def features_table(spark, sf_dir) -> DataFrame:
+    return jobs.all_features(merged(spark, sf_dir), dummy_levels={"ownership": OWNERSHIP_LEVELS, "care_home": CARE_LEVELS})
+
+
+@register("all_features", _merged_sql(_FEAT_SELECT, _FEAT_CTES))
+def q_all_features(spark, sf_dir):
+    return r6(flat_geo(features_table(spark, sf_dir)))
+
+
+def _variable_summary_parts():
+    flat = [c for c in Q.MERGED_COLUMNS if c != "ccn"]
+    sources = [
+        ("survey", list(S.SURVEY_CODES)),
+        ("provider", [c for c in S.PROVIDER_ID_COLUMNS if c != "ccn"] + S.PROVIDER_FLOATS + ["lat", "lng"]),
+        ("facility", ["ownership", "care_home", "days_operation"]),
+        ("usage", [m for m in S.USAGE_MEASURES] + list(S.DEMOGRAPHIC_COLUMNS)),
+    ]
+    descriptions = [("provider", S.PROVIDER_DESCRIPTIONS), ("survey", S.SURVEY_DESCRIPTIONS), ("usage", S.USAGE_DESCRIPTIONS)]
+    return flat, sources, descriptions
+
+
+def _variable_summary_sql() -> str:
+    flat, sources, descriptions = _variable_summary_parts()
+
+    def src(v):
+        for name, cols in sources:
+            if v in cols:
+                return name
+        return sources[-1][0]
+
+    def desc(v):
+        for _, d in descriptions:
+            if v in d:
+                return d[v]
+        return ""
+
+    rows = " UNION ALL ".join(
+        f"SELECT '{v}' AS variable, {i} AS position, '{src(v)}' AS source, '{desc(v).replace(chr(39), chr(39) * 2)}' AS description, "
+        + R(f"avg(CASE WHEN {Q.q(v)} IS NULL THEN 1.0 ELSE 0.0 END)") + " AS TOTAL, "
+        + ", ".join(
+            R(f"avg(CASE WHEN {t} IS NOT NULL THEN (CASE WHEN {Q.q(v)} IS NULL THEN 1.0 ELSE 0.0 END) END)") + f" AS {t}"
+            for t in S.SENTIMENT_COLUMNS
+        )
+        + " FROM merged"
+        for i, v in enumerate(flat)
+    )
+    return _merged_sql(rows)
+
+
+@register("variable_summary", _variable_summary_sql())
+def q_variable_summary(spark, sf_dir):
+    m = flat_geo(merged(spark, sf_dir))
+    flat, sources, descriptions = _variable_summary_parts()
+    return r6(profile_variable_summary(spark, m, flat, sources, descriptions))
+
+
+def profile_variable_summary(spark, m: DataFrame, columns, sources, descriptions) -> DataFrame:
+    """E6: catalog (D6) ⋈ TOTAL missing fraction (E4) ⋈ conditional matrix (E5); one pass over
+    the merged table for all the fractions (it is persisted by the caller when reused)."""
+    catalog = merge.variable_catalog(spark, sources, descriptions, columns)
+    total = profile.missing_profile(m, columns, "TOTAL")
+    cond = profile.missing_matrix_wide(m, columns, S.SENTIMENT_COLUMNS)
+    return catalog.join(total, "variable").join(cond, "variable")

@@ -153,3 +153,19 @@ def with_all(body_ctes: str, select: str, *names: str) -> str:
     """Shapes + extra CTEs + final select."""
     ctes = ",\n".join([f"{n} AS ({SHAPE_SQL[n]})" for n in names] + ([body_ctes] if body_ctes else []))
     return f"WITH {ctes}\n{select}"
+
+
+GEO_OUT = ["n_win_30", "n_win_60", "n_win_90", "nearest"]
+
+
+def radius_ctes(src: str, prefix: str = "g") -> str:
+    """Brute-force radius counts and nearest distance over distinct places of ``src`` (lat, lng)."""
+    d = haversine("a.lat", "a.lng", "b.lat", "b.lng")
+    return f"""{prefix}_pl AS (SELECT lat, lng, count(*) AS w FROM {src} WHERE lat IS NOT NULL AND lng IS NOT NULL GROUP BY lat, lng),
+{prefix}_pd AS (SELECT a.lat, a.lng, b.w, {d} AS d FROM {prefix}_pl a JOIN {prefix}_pl b ON NOT (a.lat = b.lat AND a.lng = b.lng)),
+{prefix}_pa AS (SELECT lat, lng, sum(CASE WHEN d < 30 THEN w ELSE 0 END) AS n30, sum(CASE WHEN d < 60 THEN w ELSE 0 END) AS n60,
+                sum(CASE WHEN d < 90 THEN w ELSE 0 END) AS n90, min(d) AS mind FROM {prefix}_pd GROUP BY lat, lng),
+{prefix}_gf AS (SELECT p.lat, p.lng, CAST(coalesce(a.n30, 0) + p.w - 1 AS BIGINT) AS n_win_30,
+                CAST(coalesce(a.n60, 0) + p.w - 1 AS BIGINT) AS n_win_60, CAST(coalesce(a.n90, 0) + p.w - 1 AS BIGINT) AS n_win_90,
+                CASE WHEN p.w > 1 THEN 0.0 ELSE a.mind END AS nearest
+                FROM {prefix}_pl p LEFT JOIN {prefix}_pa a ON p.lat = a.lat AND p.lng = a.lng)"""

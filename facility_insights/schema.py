@@ -107,3 +107,16 @@ FEATURE_LABELS = {
     "x3": "Order Value (thousands)",
     "x4": "Key Pattern Score",
 }
+
+# Data dictionaries used for the variable catalog (variable -> description), by source.
+SURVEY_BIN_NAMES = {"BBV": "bottom box", "MBV": "middle box", "TBV": "top box"}
+SURVEY_DESCRIPTIONS = {f"{s}_{b}": f"{s.replace('_', ' ').title()} - {n} percent" for s in SURVEY_STEMS for b, n in SURVEY_BIN_NAMES.items()}
+PROVIDER_DESCRIPTIONS = {
+    "Average_Daily_Census": "Average daily census",
+    "H_001_01_OBSERVED": "Treatment preferences observed percent",
+    "H_002_01_OBSERVED": "Beliefs and values addressed observed percent",
+    "Pct_Pts_w_Cancer": "Percent of patients with cancer",
+    "name": "Facility name",
+    "state": "State",
+}
+USAGE_DESCRIPTIONS = {v: k for k, v in USAGE_DICTIONARY.items()}
