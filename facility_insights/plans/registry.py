@@ -846,3 +846,235 @@ def profile_variable_summary(spark, m: DataFrame, columns, sources, descriptions
     total = profile.missing_profile(m, columns, "TOTAL")
     cond = profile.missing_matrix_wide(m, columns, S.SENTIMENT_COLUMNS)
     return catalog.join(total, "variable").join(cond, "variable")
+
+
+# --------------------------------------------------------------------------------------------
+# J. Sampling, transformers, kNN, models
+# --------------------------------------------------------------------------------------------
+
+from ..models import regress  # noqa: E402
+from ..models.scaler import NullAwareStandardScaler  # noqa: E402
+from ..operators import knn, sampling  # noqa: E402
+
+_X = S.FEATURES_NUM
+_SPLIT_SQL = (
+    "SELECT *, CASE WHEN row_number() OVER (PARTITION BY state ORDER BY md5(ccn || '|42')) <= "
+    "(CASE WHEN count(*) OVER (PARTITION BY state) <= 1 THEN 0 ELSE ceil(0.33 * count(*) OVER (PARTITION BY state)) END) "
+    "THEN 'test' ELSE 'train' END AS part FROM features_num"
+)
+
+
+def split_table(spark, sf_dir) -> DataFrame:
+    return sampling.stratified_split(sh.features_num(spark, sf_dir), "state", "ccn")
+
+
+@register("stratified_split", Q.with_all(f"sp AS ({_SPLIT_SQL})", "SELECT ccn, state, part FROM sp", "features_num"))
+def q_stratified_split(spark, sf_dir):
+    return split_table(spark, sf_dir).select("ccn", "state", "part")
+
+
+@register(
+    "select_xy",
+    Q.with_all(f"sp AS ({_SPLIT_SQL})", "SELECT ccn, x1, x2, y1 FROM sp WHERE part = 'train' AND y1 IS NOT NULL", "features_num"),
+)
+def q_select_xy(spark, sf_dir):
+    sp = split_table(spark, sf_dir)
+    return r6(sampling.select_xy(sp, (F.col("part") == "train") & F.col("y1").isNotNull(), ["ccn", "x1", "x2"], "y1"))
+
+
+def _scale_sql(inverse: bool = False) -> str:
+    stats = ", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in _X)
+    if inverse:
+        cols = ", ".join(f"{R(f'(({c} - m_{c}) / s_{c}) * s_{c} + m_{c}')} AS {c}" for c in _X)
+    else:
+        cols = ", ".join(f"{R(f'({c} - m_{c}) / s_{c}')} AS {c}" for c in _X)
+    return Q.with_all(
+        f"sp AS ({_SPLIT_SQL}), st AS (SELECT {stats} FROM sp WHERE part = 'train')",
+        f"SELECT ccn, {cols} FROM sp CROSS JOIN st",
+        "features_num",
+    )
+
+
+def fitted_scaler(spark, sf_dir):
+    sp = split_table(spark, sf_dir)
+    model = NullAwareStandardScaler(inputCols=_X).fit(sp.where(F.col("part") == "train"))
+    return sp, model
+
+
+@register("standard_scale", _scale_sql())
+def q_standard_scale(spark, sf_dir):
+    sp, model = fitted_scaler(spark, sf_dir)
+    return r6(model.transform(sp).select("ccn", *_X))
+
+
+@register("inverse_scale", _scale_sql(inverse=True))
+def q_inverse_scale(spark, sf_dir):
+    sp, model = fitted_scaler(spark, sf_dir)
+    return r6(model.inverse(model.transform(sp)).select("ccn", *_X))
+
+
+@register(
+    "reverse_minmax",
+    Q.with_all(
+        "st AS (SELECT " + ", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in _X) + " FROM features_num)",
+        "SELECT ccn, "
+        + ", ".join(R(f"1 - ({c} - mn_{c}) / (CASE WHEN mx_{c} - mn_{c} = 0 THEN 1 ELSE mx_{c} - mn_{c} END)") + f" AS {c}" for c in _X)
+        + " FROM features_num CROSS JOIN st",
+        "features_num",
+    ),
+)
+def q_reverse_minmax(spark, sf_dir):
+    return r6(features.reverse_minmax(sh.features_num(spark, sf_dir).select("ccn", *_X), _X))
+
+
+def _knn_pairs_sql(features, src_q: str, src_d: str, group_cols) -> str:
+    """Brute-force candidate pairs with the NaN-aware distance (oracle only)."""
+    p = len(features)
+    shared = " + ".join(f"(CASE WHEN q.{c} IS NOT NULL AND d.{c} IS NOT NULL THEN 1 ELSE 0 END)" for c in features)
+    ss = " + ".join(f"coalesce(pow(q.{c} - d.{c}, 2), 0)" for c in features)
+    grp = ", ".join(group_cols)
+    return (
+        f"dg AS (SELECT *, min(ccn) OVER (PARTITION BY {grp}) AS gk FROM {src_d}), "
+        f"pr AS (SELECT q.ccn AS qk, d.ccn AS dk, d.gk, " + ", ".join(f"d.{c} AS d_{c}" for c in group_cols)
+        + f", {shared} AS sh, {ss} AS ss FROM {src_q} q JOIN dg d ON ({shared}) > 0), "
+        f"pd AS (SELECT *, sqrt({float(p)} / sh * ss) AS dist FROM pr)"
+    )
+
+
+def _knn_impute_sql(k: int = S.KNN_IMPUTE_K) -> str:
+    items = " UNION ALL ".join(
+        f"SELECT pd.qk, '{c}' AS target, pd.d_{c} AS tv, pd.dist, pd.gk, pd.dk FROM pd JOIN q ON pd.qk = q.ccn "
+        f"WHERE q.{c} IS NULL AND pd.d_{c} IS NOT NULL"
+        for c in _X
+    )
+    ctes = (
+        "q AS (SELECT * FROM features_num WHERE " + " OR ".join(f"{c} IS NULL" for c in _X) + "), "
+        + _knn_pairs_sql(_X, "q", "features_num", _X)
+        + f", it AS ({items}), "
+        f"rk AS (SELECT *, row_number() OVER (PARTITION BY qk, target ORDER BY dist, gk, dk) AS rn FROM it), "
+        f"im AS (SELECT qk, target, avg(tv) AS v, count(*) AS n FROM rk WHERE rn <= {k} GROUP BY qk, target), "
+        "mu AS (SELECT " + ", ".join(f"avg({c}) AS mu_{c}" for c in _X) + " FROM features_num)"
+    )
+    return ctes
+
+
+@register(
+    "knn_impute",
+    Q.with_all(
+        _knn_impute_sql(),
+        "SELECT f.ccn, "
+        + ", ".join(
+            R(f"coalesce(f.{c}, (SELECT v FROM im WHERE im.qk = f.ccn AND im.target = '{c}'), mu_{c})") + f" AS {c}" for c in _X
+        )
+        + " FROM features_num f CROSS JOIN mu",
+        "features_num",
+    ),
+)
+def q_knn_impute(spark, sf_dir):
+    f = sh.features_num(spark, sf_dir).select("ccn", *_X)
+    return r6(knn.knn_impute(f, f, "ccn", _X, k=S.KNN_IMPUTE_K))
+
+
+@register("knn_join", Q.with_all(_knn_impute_sql(), "SELECT qk AS ccn, target, round(v, 6) AS value, CAST(n AS BIGINT) AS n_donors FROM im", "features_num"))
+def q_knn_join(spark, sf_dir):
+    """D8 itself: per (row, missing feature) the mean over its k nearest donors and their count."""
+    f = sh.features_num(spark, sf_dir).select("ccn", *_X)
+    need = {c: F.col(c).isNull() for c in _X}
+    return r6(knn.knn_target_means(f, f, "ccn", _X, _X, need, S.KNN_IMPUTE_K))
+
+
+_DENSE = S.FEATURES_DENSE
+
+
+@register(
+    "knn_regress",
+    Q.with_all(
+        f"sp AS ({_SPLIT_SQL}), tr AS (SELECT ccn, x1, x2, y1 FROM sp WHERE part = 'train' AND y1 IS NOT NULL), "
+        "te AS (SELECT ccn, x1, x2, y1 FROM sp WHERE part = 'test' AND y1 IS NOT NULL), "
+        + _knn_pairs_sql(_DENSE, "te", "tr", ["x1", "x2", "y1"])
+        + f", rk AS (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY dist, gk, dk) AS rn FROM pd)",
+        f"SELECT te.ccn, te.y1, round((SELECT avg(d_y1) FROM rk WHERE rk.qk = te.ccn AND rn <= {S.KNN_REGRESS_K}), 6) AS prediction FROM te",
+        "features_num",
+    ),
+)
+def q_knn_regress(spark, sf_dir):
+    sp = split_table(spark, sf_dir).where(F.col("y1").isNotNull())
+    train = sp.where(F.col("part") == "train").select("ccn", *_DENSE, "y1")
+    test = sp.where(F.col("part") == "test").select("ccn", *_DENSE, "y1")
+    return r6(knn.knn_regress(test, train, "ccn", _DENSE, "y1", k=S.KNN_REGRESS_K).select("ccn", "y1", "prediction"))
+
+
+def _u_sql(key_expr: str, seed: int = S.DEFAULT_SEED) -> str:
+    return f"(CAST(('0x' || substr(md5({key_expr} || '|{seed}'), 1, 8)) AS BIGINT) / 4294967296.0)"
+
+
+def _inject_sql(c: str) -> str:
+    u = _u_sql(f"ccn || '|{c}'")
+    return R(f"CASE WHEN {u} < r_{c} THEN NULL ELSE {c} END") + f" AS {c}"
+
+
+@register(
+    "simulate_missing",
+    Q.with_all(
+        "rt AS (SELECT " + ", ".join(f"avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) AS r_{c}" for c in _X)
+        + " FROM features_num WHERE y1 IS NULL)",
+        "SELECT ccn, "
+        + ", ".join(_inject_sql(c) for c in _X)
+        + " FROM features_num CROSS JOIN rt WHERE y1 IS NOT NULL",
+        "features_num",
+    ),
+)
+def q_simulate_missing(spark, sf_dir):
+    f = sh.features_num(spark, sf_dir)
+    rates = sampling.missing_rates(f.where(F.col("y1").isNull()), _X)
+    return r6(sampling.inject_missing(f.where(F.col("y1").isNotNull()), rates).select("ccn", *_X))
+
+
+def _ols2_sql(src: str) -> str:
+    """Closed-form OLS of y1 on (x1, x2) with intercept, from population covariances."""
+    return (
+        f"cv AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(y1) AS my, var_pop(x1) AS v11, var_pop(x2) AS v22, "
+        f"covar_pop(x1, x2) AS v12, covar_pop(x1, y1) AS c1, covar_pop(x2, y1) AS c2 FROM {src}), "
+        "co AS (SELECT (v22 * c1 - v12 * c2) / (v11 * v22 - v12 * v12) AS b1, (v11 * c2 - v12 * c1) / (v11 * v22 - v12 * v12) AS b2, "
+        "m1, m2, my FROM cv), coef AS (SELECT my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM co)"
+    )
+
+
+_TRAIN_SQL = f"sp AS ({_SPLIT_SQL}), tr AS (SELECT * FROM sp WHERE part = 'train' AND y1 IS NOT NULL), te AS (SELECT * FROM sp WHERE part = 'test' AND y1 IS NOT NULL)"
+
+
+@register(
+    "linear_fit",
+    Q.with_all(
+        _TRAIN_SQL + ", " + _ols2_sql("tr"),
+        "SELECT 'intercept' AS feature, round(b0, 6) AS coefficient FROM coef UNION ALL SELECT 'x1', round(b1, 6) FROM coef "
+        "UNION ALL SELECT 'x2', round(b2, 6) FROM coef",
+        "features_num",
+    ),
+)
+def q_linear_fit(spark, sf_dir):
+    sp = split_table(spark, sf_dir)
+    train = sp.where((F.col("part") == "train") & F.col("y1").isNotNull())
+    model = regress.fit_linear(train, _DENSE, "y1")
+    return r6(regress.coefficient_table(spark, model, _DENSE))
+
+
+@register(
+    "regression_metrics",
+    Q.with_all(
+        _TRAIN_SQL + ", " + _ols2_sql("tr") + ", pr AS (SELECT te.y1, b0 + b1 * te.x1 + b2 * te.x2 AS p FROM te CROSS JOIN coef), "
+        "ag AS (SELECT count(*) AS n, sum(pow(y1 - p, 2)) AS sse, sum(abs(y1 - p)) AS sae, avg(y1) AS my FROM pr), "
+        "tt AS (SELECT sum(pow(pr.y1 - ag.my, 2)) AS sst FROM pr CROSS JOIN ag)",
+        "SELECT CAST(n AS BIGINT) AS n, round(1 - sse / sst, 6) AS r2, round(sse / n, 6) AS mse, round(sqrt(sse / n), 6) AS rmse, "
+        "round(sae / n, 6) AS mae FROM ag CROSS JOIN tt",
+        "features_num",
+    ),
+)
+def q_regression_metrics(spark, sf_dir):
+    sp = split_table(spark, sf_dir)
+    train = sp.where((F.col("part") == "train") & F.col("y1").isNotNull())
+    test = sp.where((F.col("part") == "test") & F.col("y1").isNotNull())
+    model = regress.fit_linear(train, _DENSE, "y1")
+    coefs = {"intercept": model.intercept, **dict(zip(_DENSE, model.coefficients.toArray()))}
+    pred = test.withColumn("prediction", regress.linear_prediction(coefs, _DENSE))
+    return r6(regress.metrics(pred, "y1"))
