@@ -1078,3 +1078,213 @@ def q_regression_metrics(spark, sf_dir):
     coefs = {"intercept": model.intercept, **dict(zip(_DENSE, model.coefficients.toArray()))}
     pred = test.withColumn("prediction", regress.linear_prediction(coefs, _DENSE))
     return r6(regress.metrics(pred, "y1"))
+
+
+# --------------------------------------------------------------------------------------------
+# F / K / L. Dashboard answers for all entities at once
+# --------------------------------------------------------------------------------------------
+
+from ..operators import distribution, insight  # noqa: E402
+
+
+def _survey_long_clean(spark, sf_dir) -> DataFrame:
+    return reshape.unpivot_numeric(jobs.clean_survey(sh.survey_long(spark, sf_dir)), ["ccn"], S.SURVEY_CODES)
+
+
+_SURVEY_UNPIVOT_SQL = "sl AS (SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT ccn, '{c}' AS variable, {c} AS value FROM w" for c in S.SURVEY_CODES
+) + ") WHERE value IS NOT NULL)"
+
+
+def _top_bottom_sql(src: str, entity: str, item: str, score: str, n: int = 3) -> str:
+    return (
+        f"rk AS (SELECT *, row_number() OVER (PARTITION BY {entity} ORDER BY {score} DESC, {item} ASC) AS rd, "
+        f"row_number() OVER (PARTITION BY {entity} ORDER BY {score} ASC, {item} DESC) AS ra FROM {src}), "
+        f"tb AS (SELECT {entity}, max(CASE WHEN rd = 1 THEN {item} END) AS best, max(CASE WHEN rd = 1 THEN {score} END) AS best_score, "
+        f"max(CASE WHEN ra = 1 THEN {item} END) AS worst, max(CASE WHEN ra = 1 THEN {score} END) AS worst_score, "
+        f"string_agg({item}, '|' ORDER BY ra) FILTER (WHERE ra <= {n}) AS worst_items, "
+        f"sum(CASE WHEN ra <= {n} THEN {score} END) AS worst_sum FROM rk GROUP BY {entity})"
+    )
+
+
+_TB_SELECT = (
+    "SELECT {e}, best, round(best_score, 6) AS best_score, worst, round(worst_score, 6) AS worst_score, worst_items, "
+    "round(worst_sum, 6) AS worst_sum, CASE WHEN worst_sum > 0 THEN 'raised' ELSE 'lowered' END AS direction{extra} FROM tb"
+)
+
+
+@register(
+    "driver_top_bottom",
+    Q.with_all(f"w AS ({Q.clean_survey()}), " + _SURVEY_UNPIVOT_SQL + ", " + _top_bottom_sql("sl", "ccn", "variable", "value"),
+               _TB_SELECT.format(e="ccn", extra=""), "survey_long"),
+)
+def q_driver_top_bottom(spark, sf_dir):
+    return r6(insight.driver_top_bottom(_survey_long_clean(spark, sf_dir), "ccn", "variable", "value"))
+
+
+def resolved_scores(spark, sf_dir) -> DataFrame:
+    pred = sh.predictions(spark, sf_dir).select("ccn", F.col("would_recommend").alias("y1"), F.col("rating_est").alias("y2"))
+    f = sh.features_num(spark, sf_dir)
+    return merge.resolve_scores(f, pred, ["y1", "y2"]).join(f.select("ccn", "state"), "ccn")
+
+
+_RESOLVED_CTE = (
+    "rs AS (SELECT f.ccn, f.state, CASE WHEN p.ccn IS NOT NULL THEN p.would_recommend ELSE f.y1 END AS y1, "
+    "CASE WHEN p.ccn IS NOT NULL THEN p.rating_est ELSE f.y2 END AS y2 FROM features_num f LEFT JOIN predictions p ON f.ccn = p.ccn)"
+)
+
+
+@register(
+    "entity_standing",
+    Q.with_all(
+        _RESOLVED_CTE,
+        "SELECT ccn, state, y1, round(percent_rank() OVER (PARTITION BY state ORDER BY y1), 6) AS group_percent_rank, "
+        "round(cume_dist() OVER (PARTITION BY state ORDER BY y1), 6) AS group_cume_dist, "
+        "round(percent_rank() OVER (ORDER BY y1), 6) AS nation_percent_rank, round(cume_dist() OVER (ORDER BY y1), 6) AS nation_cume_dist "
+        "FROM rs WHERE y1 IS NOT NULL",
+        "features_num",
+        "predictions",
+    ),
+)
+def q_entity_standing(spark, sf_dir):
+    return r6(insight.entity_standing(resolved_scores(spark, sf_dir), "ccn", "state", "y1"))
+
+
+@register(
+    "hist_by_width",
+    Q.with_all(
+        _RESOLVED_CTE + ", v AS (SELECT state, y1 AS x FROM rs WHERE y1 IS NOT NULL), "
+        "g AS (SELECT state, min(x) AS mn, count(*) AS n FROM v GROUP BY state), a AS (SELECT min(x) AS mn, count(*) AS n FROM v)",
+        "SELECT 'state' AS scope, v.state, CAST(floor((x - g.mn) / 1.0) AS BIGINT) AS bin, round(g.mn + floor((x - g.mn) / 1.0) * 1.0, 6) AS bin_start, "
+        "CAST(count(*) AS BIGINT) AS count, round(count(*) / (g.n * 1.0), 6) AS density FROM v JOIN g ON v.state = g.state "
+        "GROUP BY v.state, g.mn, g.n, floor((x - g.mn) / 1.0) "
+        "UNION ALL SELECT 'national', NULL, CAST(floor((x - a.mn) / 1.0) AS BIGINT), round(a.mn + floor((x - a.mn) / 1.0) * 1.0, 6), "
+        "CAST(count(*) AS BIGINT), round(count(*) / (a.n * 1.0), 6) FROM v CROSS JOIN a GROUP BY a.mn, a.n, floor((x - a.mn) / 1.0)",
+        "features_num",
+        "predictions",
+    ),
+)
+def q_hist_by_width(spark, sf_dir):
+    return r6(distribution.hist_by_width(resolved_scores(spark, sf_dir), "y1", 1.0, "state"))
+
+
+@register(
+    "hist_by_count",
+    Q.with_all(
+        f"w AS ({Q.clean_survey()}), " + _SURVEY_UNPIVOT_SQL
+        + ", st AS (SELECT variable, min(value) AS mn, max(value) AS mx, count(*) AS n FROM sl GROUP BY variable), "
+        "b AS (SELECT sl.variable, mn, mx, n, CASE WHEN mx = mn THEN 0 ELSE least(floor((value - mn) / (mx - mn) * 10), 9) END AS bin "
+        "FROM sl JOIN st ON sl.variable = st.variable)",
+        "SELECT variable, CAST(bin AS INTEGER) AS bin, round(mn + bin * (CASE WHEN mx = mn THEN 1.0 ELSE (mx - mn) / 10 END), 6) AS bin_start, "
+        "CAST(count(*) AS BIGINT) AS count, round(count(*) / (n * (CASE WHEN mx = mn THEN 1.0 ELSE (mx - mn) / 10 END)), 6) AS density "
+        "FROM b GROUP BY variable, bin, mn, mx, n",
+        "survey_long",
+    ),
+)
+def q_hist_by_count(spark, sf_dir):
+    return r6(distribution.hist_by_count(_survey_long_clean(spark, sf_dir), "variable", "value", 10))
+
+
+@register(
+    "kde_curve",
+    Q.with_all(
+        _RESOLVED_CTE + ", v AS (SELECT y2 AS x FROM rs WHERE y2 IS NOT NULL), "
+        "st AS (SELECT min(x) AS mn, max(x) AS mx, count(*) AS n, stddev_samp(x) AS sd FROM v), "
+        "pr AS (SELECT mn, mx, n, sd * pow(n, -1.0 / 5.0) AS h, (mx - mn) / 99.0 AS step FROM st), "
+        "wv AS (SELECT x, count(*) AS w FROM v GROUP BY x), gp AS (SELECT range AS point FROM range(0, 100))",
+        "SELECT CAST(point AS INTEGER) AS point, round(mn + point * step, 6) AS x, "
+        "round(sum(w * exp(-0.5 * pow(((mn + point * step) - x) / h, 2))) / (n * h * sqrt(2 * pi())), 6) AS density "
+        "FROM gp CROSS JOIN wv CROSS JOIN pr GROUP BY point, mn, step, n, h",
+        "features_num",
+        "predictions",
+    ),
+)
+def q_kde_curve(spark, sf_dir):
+    return r6(distribution.kde_curve(resolved_scores(spark, sf_dir), "y2", 100))
+
+
+# Insight model: y1 on the standardised dense features (scaler fitted on the training rows).
+
+_INSIGHT_SQL = (
+    _TRAIN_SQL + ", zs AS (SELECT avg(x1) AS zm1, stddev_pop(x1) AS zs1, avg(x2) AS zm2, stddev_pop(x2) AS zs2 FROM tr), "
+    "trz AS (SELECT (x1 - zm1) / zs1 AS x1, (x2 - zm2) / zs2 AS x2, y1 FROM tr CROSS JOIN zs), " + _ols2_sql("trz")
+)
+
+
+def insight_model(spark, sf_dir):
+    sp = split_table(spark, sf_dir)
+    train = sp.where((F.col("part") == "train") & F.col("y1").isNotNull())
+    scaler = NullAwareStandardScaler(inputCols=_DENSE).fit(train)
+    lr = regress.fit_linear(scaler.transform(train), _DENSE, "y1")
+    coefs = {"intercept": float(lr.intercept), **{f: float(c) for f, c in zip(_DENSE, lr.coefficients.toArray())}}
+    return sp, scaler, coefs
+
+
+@register(
+    "coefficient_table",
+    Q.with_all(
+        _INSIGHT_SQL,
+        f"SELECT 'x1' AS feature, '{S.FEATURE_LABELS['x1']}' AS label, round(b1, 6) AS coefficient FROM coef UNION ALL "
+        f"SELECT 'x2', '{S.FEATURE_LABELS['x2']}', round(b2, 6) FROM coef",
+        "features_num",
+    ),
+)
+def q_coefficient_table(spark, sf_dir):
+    _, _, coefs = insight_model(spark, sf_dir)
+    return r6(insight.coefficient_table(spark, coefs, {f: S.FEATURE_LABELS[f] for f in _DENSE}))
+
+
+_CONTRIB_SQL = (
+    _INSIGHT_SQL + ", mu AS (SELECT avg(x1) AS mu1, avg(x2) AS mu2 FROM features_num), "
+    "ent AS (SELECT f.* FROM features_num f WHERE NOT EXISTS (SELECT 1 FROM predictions p WHERE p.ccn = f.ccn)), "
+    f"ct AS (SELECT ccn, 'x1' AS feature, '{S.FEATURE_LABELS['x1']}' AS label, x1 AS your_score, mu1 AS mean_score, b1 AS coefficient, "
+    "(x1 - zm1) / zs1 AS z FROM ent CROSS JOIN zs CROSS JOIN coef CROSS JOIN mu UNION ALL "
+    f"SELECT ccn, 'x2', '{S.FEATURE_LABELS['x2']}', x2, mu2, b2, (x2 - zm2) / zs2 FROM ent CROSS JOIN zs CROSS JOIN coef CROSS JOIN mu), "
+    "cc AS (SELECT *, coefficient * z AS contribution FROM ct)"
+)
+
+
+def contributions_table(spark, sf_dir):
+    sp, scaler, coefs = insight_model(spark, sf_dir)
+    labelled = {f: S.FEATURE_LABELS[f] for f in _DENSE}
+    entities = sp.join(sh.predictions(spark, sf_dir).select("ccn"), "ccn", "left_anti")  # K5: observed entities only
+    coef_df = insight.coefficient_table(spark, coefs, labelled)
+    means = insight.column_means(sp, _DENSE)
+    contrib = insight.contributions(scaler.transform(entities), entities, "ccn", _DENSE, coef_df, means)
+    return entities, coefs, contrib
+
+
+@register(
+    "contributions",
+    Q.with_all(
+        _CONTRIB_SQL,
+        "SELECT ccn, feature, label, round(your_score, 6) AS your_score, round(mean_score, 6) AS mean_score, "
+        "round(coefficient, 6) AS coefficient, round(z, 6) AS z, round(contribution, 6) AS contribution FROM cc",
+        "features_num",
+        "predictions",
+    ),
+)
+def q_contributions(spark, sf_dir):
+    _, _, contrib = contributions_table(spark, sf_dir)
+    return r6(contrib.select("ccn", "feature", "label", "your_score", "mean_score", "coefficient", "z", "contribution"))
+
+
+@register(
+    "recommendations",
+    Q.with_all(
+        _CONTRIB_SQL + ", " + _top_bottom_sql("cc", "ccn", "label", "contribution")
+        + ", pd AS (SELECT e.ccn, round_even(b0 + b1 * (e.x1 - zm1) / zs1 + b2 * (e.x2 - zm2) / zs2, 2) AS predicted, "
+        "round_even(e.y1, 2) AS actual FROM ent e CROSS JOIN zs CROSS JOIN coef)",
+        _TB_SELECT.format(e="tb.ccn", extra=", round(pd.predicted, 6) AS predicted, round(pd.actual, 6) AS actual").replace(
+            " FROM tb", " FROM tb LEFT JOIN pd ON tb.ccn = pd.ccn"
+        ),
+        "features_num",
+        "predictions",
+    ),
+)
+def q_recommendations(spark, sf_dir):
+    entities, coefs, contrib = contributions_table(spark, sf_dir)
+    _, scaler, _ = insight_model(spark, sf_dir)
+    z = scaler.transform(entities.select("ccn", *_DENSE, "y1"))
+    predicted = z.select("ccn", regress.linear_prediction(coefs, _DENSE).alias("predicted"), F.col("y1").alias("actual"))
+    return r6(insight.recommendations(contrib, "ccn", _DENSE, predicted))
