@@ -79,11 +79,13 @@ def _distance(p: int):
     return F.sqrt(F.lit(float(p)) / F.bit_count(F.col("_S")).cast("double") * sq)
 
 
-def prepare_donors(donors: DataFrame, key: str, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
-    """Identical donors -> one row with weight ``w`` and the smallest key."""
+def prepare_donors(donors: DataFrame, key: str, features: Sequence[str], targets: Sequence[str], group: str | None = None) -> DataFrame:
+    """Identical donors -> one row with weight ``w`` and the smallest key (per group)."""
     cols = list(dict.fromkeys(list(features) + list(targets)))
-    g = donors.groupBy(*[F.col(c) for c in cols]).agg(F.count(F.lit(1)).alias("w"), F.min(key).alias("dkey"))
+    gcol = F.col(group).cast("string") if group else F.lit("")
+    g = donors.groupBy(gcol.alias("_g"), *[F.col(c) for c in cols]).agg(F.count(F.lit(1)).alias("w"), F.min(key).alias("dkey"))
     out = g.select(
+        "_g",
         "dkey",
         "w",
         *[F.col(c).cast("double").alias(f"d{j}") for j, c in enumerate(features)],
@@ -101,11 +103,14 @@ def knn_target_means(
     need: dict[str, object] | None,
     k: int,
     r0: float | None = None,
+    group: str | None = None,
 ) -> DataFrame:
     """(key, target, value, n_donors) for every needed (query row, target).
 
     ``need`` maps target -> Column (on ``queries``) telling whether the row needs that target;
-    None means every row needs every target.
+    None means every row needs every target. With ``group`` (a column on both sides) a query
+    only takes donors of its own group — e.g. all cross-validation folds in one job — and the
+    output carries the group column.
     """
     p, m = len(features), len(targets)
     need_expr = F.lit((1 << m) - 1)
@@ -113,13 +118,15 @@ def knn_target_means(
         need_expr = F.lit(0)
         for i, t in enumerate(targets):
             need_expr = need_expr + F.when(need[t], F.lit(1 << i)).otherwise(F.lit(0))
+    gcol = F.col(group).cast("string") if group else F.lit("")
     q = queries.select(
-        F.col(key).alias("qkey"),
+        F.concat(gcol, F.lit("\u0001"), F.col(key).cast("string")).alias("qkey"),
+        gcol.alias("_g"),
         *[F.col(c).cast("double").alias(f"q{j}") for j, c in enumerate(features)],
         need_expr.alias("_need"),
     )
     q = q.withColumn("_P", _mask([f"q{j}" for j in range(p)])).where((F.col("_need") != 0) & (F.col("_P") != 0))
-    d = prepare_donors(donors, key, features, targets)
+    d = prepare_donors(donors, key, features, targets, group)
     d = cut_lineage(d)
     q = cut_lineage(q)
 
@@ -148,7 +155,7 @@ def knn_target_means(
             break
         final = r >= diameter
         patterns = [row["_P"] for row in q.select("_P").distinct().collect()]  # <= 2^p values
-        pairs = _query_cells(q, p, r).join(_donor_cells(d, p, r, patterns), ["_P", "_S"] + [f"_c{j}" for j in range(p)])
+        pairs = _query_cells(q, p, r).join(_donor_cells(d, p, r, patterns), ["_g", "_P", "_S"] + [f"_c{j}" for j in range(p)])
         pairs = pairs.withColumn("dist", _distance(p)).where(F.col("dist") <= F.lit(r))
         idx = F.array(*[F.lit(i) for i in range(m)])
         items = pairs.select(
@@ -174,35 +181,41 @@ def knn_target_means(
         r = min(2.0 * r, diameter)
     if not results:
         spark = queries.sparkSession
-        return spark.createDataFrame([], "qkey string, target string, value double, n_donors long").withColumnRenamed("qkey", key)
+        empty = spark.createDataFrame([], "qkey string, ti int, value double, n_donors long")
+        results.append(empty)
     out = results[0]
     for part in results[1:]:
         out = out.unionByName(part)
     names = F.element_at(F.array(*[F.lit(t) for t in targets]), F.col("ti") + 1)
-    return out.select(F.col("qkey").alias(key), names.alias("target"), "value", F.col("n_donors").cast("bigint").alias("n_donors"))
+    parts = F.split(F.col("qkey"), "\u0001", 2)
+    cols = [parts[1].alias(key), names.alias("target"), "value", F.col("n_donors").cast("bigint").alias("n_donors")]
+    if group:
+        cols.insert(0, parts[0].alias(group))
+    return out.select(*cols)
 
 
 def knn_impute(table: DataFrame, fit: DataFrame, key: str, features: Sequence[str], k: int = 5,
-               means: dict[str, float] | None = None) -> DataFrame:
+               group: str | None = None) -> DataFrame:
     """Fill NULL feature cells of ``table`` with the mean of that feature over the ``k`` nearest
-    ``fit`` rows having it; no usable donor -> the fit column mean. Other cells unchanged."""
+    ``fit`` rows having it; no usable donor -> the fit column mean (per group). Other cells
+    unchanged."""
     features = list(features)
     need = {f: F.col(f).isNull() for f in features}
-    vals = knn_target_means(table, fit, key, features, features, need, k)
-    wide = vals.groupBy(key).pivot("target", features).agg(F.first("value"))
-    wide = wide.select(key, *[F.col(f).alias(f"_imp_{f}") for f in features])
-    if means is None:
-        row = fit.agg(*[F.avg(f).alias(f) for f in features]).first()
-        means = {f: row[f] for f in features}
-    out = table.join(wide, key, "left")
-    filled = {
-        f: F.coalesce(F.col(f).cast("double"), F.col(f"_imp_{f}"), F.lit(means[f]).cast("double")) for f in features
-    }
-    return out.withColumns(filled).drop(*[f"_imp_{f}" for f in features])
+    vals = knn_target_means(table, fit, key, features, features, need, k, group=group)
+    ids = [group, key] if group else [key]
+    wide = vals.groupBy(*ids).pivot("target", features).agg(F.first("value"))
+    wide = wide.select(*ids, *[F.col(f).alias(f"_imp_{f}") for f in features])
+    # fit column means: one row (or one row per group: bounded by the number of groups)
+    means = fit.groupBy(*([group] if group else [])).agg(*[F.avg(f).alias(f"_mu_{f}") for f in features])
+    out = table.join(wide, ids, "left")
+    out = out.join(F.broadcast(means), group, "left") if group else out.crossJoin(F.broadcast(means))
+    filled = {f: F.coalesce(F.col(f).cast("double"), F.col(f"_imp_{f}"), F.col(f"_mu_{f}")) for f in features}
+    return out.withColumns(filled).drop(*[f"_imp_{f}" for f in features], *[f"_mu_{f}" for f in features])
 
 
 def knn_regress(queries: DataFrame, train: DataFrame, key: str, features: Sequence[str], label: str, k: int = 30,
-                out: str = "prediction") -> DataFrame:
-    """Mean label of the ``k`` nearest training rows (uniform weights)."""
-    vals = knn_target_means(queries, train, key, features, [label], None, k)
-    return queries.join(vals.select(key, F.col("value").alias(out)), key, "left")
+                out: str = "prediction", group: str | None = None) -> DataFrame:
+    """Mean label of the ``k`` nearest training rows (uniform weights), per group if given."""
+    vals = knn_target_means(queries, train, key, features, [label], None, k, group=group)
+    ids = [group, key] if group else [key]
+    return queries.join(vals.select(*ids, F.col("value").alias(out)), ids, "left")

@@ -1030,13 +1030,14 @@ def q_simulate_missing(spark, sf_dir):
     return r6(sampling.inject_missing(f.where(F.col("y1").isNotNull()), rates).select("ccn", *_X))
 
 
-def _ols2_sql(src: str) -> str:
-    """Closed-form OLS of y1 on (x1, x2) with intercept, from population covariances."""
+def _ols2_sql(src: str, y: str = "y1", p: str = "") -> str:
+    """Closed-form OLS of ``y`` on (x1, x2) with intercept, from population covariances
+    (CTEs ``{p}cv``, ``{p}co``, ``{p}coef``)."""
     return (
-        f"cv AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(y1) AS my, var_pop(x1) AS v11, var_pop(x2) AS v22, "
-        f"covar_pop(x1, x2) AS v12, covar_pop(x1, y1) AS c1, covar_pop(x2, y1) AS c2 FROM {src}), "
-        "co AS (SELECT (v22 * c1 - v12 * c2) / (v11 * v22 - v12 * v12) AS b1, (v11 * c2 - v12 * c1) / (v11 * v22 - v12 * v12) AS b2, "
-        "m1, m2, my FROM cv), coef AS (SELECT my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM co)"
+        f"{p}cv AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg({y}) AS my, var_pop(x1) AS v11, var_pop(x2) AS v22, "
+        f"covar_pop(x1, x2) AS v12, covar_pop(x1, {y}) AS c1, covar_pop(x2, {y}) AS c2 FROM {src} WHERE {y} IS NOT NULL), "
+        f"{p}co AS (SELECT (v22 * c1 - v12 * c2) / (v11 * v22 - v12 * v12) AS b1, (v11 * c2 - v12 * c1) / (v11 * v22 - v12 * v12) AS b2, "
+        f"m1, m2, my FROM {p}cv), {p}coef AS (SELECT my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM {p}co)"
     )
 
 
@@ -1288,3 +1289,204 @@ def q_recommendations(spark, sf_dir):
     z = scaler.transform(entities.select("ccn", *_DENSE, "y1"))
     predicted = z.select("ccn", regress.linear_prediction(coefs, _DENSE).alias("predicted"), F.col("y1").alias("actual"))
     return r6(insight.recommendations(contrib, "ccn", _DENSE, predicted))
+
+
+# --------------------------------------------------------------------------------------------
+# J5-J17 model operators, A5 model persistence, P7-P9 model jobs
+# --------------------------------------------------------------------------------------------
+
+from ..models import evaluate  # noqa: E402
+from ..sources.files import export_csv as _export_csv  # noqa: E402
+
+
+def scale_impute(train: DataFrame, others: DataFrame, features=_X, key: str = "ccn"):
+    """J6: scaler fitted on ``train`` -> kNN imputer fitted on the scaled train rows; both tables
+    transformed (the pipeline the reference builds from its two transformer classes)."""
+    scaler = NullAwareStandardScaler(inputCols=list(features)).fit(train)
+    tr = scaler.transform(train)
+    ot = scaler.transform(others)
+    return knn.knn_impute(tr, tr, key, list(features)), knn.knn_impute(ot, tr, key, list(features)), scaler
+
+
+def _train_test(spark, sf_dir, label="y1"):
+    sp = split_table(spark, sf_dir).where(F.col(label).isNotNull())
+    return sp.where(F.col("part") == "train"), sp.where(F.col("part") == "test")
+
+
+@register("boosted_fit_predict")
+def q_boosted_fit_predict(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    tr, te, _ = scale_impute(train.select("ccn", *_X, "y1"), test.select("ccn", *_X, "y1"))
+    model = regress.fit_boosted(tr, _X, "y1", step=0.1, depth=3, iterations=20)
+    return r6(regress.predict(model, te, _X).select("ccn", "y1", "prediction"))
+
+
+def _stacked_train(spark, sf_dir, label="y1"):
+    train, _ = _train_test(spark, sf_dir, label)
+    rows = train.select("ccn", *_X, label)
+    return evaluate.scale_impute_stacked(evaluate.stack_folds(rows, "ccn"), "ccn", _X)
+
+
+@register("random_search")
+def q_random_search(spark, sf_dir):
+    return r6(evaluate.random_search(_stacked_train(spark, sf_dir), _X, "y1", S.N_FOLDS, iterations=5))
+
+
+@register("cv_compare")
+def q_cv_compare(spark, sf_dir):
+    train, _ = _train_test(spark, sf_dir)
+    return r6(evaluate.cv_compare(train.select("ccn", *_X, "y1"), "ccn", _X, "y1", models=("lr", "gbt")))
+
+
+@register("resample_eval")
+def q_resample_eval(spark, sf_dir):
+    f = sh.features_num(spark, sf_dir)
+    return r6(evaluate.resample_eval(f, "ccn", _X, "y1", models=("lr", "knn", "gbt")))
+
+
+def _score_sql() -> str:
+    return Q.with_all(
+        _TRAIN_SQL + ", " + _ols2_sql("tr", "y1", "a") + ", " + _ols2_sql("tr", "y2", "b"),
+        "SELECT f.ccn, round(a.b0 + a.b1 * f.x1 + a.b2 * f.x2, 6) AS would_recommend, round(b.b0 + b.b1 * f.x1 + b.b2 * f.x2, 6) AS rating_est "
+        "FROM features_num f CROSS JOIN acoef a CROSS JOIN bcoef b WHERE f.y1 IS NULL",
+        "features_num",
+    )
+
+
+def score_unlabelled(models: dict, table: DataFrame, features, unlabelled, key: str = "ccn") -> DataFrame:
+    """Predict every target for the rows selected by ``unlabelled`` (a parameter: the reference
+    tests one bin column in one place and the derived target in another)."""
+    rows = table.where(unlabelled)
+    return rows.select(key, *[regress.linear_prediction(c, features).alias(t) for t, c in models.items()])
+
+
+@register("score_unlabelled", _score_sql())
+def q_score_unlabelled(spark, sf_dir):
+    sp = split_table(spark, sf_dir)
+    train = sp.where(F.col("part") == "train")
+    models = {}
+    for target, y in (("would_recommend", "y1"), ("rating_est", "y2")):
+        lr = regress.fit_linear(train.where(F.col(y).isNotNull()), _DENSE, y)
+        models[target] = {"intercept": float(lr.intercept), **dict(zip(_DENSE, map(float, lr.coefficients.toArray())))}
+    return r6(score_unlabelled(models, sp, _DENSE, F.col("y1").isNull()))
+
+
+@register("quantile_boost")
+def q_quantile_boost(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    tr, te, _ = scale_impute(train.select("ccn", *_X, "y1"), test.select("ccn", *_X, "y1"))
+    return r6(evaluate.quantile_boost(tr, te, "ccn", _X, "y1").select("ccn", "y1", "prediction"))
+
+
+@register(
+    "attribution_linear",
+    Q.with_all(
+        _INSIGHT_SQL + ", zt AS (SELECT x1, x2 FROM trz), zm AS (SELECT avg(x1) AS a1, avg(x2) AS a2 FROM zt)",
+        "SELECT 'x1' AS feature, round(avg(abs(b1 * (x1 - a1))), 6) AS mean_abs_contribution, CASE WHEN b1 >= 0 THEN 1 ELSE -1 END AS direction "
+        "FROM zt CROSS JOIN zm CROSS JOIN coef GROUP BY b1 UNION ALL "
+        "SELECT 'x2', round(avg(abs(b2 * (x2 - a2))), 6), CASE WHEN b2 >= 0 THEN 1 ELSE -1 END FROM zt CROSS JOIN zm CROSS JOIN coef GROUP BY b2",
+        "features_num",
+    ),
+)
+def q_attribution_linear(spark, sf_dir):
+    sp, scaler, coefs = insight_model(spark, sf_dir)
+    train = sp.where((F.col("part") == "train") & F.col("y1").isNotNull())
+    return r6(evaluate.attribution_linear(scaler.transform(train), coefs, _DENSE))
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    tr, te, _ = scale_impute(train.select("ccn", *_X, "y1"), test.select("ccn", *_X, "y1"))
+    model = regress.fit_boosted(tr, _X, "y1", iterations=10)
+    te = cut_lineage_df(te)
+    return r6(evaluate.permutation_importance(te, "ccn", _X, "y1", lambda d: regress.predict(model, d, _X)))
+
+
+def cut_lineage_df(df: DataFrame) -> DataFrame:
+    from ..session import cut_lineage
+
+    return cut_lineage(df)
+
+
+@register("group_components")
+def q_group_components(spark, sf_dir):
+    f = sh.features_num(spark, sf_dir).select("ccn", *_X)
+    full = knn.knn_impute(f, f, "ccn", _X)
+    return r6(evaluate.group_components(full, {"activity": ["x1", "x3"], "profile": ["x2", "x4"]}))
+
+
+@register("export_training")
+def q_export_training(spark, sf_dir):
+    """J7: split -> scale + impute (fit on train) -> CSV with the label first -> read back."""
+    train, _ = _train_test(spark, sf_dir)
+    tr, _, _ = scale_impute(train.select("ccn", *_X, "y1"), train.select("ccn", *_X, "y1").limit(0))
+    path = scratch_path(spark, "training_csv")
+    _export_csv(tr.select("y1", *_X), path)
+    back = files.scan_csv(spark, path)
+    return r6(back.select(*[F.col(c).cast("double").alias(c) for c in back.columns]))
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    """A5: fitted scaler and OLS pipeline saved with Spark ML persistence, loaded, re-applied."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    train, test = _train_test(spark, sf_dir)
+    stages = [
+        NullAwareStandardScaler(inputCols=_DENSE),
+        VectorAssembler(inputCols=_DENSE, outputCol="features"),
+        LinearRegression(featuresCol="features", labelCol="y1", solver="normal"),
+    ]
+    model = Pipeline(stages=stages).fit(train)
+    path = scratch_path(spark, "pipeline_model")
+    model.write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    return r6(loaded.transform(test).select("ccn", "y1", "prediction"))
+
+
+@register("train_insight")
+def q_train_insight(spark, sf_dir):
+    """P7: per target, scaler + imputer + OLS on the training rows; coefficient table."""
+    rows = []
+    sp = split_table(spark, sf_dir)
+    out = None
+    for y in S.TARGETS:
+        train = sp.where((F.col("part") == "train") & F.col(y).isNotNull()).select("ccn", *_X, y)
+        tr, _, _ = scale_impute(train, train.limit(0))
+        lr = regress.fit_linear(tr, _X, y)
+        t = regress.coefficient_table(spark, lr, _X).withColumn("target", F.lit(y))
+        out = t if out is None else out.unionByName(t)
+    del rows
+    return r6(out.select("target", "feature", "coefficient"))
+
+
+@register("train_prediction")
+def q_train_prediction(spark, sf_dir):
+    """P8: search boosted-tree parameters (for the first target, reused for both, as the
+    reference does), fit per target on scaled + imputed rows, score the unlabelled rows."""
+    search = evaluate.random_search(_stacked_train(spark, sf_dir), _X, "y1", S.N_FOLDS, iterations=5)
+    best = search.where(F.col("rank") == 1).first()
+    params = evaluate.gbt_params({"learning_rate": best["learning_rate"], "max_depth": best["max_depth"],
+                                  "min_child_weight": best["min_child_weight"], "gamma": best["gamma"],
+                                  "colsample_bytree": best["colsample_bytree"]})
+    f = sh.features_num(spark, sf_dir).select("ccn", *_X, *S.TARGETS)
+    unlabelled = f.where(F.col("y1").isNull())
+    out = unlabelled.select("ccn")
+    for y, name in (("y1", "would_recommend"), ("y2", "rating_est")):
+        labelled = f.where(F.col(y).isNotNull())
+        tr, ul, _ = scale_impute(labelled, unlabelled)
+        model = regress.fit_boosted(tr, _X, y, iterations=10, **params)
+        out = out.join(regress.predict(model, ul, _X, name).select("ccn", name), "ccn")
+    return r6(out)
+
+
+@register("compare_models")
+def q_compare_models(spark, sf_dir):
+    """P9: the two comparison reports in one table."""
+    train, _ = _train_test(spark, sf_dir)
+    cv = evaluate.cv_compare(train.select("ccn", *_X, "y1"), "ccn", _X, "y1", models=("lr",)).withColumn("report", F.lit("cv"))
+    rs = evaluate.resample_eval(sh.features_num(spark, sf_dir), "ccn", _X, "y1", models=("lr", "knn")).withColumn("report", F.lit("resample"))
+    return r6(cv.unionByName(rs))
