@@ -49,6 +49,25 @@ def missing_matrix_wide(df: DataFrame, columns: Sequence[str], targets: Sequence
     return one.select(F.inline(stack))
 
 
+def missing_summary(df: DataFrame, columns: Sequence[str], targets: Sequence[str], total: str = "TOTAL") -> DataFrame:
+    """(variable, TOTAL, <target>...): overall NULL fraction and the conditional fractions of
+    every column, all in a single aggregate pass over ``df``."""
+    aggs = []
+    for c in columns:
+        miss = F.col(c).isNull().cast("double")
+        aggs.append(F.avg(miss).alias(f"{c}\u0001{total}"))
+        for t in targets:
+            aggs.append(F.avg(F.when(F.col(t).isNotNull(), miss)).alias(f"{c}\u0001{t}"))
+    one = df.agg(*aggs)
+    stack = F.array(
+        *[
+            F.struct(F.lit(c).alias("variable"), *[F.col(f"`{c}\u0001{t}`").alias(t) for t in [total, *targets]])
+            for c in columns
+        ]
+    )
+    return one.select(F.inline(stack))
+
+
 def benchmark_means(df: DataFrame, columns: Sequence[str], by: str = "state") -> DataFrame:
     """Null-skipping means per group and over everything, in one job (ROLLUP = grouping sets
     ``(by), ()``). ``scope`` is 'national' for the total row."""

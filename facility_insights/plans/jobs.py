@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import canonical_key, days_since
 from ..operators import clean, features, geo, merge, reshape
+from ..session import cut_lineage
 
 
 def clean_survey(survey_long: DataFrame, codes=S.SURVEY_CODES) -> DataFrame:
@@ -98,8 +99,14 @@ FEATURE_STEPS = [
 ]
 
 
-def all_features(merged: DataFrame, steps=FEATURE_STEPS, dummy_levels=None) -> DataFrame:
-    """The fixed-order feature chain over the merged table."""
+def all_features(merged: DataFrame, steps=FEATURE_STEPS, dummy_levels=None, checkpoint: bool = True) -> DataFrame:
+    """The fixed-order feature chain over the merged table.
+
+    The merged table is read several times (places for the radius join, the join back, the
+    min-max fit), so it is checkpointed once into the shared folder first.
+    """
+    if checkpoint:
+        merged = cut_lineage(merged)
     table = {
         "distance": lambda d: geo.add_distance_features(d, "lat_long"),
         "per_beneficiary": features.per_beneficiary,

@@ -843,9 +843,8 @@ def profile_variable_summary(spark, m: DataFrame, columns, sources, descriptions
     """E6: catalog (D6) ⋈ TOTAL missing fraction (E4) ⋈ conditional matrix (E5); one pass over
     the merged table for all the fractions (it is persisted by the caller when reused)."""
     catalog = merge.variable_catalog(spark, sources, descriptions, columns)
-    total = profile.missing_profile(m, columns, "TOTAL")
-    cond = profile.missing_matrix_wide(m, columns, S.SENTIMENT_COLUMNS)
-    return catalog.join(total, "variable").join(cond, "variable")
+    fractions = profile.missing_summary(m, columns, S.SENTIMENT_COLUMNS, total="TOTAL")
+    return catalog.join(fractions, "variable")
 
 
 # --------------------------------------------------------------------------------------------
