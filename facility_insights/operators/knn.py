@@ -145,7 +145,9 @@ def knn_target_means(
         if st[f"sd{j}"]:
             sds.append(st[f"sd{j}"])
     diameter = math.sqrt(p * span2) + 1e-9
-    r = r0 if r0 is not None else (0.25 * (sum(sds) / len(sds)) if sds else 1.0) or 1.0
+    # start at a quarter of the geometric-mean spread (0.25 on standardised data); the rounds
+    # double r only for the items that still lack k donors
+    r = r0 if r0 is not None else (0.25 * math.exp(sum(math.log(x) for x in sds) / len(sds)) if sds else 1.0)
     r = min(r, diameter)
 
     results = []

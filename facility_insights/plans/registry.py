@@ -1251,7 +1251,7 @@ def contributions_table(spark, sf_dir):
     coef_df = insight.coefficient_table(spark, coefs, labelled)
     means = insight.column_means(sp, _DENSE)
     contrib = insight.contributions(scaler.transform(entities), entities, "ccn", _DENSE, coef_df, means)
-    return entities, coefs, contrib
+    return entities, coefs, contrib, scaler
 
 
 @register(
@@ -1265,7 +1265,7 @@ def contributions_table(spark, sf_dir):
     ),
 )
 def q_contributions(spark, sf_dir):
-    _, _, contrib = contributions_table(spark, sf_dir)
+    _, _, contrib, _ = contributions_table(spark, sf_dir)
     return r6(contrib.select("ccn", "feature", "label", "your_score", "mean_score", "coefficient", "z", "contribution"))
 
 
@@ -1283,8 +1283,7 @@ def q_contributions(spark, sf_dir):
     ),
 )
 def q_recommendations(spark, sf_dir):
-    entities, coefs, contrib = contributions_table(spark, sf_dir)
-    _, scaler, _ = insight_model(spark, sf_dir)
+    entities, coefs, contrib, scaler = contributions_table(spark, sf_dir)
     z = scaler.transform(entities.select("ccn", *_DENSE, "y1"))
     predicted = z.select("ccn", regress.linear_prediction(coefs, _DENSE).alias("predicted"), F.col("y1").alias("actual"))
     return r6(insight.recommendations(contrib, "ccn", _DENSE, predicted))
