@@ -51,21 +51,16 @@ def missing_matrix_wide(df: DataFrame, columns: Sequence[str], targets: Sequence
 
 def missing_summary(df: DataFrame, columns: Sequence[str], targets: Sequence[str], total: str = "TOTAL") -> DataFrame:
     """(variable, TOTAL, <target>...): overall NULL fraction and the conditional fractions of
-    every column, all in a single aggregate pass over ``df``."""
-    aggs = []
-    for c in columns:
-        miss = F.col(c).isNull().cast("double")
-        aggs.append(F.avg(miss).alias(f"{c}\u0001{total}"))
-        for t in targets:
-            aggs.append(F.avg(F.when(F.col(t).isNotNull(), miss)).alias(f"{c}\u0001{t}"))
-    one = df.agg(*aggs)
-    stack = F.array(
-        *[
-            F.struct(F.lit(c).alias("variable"), *[F.col(f"`{c}\u0001{t}`").alias(t) for t in [total, *targets]])
-            for c in columns
-        ]
+    every column in one pass: NULL flags are unpivoted next to the target-present flags and
+    grouped by variable (map-side partial aggregation leaves one row per variable and task, and
+    the generated code stays small however many columns there are)."""
+    flags = [F.col(c).isNull().cast("double").alias(c) for c in columns]
+    present = [F.col(t).isNotNull().alias(f"_p{i}") for i, t in enumerate(targets)]
+    long = df.select(*present, *flags).unpivot([f"_p{i}" for i in range(len(targets))], list(columns), "variable", "_miss")
+    return long.groupBy("variable").agg(
+        F.avg("_miss").alias(total),
+        *[F.avg(F.when(F.col(f"_p{i}"), F.col("_miss"))).alias(t) for i, t in enumerate(targets)],
     )
-    return one.select(F.inline(stack))
 
 
 def benchmark_means(df: DataFrame, columns: Sequence[str], by: str = "state") -> DataFrame:
