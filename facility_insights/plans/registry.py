@@ -37,9 +37,10 @@ def register(key: str, oracle: str | None = None):
 
 
 def r6(df: DataFrame) -> DataFrame:
-    """Round every floating-point column to 6 decimals (for value-hash comparison)."""
+    """Round every floating-point column to 6 decimals (for value-hash comparison); ``+ 0.0``
+    turns a rounded -0.0 into 0.0 so the sign of a vanishing sum cannot change the hash."""
     return df.select(
-        [F.round(F.col(f"`{f.name}`"), 6).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f"`{f.name}`") for f in df.schema.fields]
+        [(F.round(F.col(f"`{f.name}`"), 6) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f"`{f.name}`") for f in df.schema.fields]
     )
 
 
@@ -48,7 +49,7 @@ def flat_geo(df: DataFrame, col: str = "lat_long") -> DataFrame:
 
 
 def R(expr: str) -> str:
-    return f"round({expr}, 6)"
+    return f"(round({expr}, 6) + 0.0)"
 
 
 # --------------------------------------------------------------------------------------------
@@ -727,7 +728,7 @@ def q_radius_counts(spark, sf_dir):
     return out.select("ccn", "n_win_30", "n_win_60", "n_win_90", mono.alias("monotone"))
 
 
-@register("nearest_distance", _GEO_SQL.replace("g.n_win_30, g.n_win_60, g.n_win_90, {nearest}", "round(g.nearest, 6) AS nearest"))
+@register("nearest_distance", _GEO_SQL.replace("g.n_win_30, g.n_win_60, g.n_win_90, {nearest}", "(round(g.nearest, 6) + 0.0) AS nearest"))
 def q_nearest_distance(spark, sf_dir):
     from ..operators import geo
 
@@ -974,7 +975,7 @@ def q_knn_impute(spark, sf_dir):
     return r6(knn.knn_impute(f, f, "ccn", _X, k=S.KNN_IMPUTE_K))
 
 
-@register("knn_join", Q.with_all(_knn_impute_sql(), "SELECT qk AS ccn, target, round(v, 6) AS value, CAST(n AS BIGINT) AS n_donors FROM im", "features_num"))
+@register("knn_join", Q.with_all(_knn_impute_sql(), "SELECT qk AS ccn, target, (round(v, 6) + 0.0) AS value, CAST(n AS BIGINT) AS n_donors FROM im", "features_num"))
 def q_knn_join(spark, sf_dir):
     """D8 itself: per (row, missing feature) the mean over its k nearest donors and their count."""
     f = sh.features_num(spark, sf_dir).select("ccn", *_X)
@@ -1047,7 +1048,7 @@ _TRAIN_SQL = f"sp AS ({_SPLIT_SQL}), tr AS (SELECT * FROM sp WHERE part = 'train
     "linear_fit",
     Q.with_all(
         _TRAIN_SQL + ", " + _ols2_sql("tr"),
-        "SELECT 'intercept' AS feature, round(b0, 6) AS coefficient FROM coef UNION ALL SELECT 'x1', round(b1, 6) FROM coef "
+        "SELECT 'intercept' AS feature, (round(b0, 6) + 0.0) AS coefficient FROM coef UNION ALL SELECT 'x1', round(b1, 6) FROM coef "
         "UNION ALL SELECT 'x2', round(b2, 6) FROM coef",
         "features_num",
     ),
@@ -1065,8 +1066,8 @@ def q_linear_fit(spark, sf_dir):
         _TRAIN_SQL + ", " + _ols2_sql("tr") + ", pr AS (SELECT te.y1, b0 + b1 * te.x1 + b2 * te.x2 AS p FROM te CROSS JOIN coef), "
         "ag AS (SELECT count(*) AS n, sum(pow(y1 - p, 2)) AS sse, sum(abs(y1 - p)) AS sae, avg(y1) AS my FROM pr), "
         "tt AS (SELECT sum(pow(pr.y1 - ag.my, 2)) AS sst FROM pr CROSS JOIN ag)",
-        "SELECT CAST(n AS BIGINT) AS n, round(1 - sse / sst, 6) AS r2, round(sse / n, 6) AS mse, round(sqrt(sse / n), 6) AS rmse, "
-        "round(sae / n, 6) AS mae FROM ag CROSS JOIN tt",
+        "SELECT CAST(n AS BIGINT) AS n, (round(1 - sse / sst, 6) + 0.0) AS r2, (round(sse / n, 6) + 0.0) AS mse, (round(sqrt(sse / n), 6) + 0.0) AS rmse, "
+        "(round(sae / n, 6) + 0.0) AS mae FROM ag CROSS JOIN tt",
         "features_num",
     ),
 )
@@ -1108,8 +1109,8 @@ def _top_bottom_sql(src: str, entity: str, item: str, score: str, n: int = 3) ->
 
 
 _TB_SELECT = (
-    "SELECT {e}, best, round(best_score, 6) AS best_score, worst, round(worst_score, 6) AS worst_score, worst_items, "
-    "round(worst_sum, 6) AS worst_sum, CASE WHEN worst_sum > 0 THEN 'raised' ELSE 'lowered' END AS direction{extra} FROM tb"
+    "SELECT {e}, best, (round(best_score, 6) + 0.0) AS best_score, worst, (round(worst_score, 6) + 0.0) AS worst_score, worst_items, "
+    "(round(worst_sum, 6) + 0.0) AS worst_sum, CASE WHEN worst_sum > 0 THEN 'raised' ELSE 'lowered' END AS direction{extra} FROM tb"
 )
 
 
@@ -1138,9 +1139,9 @@ _RESOLVED_CTE = (
     "entity_standing",
     Q.with_all(
         _RESOLVED_CTE,
-        "SELECT ccn, state, y1, round(percent_rank() OVER (PARTITION BY state ORDER BY y1), 6) AS group_percent_rank, "
-        "round(cume_dist() OVER (PARTITION BY state ORDER BY y1), 6) AS group_cume_dist, "
-        "round(percent_rank() OVER (ORDER BY y1), 6) AS nation_percent_rank, round(cume_dist() OVER (ORDER BY y1), 6) AS nation_cume_dist "
+        "SELECT ccn, state, y1, (round(percent_rank() OVER (PARTITION BY state ORDER BY y1), 6) + 0.0) AS group_percent_rank, "
+        "(round(cume_dist() OVER (PARTITION BY state ORDER BY y1), 6) + 0.0) AS group_cume_dist, "
+        "(round(percent_rank() OVER (ORDER BY y1), 6) + 0.0) AS nation_percent_rank, (round(cume_dist() OVER (ORDER BY y1), 6) + 0.0) AS nation_cume_dist "
         "FROM rs WHERE y1 IS NOT NULL",
         "features_num",
         "predictions",
@@ -1156,7 +1157,7 @@ def q_entity_standing(spark, sf_dir):
         _RESOLVED_CTE + ", v AS (SELECT state, y1 AS x FROM rs WHERE y1 IS NOT NULL), "
         "g AS (SELECT state, min(x) AS mn, count(*) AS n FROM v GROUP BY state), a AS (SELECT min(x) AS mn, count(*) AS n FROM v)",
         "SELECT 'state' AS scope, v.state, CAST(floor((x - g.mn) / 1.0) AS BIGINT) AS bin, round(g.mn + floor((x - g.mn) / 1.0) * 1.0, 6) AS bin_start, "
-        "CAST(count(*) AS BIGINT) AS count, round(count(*) / (g.n * 1.0), 6) AS density FROM v JOIN g ON v.state = g.state "
+        "CAST(count(*) AS BIGINT) AS count, (round(count(*) / (g.n * 1.0), 6) + 0.0) AS density FROM v JOIN g ON v.state = g.state "
         "GROUP BY v.state, g.mn, g.n, floor((x - g.mn) / 1.0) "
         "UNION ALL SELECT 'national', NULL, CAST(floor((x - a.mn) / 1.0) AS BIGINT), round(a.mn + floor((x - a.mn) / 1.0) * 1.0, 6), "
         "CAST(count(*) AS BIGINT), round(count(*) / (a.n * 1.0), 6) FROM v CROSS JOIN a GROUP BY a.mn, a.n, floor((x - a.mn) / 1.0)",
@@ -1192,7 +1193,7 @@ def q_hist_by_count(spark, sf_dir):
         "st AS (SELECT min(x) AS mn, max(x) AS mx, count(*) AS n, stddev_samp(x) AS sd FROM v), "
         "pr AS (SELECT mn, mx, n, sd * pow(n, -1.0 / 5.0) AS h, (mx - mn) / 99.0 AS step FROM st), "
         "wv AS (SELECT x, count(*) AS w FROM v GROUP BY x), gp AS (SELECT range AS point FROM range(0, 100))",
-        "SELECT CAST(point AS INTEGER) AS point, round(mn + point * step, 6) AS x, "
+        "SELECT CAST(point AS INTEGER) AS point, (round(mn + point * step, 6) + 0.0) AS x, "
         "round(sum(w * exp(-0.5 * pow(((mn + point * step) - x) / h, 2))) / (n * h * sqrt(2 * pi())), 6) AS density "
         "FROM gp CROSS JOIN wv CROSS JOIN pr GROUP BY point, mn, step, n, h",
         "features_num",
@@ -1224,7 +1225,7 @@ def insight_model(spark, sf_dir):
     "coefficient_table",
     Q.with_all(
         _INSIGHT_SQL,
-        f"SELECT 'x1' AS feature, '{S.FEATURE_LABELS['x1']}' AS label, round(b1, 6) AS coefficient FROM coef UNION ALL "
+        f"SELECT 'x1' AS feature, '{S.FEATURE_LABELS['x1']}' AS label, (round(b1, 6) + 0.0) AS coefficient FROM coef UNION ALL "
         f"SELECT 'x2', '{S.FEATURE_LABELS['x2']}', round(b2, 6) FROM coef",
         "features_num",
     ),
@@ -1258,8 +1259,8 @@ def contributions_table(spark, sf_dir):
     "contributions",
     Q.with_all(
         _CONTRIB_SQL,
-        "SELECT ccn, feature, label, round(your_score, 6) AS your_score, round(mean_score, 6) AS mean_score, "
-        "round(coefficient, 6) AS coefficient, round(z, 6) AS z, round(contribution, 6) AS contribution FROM cc",
+        "SELECT ccn, feature, label, (round(your_score, 6) + 0.0) AS your_score, (round(mean_score, 6) + 0.0) AS mean_score, "
+        "(round(coefficient, 6) + 0.0) AS coefficient, (round(z, 6) + 0.0) AS z, (round(contribution, 6) + 0.0) AS contribution FROM cc",
         "features_num",
         "predictions",
     ),
@@ -1275,7 +1276,7 @@ def q_contributions(spark, sf_dir):
         _CONTRIB_SQL + ", " + _top_bottom_sql("cc", "ccn", "label", "contribution")
         + ", pd AS (SELECT e.ccn, round_even(b0 + b1 * (e.x1 - zm1) / zs1 + b2 * (e.x2 - zm2) / zs2, 2) AS predicted, "
         "round_even(e.y1, 2) AS actual FROM ent e CROSS JOIN zs CROSS JOIN coef)",
-        _TB_SELECT.format(e="tb.ccn", extra=", round(pd.predicted, 6) AS predicted, round(pd.actual, 6) AS actual").replace(
+        _TB_SELECT.format(e="tb.ccn", extra=", (round(pd.predicted, 6) + 0.0) AS predicted, (round(pd.actual, 6) + 0.0) AS actual").replace(
             " FROM tb", " FROM tb LEFT JOIN pd ON tb.ccn = pd.ccn"
         ),
         "features_num",
@@ -1345,7 +1346,7 @@ def q_resample_eval(spark, sf_dir):
 def _score_sql() -> str:
     return Q.with_all(
         _TRAIN_SQL + ", " + _ols2_sql("tr", "y1", "a") + ", " + _ols2_sql("tr", "y2", "b"),
-        "SELECT f.ccn, round(a.b0 + a.b1 * f.x1 + a.b2 * f.x2, 6) AS would_recommend, round(b.b0 + b.b1 * f.x1 + b.b2 * f.x2, 6) AS rating_est "
+        "SELECT f.ccn, (round(a.b0 + a.b1 * f.x1 + a.b2 * f.x2, 6) + 0.0) AS would_recommend, (round(b.b0 + b.b1 * f.x1 + b.b2 * f.x2, 6) + 0.0) AS rating_est "
         "FROM features_num f CROSS JOIN acoef a CROSS JOIN bcoef b WHERE f.y1 IS NULL",
         "features_num",
     )
