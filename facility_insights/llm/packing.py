@@ -91,7 +91,7 @@ class Pool:
     def __init__(self):
         self.by_length: dict[int, deque] = {}
         self.lengths: list[int] = []
-        self.items = 0
+        self.items = self.ids = 0
 
     def put(self, item: tuple) -> None:
         size = len(item[2]) // ID_BYTES
@@ -100,11 +100,13 @@ class Pool:
             insort(self.lengths, size)
         self.by_length[size].append(item)
         self.items += 1
+        self.ids += size
 
     def take(self, size: int) -> tuple:
         held = self.by_length[size]
         item = held.popleft()
         self.items -= 1
+        self.ids -= size
         if not held:
             del self.by_length[size]
             self.lengths.pop(bisect_left(self.lengths, size))
@@ -165,7 +167,7 @@ def windows(documents: Iterable[tuple], capacity: int, pool_items: int) -> Itera
         if len(ids) > whole * wide:
             pool.put((doc, whole * capacity, ids[whole * wide :], total))
         if pool.items >= pool_items:
-            while pool.items > pool_items // 2:
+            while pool.items > pool_items // 2 and pool.ids >= capacity:  # enough to fill one to the last id
                 yield fill(pool, capacity)
     while pool.items:
         yield fill(pool, capacity)

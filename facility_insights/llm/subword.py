@@ -101,7 +101,7 @@ def train(
     buckets: int = BUCKETS,
     window: int = 6,
     epochs: int = 5,
-    batch: int = 1024,
+    steps: int = 400,
     rate: float = 0.2,
     decay: float = 1e-6,
     seed: int = 7,
@@ -110,7 +110,7 @@ def train(
 
     A window gets its text's class. A logistic over a text's largest window logit then turns it
     into the probability that the whole text is of class 1: a few words decide, however long the
-    text is. With no text or one class only, the table is zero and every
+    text is. A batch is such that an epoch has about ``steps`` updates, and 32 windows at least. With no text or one class only, the table is zero and every
     text scores the smoothed share of class 1.
     """
     y = np.asarray(list(labels), dtype=np.int64)
@@ -135,6 +135,7 @@ def train(
     softmax = rng.normal(0, 0.1, (dim, 2)).astype(np.float32)
     bias = np.array([0.0, prior], np.float32)
     seen = [np.full(x.shape, 1e-6, np.float32) for x in (vectors, softmax, bias)]
+    batch = max(32, -(-len(z) // steps))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         _descend(bags, z, flat, starts, vectors, softmax, bias, seen, rate=step, decay=decay, batch=batch, rng=rng)
@@ -146,16 +147,18 @@ def train(
     return Model(table, model.bias, window, slope, offset)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.1) -> tuple[float, float]:
     """Slope (0 at least) and offset of a one-variable logistic regression, by Newton's method with a small ridge."""
-    w = np.zeros(2)
-    design = np.stack([x, np.ones_like(x)], axis=1)
+    middle, spread = x.mean(), max(x.std(), 1e-6)
+    design = np.stack([(x - middle) / spread, np.ones_like(x)], axis=1)
+    w = np.array([0.0, np.log((y.sum() + 1) / (len(y) - y.sum() + 1))])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        hessian = design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, design.T @ (y - p) - 1e-3 * w)
-        w += np.clip(step, -2, 2)
-    return max(0.0, float(w[0])), float(w[1])
+        hessian = design.T @ (design * (p * (1 - p))[:, None]) + ridge * np.eye(2)
+        step = np.linalg.solve(hessian, design.T @ (y - p) - ridge * w)
+        w += np.clip(step, -1, 1)
+    slope = max(0.0, float(w[0])) / spread
+    return slope, float(w[1]) - slope * middle
 
 
 class Scorer:

@@ -38,8 +38,15 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+#: Weight of a matched node: matchings of equally many nodes are told apart by their equal texts.
+NODE = 1 << 24
+
+
 def match(a, b) -> dict[int, int]:
-    """Numbers of a's nodes that are matched, with those of b's: the largest order-keeping top-down matching."""
+    """Numbers of a's nodes that are matched, with those of b's: the largest order-keeping top-down matching.
+
+    Of several, one with the most equal texts.
+    """
     pairs: dict[int, int] = {}
     weights: dict[tuple[int, int], int] = {}
     if a.label == b.label:
@@ -56,7 +63,7 @@ def _table(x, y, weights) -> list[list[int]]:
         for j, d in enumerate(q):
             best = last[j + 1] if last[j + 1] > row[j] else row[j]
             if c.label == d.label:
-                w = 1 if not c.children or not d.children else _weigh(c, d, weights)
+                w = _weigh(c, d, weights) if c.children and d.children else NODE + (type(c) is dom.Run and c.text == d.text)
                 if last[j] + w > best:
                     best = last[j] + w
             row.append(best)
@@ -67,7 +74,7 @@ def _table(x, y, weights) -> list[list[int]]:
 def _weigh(x, y, weights) -> int:
     key = (x.number, y.number)
     if key not in weights:
-        weights[key] = 1 + _table(x, y, weights)[-1][-1]
+        weights[key] = NODE + _table(x, y, weights)[-1][-1]
     return weights[key]
 
 
