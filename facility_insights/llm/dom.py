@@ -10,7 +10,7 @@ import html
 import re
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 #: Elements whose content is not markup; only that of the last two is text, and none of it is article text.
@@ -27,6 +27,9 @@ _SIBLING_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"t
 _LIMITS = {"ul", "ol", "dl", "table", "select", "div", "article", "section", "body"}
 
 
+_NONE: frozenset = frozenset()
+
+
 class Node:
     """An element: its tag, class and id words, children (nodes and text runs) and number in page order."""
 
@@ -34,10 +37,13 @@ class Node:
 
     def __init__(self, tag: str, attributes: str, number: int):
         self.tag, self.children, self.number = tag, [], number
-        found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
-        named = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-        self.words = frozenset(re.findall(r"[a-z]+", named.lower())) if named.strip() else frozenset()
-        self.label = f"{tag} {' '.join(sorted(found.get('class', '').split()))}"
+        self.words, self.label = _NONE, tag
+        if attributes:
+            found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
+            named = " ".join(found.get(k, "") for k in ("class", "id", "role"))
+            if named.strip():
+                self.words = frozenset(re.findall(r"[a-z]+", named.lower()))
+                self.label = " ".join([tag, *sorted(found.get("class", "").split())])
 
 
 class Run:
@@ -59,8 +65,9 @@ def parse(page: str | None) -> Node:
     def flush():
         nonlocal count
         if parts:
-            run = " ".join(html.unescape("".join(parts)).split())
+            run = "".join(parts)
             parts.clear()
+            run = " ".join((html.unescape(run) if "&" in run else run).split())
             if run:
                 stack[-1].children.append(Run(run, count))
                 count += 1
@@ -122,7 +129,9 @@ ROLE_WORDS = frozenset(
 
 def boilerplate(node: Node, inside: bool) -> bool:
     """Whether an element's role is not the article's; a header inside the article is the article's own."""
-    return node.tag in ROLE_TAGS or bool(node.words & ROLE_WORDS) or (not inside and (node.tag == "header" or "header" in node.words))
+    if node.tag in ROLE_TAGS or node.tag == "header" and not inside:
+        return True
+    return bool(node.words) and (bool(node.words & ROLE_WORDS) or not inside and "header" in node.words)
 
 
 def runs(node: Node, inside: bool = False) -> list[Run]:

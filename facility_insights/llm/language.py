@@ -30,6 +30,8 @@ from facility_insights.session import cut_lineage
 #: Labelled documents that are learnt from, at most, and the longest of them.
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
 BUCKETS = 1 << 15
+#: Shortest and longest n-gram.
+GRAMS = (2, 3)
 #: N-grams of a text overlap, so a text counts as so many independent ones at most.
 WORTH = 60.0
 #: Pseudo-pages of the smoothing: a declaration or suffix, a host towards its site, a site towards the corpus.
@@ -43,7 +45,7 @@ class Model(NamedTuple):
 
 
 def _grams(word: bytes) -> list[int]:
-    return subword.grams(word, BUCKETS)
+    return subword.grams(word, BUCKETS, GRAMS)
 
 
 def train(texts: list[str | None], labels: list[str]) -> Model:
@@ -71,23 +73,27 @@ def fit(docs: DataFrame, *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS,
 
 
 class Reader:
-    """Text log-likelihoods; remembers words up to a fixed number."""
+    """Text log-likelihoods; remembers words up to a fixed number, a row of numbers for each."""
 
-    def __init__(self, model: Model, remember: int = 200_000):
-        self.model, self.remember, self.known = model, remember, {}
+    def __init__(self, model: Model, remember: int = 400_000):
+        self.model, self.known = model, {}
+        self.rows = np.empty((remember, len(model.languages) + 1), np.float32)
 
     def likelihood(self, text: str) -> np.ndarray:
-        total, n = np.zeros(len(self.model.languages)), 0
-        for word in subword.words(text):
-            held = self.known.get(word)
-            if held is None:
-                if len(self.known) >= self.remember:
-                    self.known.clear()
-                ids = _grams(word)
-                held = self.known[word] = (self.model.log_p[ids].sum(axis=0), len(ids))
-            total += held[0]
-            n += held[1]
-        return total * (min(n, WORTH) / n) if n else total
+        found, known = subword.words(text), self.known
+        new = [w for w in dict.fromkeys(found) if w not in known]
+        if len(known) + len(new) > len(self.rows):
+            known.clear()
+            new = list(dict.fromkeys(found))
+            if len(new) > len(self.rows):
+                self.rows = np.empty((len(new), self.rows.shape[1]), np.float32)
+        for word in new:
+            ids = _grams(word)
+            row = self.rows[len(known)]
+            row[:-1], row[-1] = self.model.log_p[ids].sum(axis=0), len(ids)
+            known[word] = len(known)
+        total = self.rows[[known[w] for w in found]].sum(axis=0, dtype=np.float64) if found else np.zeros(self.rows.shape[1])
+        return total[:-1] * (min(total[-1], WORTH) / total[-1]) if found else total[:-1]
 
 
 def text_evidence(pages: DataFrame, model: Model, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -15,6 +15,8 @@ bounded by ``pool`` items. A retried task writes all its windows anew.
 
 from __future__ import annotations
 
+import sys
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections import deque
 from collections.abc import Iterable, Iterator, Sequence
@@ -42,6 +44,28 @@ SCHEMA = pa.schema(
 DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+#: ASCII marks: a run of them is one pre-token.
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+
+
+def _byte_characters() -> list[str]:
+    """How byte-level vocabularies write a byte: printable Latin-1 as itself, the others from U+0100 on in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [c for c in range(256) if c not in plain]
+    return [chr(c) if c in plain else chr(256 + others.index(c)) for c in range(256)]
+
+
+_BYTE_CHARS = _byte_characters()
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if _NATIVE else b"".join(i.to_bytes(ID_BYTES, "little") for i in ids)
+
+
+#: Whether this machine's unsigned int is the output's format.
+_NATIVE = sys.byteorder == "little" and array("I").itemsize == ID_BYTES
+
+
 class WordIds:
     """Ids of whole texts, word by word.
 
@@ -51,22 +75,32 @@ class WordIds:
     fixed number of words.
     """
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 700_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.remember, self.known = remember, {"": b""}
 
     def _word(self, word: str) -> bytes:
-        model = self.whole.model
         if "<|" in word:  # may hold a special token's string
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-        elif word.isascii() and word.isalpha():
-            ids = [t.id for t in model.tokenize(word.lower())]
-        else:
-            plain = self.whole.normalizer.normalize_str(word)
-            ids = [t.id for piece, _ in self.whole.pre_tokenizer.pre_tokenize_str(plain) for t in model.tokenize(piece)]
-        return b"".join(i.to_bytes(ID_BYTES, "little") for i in ids)
+            return _packed(self.whole.encode(word, add_special_tokens=False).ids)
+        head = word.rstrip(_MARKS)
+        if word.isascii() and not head and word.isprintable():
+            return self._piece(word)
+        if head.isalpha() and max(head) < "\u0100":
+            low, tail = head.lower(), word[len(head) :]
+            ids = self.known.get(low)
+            if ids is None:
+                ids = self.known[low] = self._piece("".join(map(_BYTE_CHARS.__getitem__, low.encode())))
+            if tail and tail not in self.known:
+                self.known[tail] = self._piece(tail)
+            return ids + self.known[tail] if tail else ids
+        plain = self.whole.normalizer.normalize_str(word)
+        return b"".join(self._piece(piece) for piece, _ in self.whole.pre_tokenizer.pre_tokenize_str(plain))
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token, its bytes written as the vocabulary's byte characters."""
+        return _packed([t.id for t in self.whole.model.tokenize(piece)])
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of the text, without special tokens."""

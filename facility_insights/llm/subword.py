@@ -14,10 +14,10 @@ Scoring thus needs one float table of fixed size.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Sequence
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 
@@ -32,13 +32,13 @@ def words(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").lower().encode("utf-8", "replace"))
 
 
-def grams(word: bytes, buckets: int = BUCKETS) -> list[int]:
+def grams(word: bytes, buckets: int = BUCKETS, sizes: tuple[int, int] = GRAMS) -> list[int]:
     """Buckets of the character n-grams of one word; a word's bytes stand for its characters."""
     marked = b"<" + word + b">"
     n = len(marked)
-    found = [zlib.crc32(marked) % buckets]
-    for size in range(GRAMS[0], min(GRAMS[1], n - 1) + 1):
-        found += [zlib.crc32(marked[i : i + size]) % buckets for i in range(n - size + 1)]
+    found = [crc32(marked) % buckets]
+    for size in range(sizes[0], min(sizes[1], n - 1) + 1):
+        found += [crc32(marked[i : i + size]) % buckets for i in range(n - size + 1)]
     return found
 
 
@@ -164,8 +164,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.1
 class Scorer:
     """Scores texts with a folded model; remembers words up to a fixed number."""
 
-    def __init__(self, model: Model, remember: int = 300_000):
-        self.model, self.remember, self.known = model, remember, {}
+    def __init__(self, model: Model, remember: int = 700_000):
+        self.model, self.remember, self.known, self.table = model, remember, {}, model.table.tolist()
 
     def _value(self, word: bytes) -> float:
         known = self.known
@@ -173,8 +173,9 @@ class Scorer:
         if value is None:
             if len(known) >= self.remember:
                 known.clear()
-            ids = grams(word, len(self.model.table))
-            value = known[word] = float(self.model.table[ids].sum()) / len(ids)
+            table = self.table
+            ids = grams(word, len(table))
+            value = known[word] = sum([table[k] for k in ids]) / len(ids)
         return value
 
     def peak(self, text: str | None) -> float:

@@ -112,22 +112,28 @@ def observe(page, reference) -> list[tuple[int, int, int]]:
     Text nodes carry the first number; elements the second: text outside boilerplate that differs
     from the reference's.
     """
-    pairs, mine, theirs = match(page, reference), _numbered(page), _numbered(reference)
-    changed = {n: len(mine[n].text) if n not in pairs or mine[n].text != theirs[pairs[n]].text else 0 for n in mine if isinstance(mine[n], dom.Run)}
-    weight: dict[int, int] = {}
+    pairs, theirs = match(page, reference), _numbered(reference)
     allowed = {r.number for r in dom.runs(page)}
-
-    def weigh(top) -> None:
-        order, waiting = [], [top]
-        while waiting:
-            at = waiting.pop()
-            order.append(at)
-            waiting.extend(at.children)
-        for at in reversed(order):
-            weight[at.number] = (changed[at.number] if at.number in allowed else 0) if isinstance(at, dom.Run) else sum(weight[c.number] for c in at.children)
-
-    weigh(page)
-    return [(r, int(isinstance(mine[n], dom.Run) and changed[n] == 0), weight[n] if isinstance(mine[n], dom.Node) else 0) for n, r in pairs.items()]
+    order, waiting = [], [page]
+    while waiting:
+        at = waiting.pop()
+        order.append(at)
+        waiting.extend(at.children)
+    weight: dict[int, int] = {}
+    found = []
+    for at in reversed(order):  # children come before their parents
+        n = at.number
+        met = pairs.get(n)
+        if type(at) is dom.Run:
+            same = met is not None and at.text == theirs[met].text
+            weight[n] = len(at.text) if not same and n in allowed else 0
+            if same:
+                found.append((met, 1, 0))
+        else:
+            weight[n] = sum([weight[c.number] for c in at.children])
+            if met is not None and weight[n]:
+                found.append((met, 0, weight[n]))
+    return found
 
 
 def induce(reference, pages: int, counts: dict[int, tuple[int, int]]) -> tuple[int, list[int]]:
