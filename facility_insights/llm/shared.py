@@ -15,15 +15,17 @@ from facility_insights.session import cut_lineage
 
 
 def worker_state(name: str, stamp: object, make: Callable[[], object]) -> object:
-    """One object per Python worker and name, made anew when the stamp changes.
+    """One object per Python worker, made anew when the name or stamp changes.
 
     It outlives a task, so words that one task has looked up are known to the next one. It is
-    only a memory of computed values: results never depend on it.
+    only a memory of computed values: results never depend on it. A worker keeps one such object at
+    a time, so the memories of several operators don't add up.
     """
-    store = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state")).__dict__
-    if name not in store or store[name][0] != stamp:
-        store[name] = (stamp, make())
-    return store[name][1]
+    store = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state"))
+    if (getattr(store, "held", None) or (None,))[0] != (name, stamp):
+        store.held = None  # frees the old one first
+        store.held = ((name, stamp), make())
+    return store.held[1]
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

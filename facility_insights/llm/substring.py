@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from facility_insights.llm.shared import text_key
 
 _BREAK = re.compile(r"((?<=[.!?])\s+|\n+)")
+#: Stands for a null id: the last one.
+_NONE = 9223372036854775807
 _WORD = re.compile(r"\S+")
 
 
@@ -99,7 +101,8 @@ def dedup(docs: DataFrame, *, sentences: int = 2, words: int = 20, long: int = 1
     """``docs`` with repeated passages cut out of the text, and n_sentences, n_removed, words_removed.
 
     The first place of a span (smallest id, nulls last, then place) stays. Rows equal in id and text
-    are one document and keep the same sentences; a null text stays null with zeros; an empty text
+    are one document and keep the same sentences; at equal ids and places with different texts, all are
+    first; a null text stays null with zeros; an empty text
     has no sentence; a document may lose all its text and stays as a row. Columns of the input named
     like the three counts are replaced.
     """
@@ -107,9 +110,11 @@ def dedup(docs: DataFrame, *, sentences: int = 2, words: int = 20, long: int = 1
     kept = [c for c in docs.columns if c not in counts]
     keyed = docs.select(*kept, text_key(id_col, text_col).alias("__key"))
     rows = span_rows(docs.select(text_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), sentences, words, long)
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "key", "first")
+    # One number for id and sentence, so that the minimum is kept in a hash aggregate.
+    place = F.coalesce(F.col("id"), F.lit(_NONE)).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("first")
+    place = place.cast("decimal(38,0)")
     firsts = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("earliest")).where("n > 1").select("hash", "earliest")
-    again = rows.join(firsts, "hash").where((F.col("earliest.key") != F.col("key")) | (F.col("earliest.first") != F.col("first")))
+    again = rows.join(firsts, "hash").where(F.col("earliest") != place)
     covered = again.groupBy(F.col("key").alias("__key")).agg(F.collect_set(F.struct("first", "past")).alias("__spans"))
     joined = keyed.join(covered, "__key", "left").select(*kept, "__spans")
     schema = joined.drop("__spans").select("*", *[F.lit(0).cast("long").alias(c) for c in counts]).schema
