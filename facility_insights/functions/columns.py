@@ -36,11 +36,12 @@ def clean_numeric_text(c: str | Column, strict: bool = False) -> Column:
 def canonical_key(c: str | Column, via_float: bool = False) -> Column:
     """Entity key as text with exactly one leading '0' removed.
 
-    ``via_float`` first cuts a fractional part at '.', for keys that went through a float.
+    ``via_float`` is for keys that went through a float: the fraction is cut off at '.', and no leading
+    zero is left (a lone 0 stays).
     """
     k = _c(c).cast("string")
     if via_float:
-        k = F.split_part(k, F.lit("."), F.lit(1))
+        return F.regexp_replace(F.split_part(k, F.lit("."), F.lit(1)), r"^0+(.)", "$1")
     return F.regexp_replace(k, r"^0", "")
 
 

@@ -13,6 +13,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema as S
+
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error").transform(
@@ -47,7 +49,7 @@ def linear_prediction(coefs: dict[str, float], features: Sequence[str]):
 
 
 def fit_boosted(df: DataFrame, features: Sequence[str], label: str, step: float = 0.1, depth: int = 3, min_instances: int = 1,
-                min_gain: float = 0.0, subset: str = "all", iterations: int = 20, seed: int = 42):
+                min_gain: float = 0.0, subset: str = "all", iterations: int = S.BOOST_ROUNDS, seed: int = 42):
     gbt = GBTRegressor(featuresCol="features", labelCol=label, stepSize=step, maxDepth=depth, minInstancesPerNode=min_instances,
                        minInfoGain=min_gain, featureSubsetStrategy=subset, maxIter=iterations, seed=seed)
     return gbt.fit(assemble(df, features))

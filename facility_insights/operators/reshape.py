@@ -25,9 +25,10 @@ def pivot_measures(
 ) -> DataFrame:
     """Long -> wide: one row per key, one column per code level.
 
-    Pass ``levels`` so Spark skips the distinct-levels job and the plan is stable. With
-    ``check_unique`` a repeated (key, code) raises (the long table must be a function of
-    (key, code)); the check is one partial-aggregated count.
+    Pass ``levels`` so Spark skips the distinct-levels job and the plan is stable. A repeated
+    (key, code) raises inside the aggregate when the table is computed (the long table must be a
+    function of (key, code)). With ``check_unique`` it raises ``DuplicatePivotCell`` at once, by
+    one partial-aggregated count.
     """
     if check_unique:
         dup = df.groupBy(key, code).count().where(F.col("count") > 1).limit(1).collect()
@@ -36,7 +37,8 @@ def pivot_measures(
             raise DuplicatePivotCell(f"repeated cell {key}={r[key]!r}, {code}={r[code]!r}")
     g = df.groupBy(key)
     p = g.pivot(code, list(levels)) if levels is not None else g.pivot(code)
-    return p.agg(F.first(value))
+    repeated = F.raise_error(F.lit(f"repeated cell: a {key} has a {code} more than once")).cast("string")
+    return p.agg(F.when(F.count(F.lit(1)) > 1, repeated).otherwise(F.first(value)))
 
 
 def unpivot_numeric(
@@ -50,7 +52,12 @@ def unpivot_numeric(
 
 
 def discover_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Distinct non-null levels of each column, sorted, in one aggregate pass."""
+    """Distinct non-null levels of each column, sorted. A first pass counts them in constant memory
+    and raises beyond ``MAX_LEVELS``, so what the second one gathers is bounded."""
+    counts = df.agg(*[F.approx_count_distinct(F.col(c).cast("string"), 0.02).alias(c) for c in columns]).first()
+    wide = {c: counts[c] for c in columns if counts[c] > S.MAX_LEVELS}
+    if wide:
+        raise ValueError(f"too many levels to make columns of: about {wide}")
     row = df.agg(*[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in columns]).first()
     return {c: list(row[c]) for c in columns}
 

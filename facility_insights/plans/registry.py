@@ -226,7 +226,7 @@ def q_cast_columns(spark, sf_dir):
     "canonical_key",
     Q.with_shapes(
         f"SELECT ccn AS ccn_raw, {Q.canon('ccn')} AS ccn FROM facility UNION ALL "
-        "SELECT provider_id || '.0', " + Q.canon("split_part(provider_id || '.0', '.', 1)") + " FROM usage_raw",
+        "SELECT provider_id || '.0', " + Q.canon_float("provider_id || '.0'") + " FROM usage_raw",
         "facility",
         "usage_raw",
     ),
@@ -1316,7 +1316,7 @@ def _train_test(spark, sf_dir, label="y1"):
 def q_boosted_fit_predict(spark, sf_dir):
     train, test = _train_test(spark, sf_dir)
     tr, te, _ = scale_impute(train.select("ccn", *_X, "y1"), test.select("ccn", *_X, "y1"))
-    model = regress.fit_boosted(tr, _X, "y1", step=0.1, depth=3, iterations=20)
+    model = regress.fit_boosted(tr, _X, "y1")
     return r6(regress.predict(model, te, _X).select("ccn", "y1", "prediction"))
 
 
@@ -1328,19 +1328,39 @@ def _stacked_train(spark, sf_dir, label="y1"):
 
 @register("random_search")
 def q_random_search(spark, sf_dir):
-    return r6(evaluate.random_search(_stacked_train(spark, sf_dir), _X, "y1", S.N_FOLDS, iterations=5))
+    return r6(evaluate.random_search(_stacked_train(spark, sf_dir), _X, "y1", S.N_FOLDS))
+
+
+def _cv_report(spark, sf_dir) -> DataFrame:
+    """Linear against quantile boosting for both targets, cross-validated on the training rows."""
+    out = None
+    for y in S.TARGETS:
+        train, _ = _train_test(spark, sf_dir, y)
+        rows = evaluate.cv_compare(train.select("ccn", *_X, y), "ccn", _X, y).withColumn("target", F.lit(y))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _resample_report(spark, sf_dir) -> DataFrame:
+    """Linear, kNN and boosted models for both targets on the training rows' random splits, one row for each
+    split; the missing rates are those of the rows without a label."""
+    out = None
+    for y in S.TARGETS:
+        sp = split_table(spark, sf_dir)
+        rows = sp.where((F.col("part") == "train") & F.col(y).isNotNull()).unionByName(sp.where(F.col(y).isNull())).select("ccn", *_X, y)
+        found = evaluate.resample_eval(rows, "ccn", _X, y).withColumn("target", F.lit(y))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @register("cv_compare")
 def q_cv_compare(spark, sf_dir):
-    train, _ = _train_test(spark, sf_dir)
-    return r6(evaluate.cv_compare(train.select("ccn", *_X, "y1"), "ccn", _X, "y1", models=("lr", "gbt")))
+    return r6(_cv_report(spark, sf_dir))
 
 
 @register("resample_eval")
 def q_resample_eval(spark, sf_dir):
-    f = sh.features_num(spark, sf_dir)
-    return r6(evaluate.resample_eval(f, "ccn", _X, "y1", models=("lr", "knn", "gbt")))
+    return r6(_resample_report(spark, sf_dir))
 
 
 def _score_sql() -> str:
@@ -1397,7 +1417,7 @@ def q_attribution_linear(spark, sf_dir):
 def q_permutation_importance(spark, sf_dir):
     train, test = _train_test(spark, sf_dir)
     tr, te, _ = scale_impute(train.select("ccn", *_X, "y1"), test.select("ccn", *_X, "y1"))
-    model = regress.fit_boosted(tr, _X, "y1", iterations=10)
+    model = regress.fit_boosted(tr, _X, "y1")
     te = cut_lineage_df(te)
     return r6(evaluate.permutation_importance(te, "ccn", _X, "y1", lambda d: regress.predict(model, d, _X)))
 
@@ -1426,7 +1446,14 @@ def q_export_training(spark, sf_dir):
     return r6(back.select(*[F.col(c).cast("double").alias(c) for c in back.columns]))
 
 
-@register("model_roundtrip")
+@register(
+    "model_roundtrip",
+    Q.with_all(
+        _TRAIN_SQL + ", " + _ols2_sql("tr"),
+        "SELECT te.ccn, te.y1, (round(b0 + b1 * te.x1 + b2 * te.x2, 6) + 0.0) AS prediction FROM te CROSS JOIN coef",
+        "features_num",
+    ),
+)
 def q_model_roundtrip(spark, sf_dir):
     """A5: fitted scaler and OLS pipeline saved with Spark ML persistence, loaded, re-applied."""
     from pyspark.ml import Pipeline, PipelineModel
@@ -1446,46 +1473,52 @@ def q_model_roundtrip(spark, sf_dir):
     return r6(loaded.transform(test).select("ccn", "y1", "prediction"))
 
 
+def _reloaded(spark, model, name: str):
+    """A model saved to the shared folder and read again, as a later job would."""
+    path = scratch_path(spark, name)
+    model.write().overwrite().save(path)
+    return type(model).load(path)
+
+
 @register("train_insight")
 def q_train_insight(spark, sf_dir):
-    """P7: per target, scaler + imputer + OLS on the training rows; coefficient table."""
-    rows = []
+    """P7: per target, scaler + imputer + OLS on the training rows; the model is saved and the
+    coefficient table comes from the reloaded one."""
     sp = split_table(spark, sf_dir)
     out = None
     for y in S.TARGETS:
         train = sp.where((F.col("part") == "train") & F.col(y).isNotNull()).select("ccn", *_X, y)
         tr, _, _ = scale_impute(train, train.limit(0))
-        lr = regress.fit_linear(tr, _X, y)
+        lr = _reloaded(spark, regress.fit_linear(tr, _X, y), f"insight_{y}")
         t = regress.coefficient_table(spark, lr, _X).withColumn("target", F.lit(y))
         out = t if out is None else out.unionByName(t)
-    del rows
     return r6(out.select("target", "feature", "coefficient"))
 
 
 @register("train_prediction")
 def q_train_prediction(spark, sf_dir):
     """P8: search boosted-tree parameters (for the first target, reused for both, as the
-    reference does), fit per target on scaled + imputed rows, score the unlabelled rows."""
-    search = evaluate.random_search(_stacked_train(spark, sf_dir), _X, "y1", S.N_FOLDS, iterations=5)
+    reference does), fit per target on the scaled + imputed training rows, save and reload the
+    model, score the unlabelled rows."""
+    search = evaluate.random_search(_stacked_train(spark, sf_dir), _X, "y1", S.N_FOLDS)
     best = search.where(F.col("rank") == 1).first()
     params = evaluate.gbt_params({"learning_rate": best["learning_rate"], "max_depth": best["max_depth"],
                                   "min_child_weight": best["min_child_weight"], "gamma": best["gamma"],
                                   "colsample_bytree": best["colsample_bytree"]})
-    f = sh.features_num(spark, sf_dir).select("ccn", *_X, *S.TARGETS)
+    f = split_table(spark, sf_dir).select("ccn", "part", *_X, *S.TARGETS)
     unlabelled = f.where(F.col("y1").isNull())
     out = unlabelled.select("ccn")
     for y, name in (("y1", "would_recommend"), ("y2", "rating_est")):
-        labelled = f.where(F.col(y).isNotNull())
+        labelled = f.where((F.col("part") == "train") & F.col(y).isNotNull())
         tr, ul, _ = scale_impute(labelled, unlabelled)
-        model = regress.fit_boosted(tr, _X, y, iterations=10, **params)
+        model = _reloaded(spark, regress.fit_boosted(tr, _X, y, **params), f"prediction_{y}")
         out = out.join(regress.predict(model, ul, _X, name).select("ccn", name), "ccn")
     return r6(out)
 
 
 @register("compare_models")
 def q_compare_models(spark, sf_dir):
-    """P9: the two comparison reports in one table."""
-    train, _ = _train_test(spark, sf_dir)
-    cv = evaluate.cv_compare(train.select("ccn", *_X, "y1"), "ccn", _X, "y1", models=("lr",)).withColumn("report", F.lit("cv"))
-    rs = evaluate.resample_eval(sh.features_num(spark, sf_dir), "ccn", _X, "y1", models=("lr", "knn")).withColumn("report", F.lit("resample"))
+    """P9: the two comparison reports in one table, all models and both targets (split is null in the first)."""
+    cv = _cv_report(spark, sf_dir).withColumns({"report": F.lit("cv"), "split": F.lit(None).cast("int")})
+    rs = _resample_report(spark, sf_dir).withColumn("report", F.lit("resample"))
     return r6(cv.unionByName(rs))

@@ -29,6 +29,11 @@ def canon(x: str) -> str:
     return f"regexp_replace({x}, '^0', '')"
 
 
+def canon_float(x: str) -> str:
+    """Key that went through a float: fraction cut off, all leading zeros gone (a lone 0 stays)."""
+    return f"regexp_replace(split_part({x}, '.', 1), '^0+(.)', '\\1')"
+
+
 def signed_coord(x: str) -> str:
     return f"(CASE WHEN substr({x}, 1, 1) = '+' THEN 1.0 ELSE -1.0 END * CAST(substr({x}, 2, length({x}) - 2) AS DOUBLE))"
 
@@ -62,7 +67,7 @@ def clean_facility() -> str:
 def clean_usage(with_empty: bool = True) -> str:
     ms = [m for m in S.USAGE_MEASURES if with_empty or m != "all_missing"]
     cols = ", ".join(f"{numeric_text(m)} AS {m}" for m in ms)
-    key = canon("split_part(provider_id, '.', 1)")
+    key = canon_float("provider_id")
     return (
         f"SELECT {key} AS ccn, {cols} FROM usage_raw "
         f"WHERE summary_category = '{S.USAGE_SUMMARY_CATEGORY}' AND service_category = '{S.USAGE_SERVICE_CATEGORY}'"

@@ -56,6 +56,14 @@ SEARCH_GRID = {
     "colsample_bytree": [0.3, 0.4, 0.5, 0.7],
 }
 SEARCH_DRAWS = 10
+# Boosting rounds of every boosted model (search, comparison, quantile, final fit); no query overrides it.
+BOOST_ROUNDS = 10
+# Key-hash blocks within which a feature is permuted, at any number of rows.
+PERMUTATION_BLOCKS = 16
+# Accuracy of the approximate quantiles of residuals (relative rank error 1 / accuracy).
+QUANTILE_ACCURACY = 10000
+# Levels a one-hot source column may have when they are discovered; more raise.
+MAX_LEVELS = 1000
 # Quantile of the quantile-boosting comparator (library default).
 QUANTILE_ALPHA = 0.9
 
