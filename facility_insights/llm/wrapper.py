@@ -31,6 +31,8 @@ from facility_insights.session import cut_lineage
 LEAST_PAGES, CONSTANT_SHARE = 5, 0.9
 #: References and wrappers of up to so many bytes in all may be broadcast; more are joined by shuffle.
 SMALL_BYTES = 16 << 20
+#: Hosts up to which the choice of references (about 60 bytes each) may be broadcast.
+SMALL_HOSTS = 200_000
 
 
 def host(url: Column) -> Column:
@@ -177,9 +179,12 @@ def _references(pages: DataFrame) -> DataFrame:
     sizes = pages.where("html is not null").select("host", "id", F.length("html").alias("size"))
     middle = sizes.groupBy("host").agg(F.percentile_approx("size", 0.5, 1000).alias("middle"), F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     chosen = sizes.join(middle, "host").where("size >= middle").groupBy("host").agg(F.min(F.struct("size", "id")).alias("at"), F.max("pages").alias("pages"))
-    chosen = chosen.select("host", "pages", F.col("at.id").alias("id"), F.col("at.size").alias("size"))
-    html = pages.select("host", "id", "html", F.length("html").alias("size"))
-    return html.join(chosen, ["host", "id", "size"]).groupBy("host").agg(F.min("html").alias("reference"), F.max("pages").alias("pages"))
+    chosen = cut_lineage(chosen.select(F.col("host").alias("of_host"), "pages", F.col("at.id").alias("of_id"), F.col("at.size").alias("size")))
+    if chosen.count() <= SMALL_HOSTS:
+        chosen = F.broadcast(chosen)
+    # By the page's id, so that a host's pages do not meet in one task where the join shuffles.
+    met = pages.join(chosen, F.col("id") == F.col("of_id")).where((F.col("host") == F.col("of_host")) & (F.length("html") == F.col("size")))
+    return met.groupBy("host").agg(F.min("html").alias("reference"), F.max("pages").alias("pages"))
 
 
 def _sized(small: DataFrame, column: str) -> DataFrame:
