@@ -66,7 +66,10 @@ def fit(docs: DataFrame, *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS,
     """The model of a bounded sample of documents with a language: the first by a hash of their id and text."""
     known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0) & (F.length(text_col) <= chars))
     order = F.xxhash64(F.col(id_col), F.col(text_col))
-    sample = known.select(order.alias("o"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).orderBy("o", "l").limit(rows).toPandas()
+    # The bound on the hash comes from hashes alone: tasks send numbers to the driver, not texts.
+    bound = known.select(order.alias("o")).distinct().orderBy("o").limit(rows).agg(F.max("o")).first()[0]
+    near = known.where(order <= F.lit(bound)).groupBy(order.alias("o")).agg(F.min(F.col(text_col)).alias("t"), F.min(lang_col).alias("l"))
+    sample = near.toPandas().sort_values("o")
     if not len(sample):
         raise ValueError("no document has a text and a language")
     return train(sample["t"].tolist(), sample["l"].tolist())
