@@ -17,18 +17,18 @@ def hist_by_width(df: DataFrame, value: str, width: float, group: str) -> DataFr
     """Density histogram with fixed bin width, bins starting at the scope's minimum:
     ``bin = floor((x - min) / width)``, ``density = count / (n * width)``; national rows
     (``scope='national'``, group NULL) and every group at once via GROUPING SETS."""
-    v = df.where(F.col(value).isNotNull()).select(F.col(group), F.col(value).cast("double").alias("x"))
-    mins_g = v.groupBy(group).agg(F.min("x").alias("_min_g"), F.count(F.lit(1)).alias("_n_g"))
-    mins_n = v.agg(F.min("x").alias("_min_n"), F.count(F.lit(1)).alias("_n_n"))
+    v = df.where(F.col(value).isNotNull()).groupBy(F.col(group), F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("_c"))
+    mins_g = v.groupBy(group).agg(F.min("x").alias("_min_g"), F.sum("_c").alias("_n_g"))
+    mins_n = v.agg(F.min("x").alias("_min_n"), F.sum("_c").alias("_n_n"))
     j = v.join(mins_g, group).crossJoin(F.broadcast(mins_n))
     j = j.withColumn("_bg", F.floor((F.col("x") - F.col("_min_g")) / F.lit(width)).cast("bigint"))
     j = j.withColumn("_bn", F.floor((F.col("x") - F.col("_min_n")) / F.lit(width)).cast("bigint"))
-    per_group = j.groupBy(group, "_bg", "_min_g", "_n_g").agg(F.count(F.lit(1)).alias("count")).select(
+    per_group = j.groupBy(group, "_bg", "_min_g", "_n_g").agg(F.sum("_c").alias("count")).select(
         F.lit("state").alias("scope"), F.col(group), F.col("_bg").alias("bin"),
         (F.col("_min_g") + F.col("_bg") * F.lit(width)).alias("bin_start"), F.col("count").cast("bigint").alias("count"),
         (F.col("count") / (F.col("_n_g") * F.lit(width))).alias("density"),
     )
-    nation = j.groupBy("_bn", "_min_n", "_n_n").agg(F.count(F.lit(1)).alias("count")).select(
+    nation = j.groupBy("_bn", "_min_n", "_n_n").agg(F.sum("_c").alias("count")).select(
         F.lit("national").alias("scope"), F.lit(None).cast(v.schema[group].dataType).alias(group), F.col("_bn").alias("bin"),
         (F.col("_min_n") + F.col("_bn") * F.lit(width)).alias("bin_start"), F.col("count").cast("bigint").alias("count"),
         (F.col("count") / (F.col("_n_n") * F.lit(width))).alias("density"),
@@ -39,13 +39,13 @@ def hist_by_width(df: DataFrame, value: str, width: float, group: str) -> DataFr
 def hist_by_count(long: DataFrame, variable: str, value: str, bins: int) -> DataFrame:
     """Density histogram with ``bins`` equal bins between each variable's min and max; the
     maximum belongs to the last bin. density = count / (n * bin width)."""
-    v = long.where(F.col(value).isNotNull()).select(variable, F.col(value).cast("double").alias("x"))
-    st = v.groupBy(variable).agg(F.min("x").alias("_mn"), F.max("x").alias("_mx"), F.count(F.lit(1)).alias("_n"))
+    v = long.where(F.col(value).isNotNull()).groupBy(F.col(variable), F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("_c"))
+    st = v.groupBy(variable).agg(F.min("x").alias("_mn"), F.max("x").alias("_mx"), F.sum("_c").alias("_n"))
     j = v.join(st, variable)
     rng = F.col("_mx") - F.col("_mn")
     b = F.when(rng == 0, F.lit(0)).otherwise(F.least(F.floor((F.col("x") - F.col("_mn")) / rng * F.lit(bins)), F.lit(bins - 1)))
     j = j.withColumn("bin", b.cast("int"))
-    g = j.groupBy(variable, "bin", "_mn", "_mx", "_n").agg(F.count(F.lit(1)).alias("count"))
+    g = j.groupBy(variable, "bin", "_mn", "_mx", "_n").agg(F.sum("_c").alias("count"))
     width = F.when(rng == 0, F.lit(1.0)).otherwise(rng / F.lit(bins))
     return g.select(
         variable,

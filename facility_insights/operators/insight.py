@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def driver_top_bottom(long: DataFrame, entity: str, item: str, score: str, n_worst: int = 3) -> DataFrame:
     """Per entity: best item, worst item, the ``n_worst`` lowest items (worst first) and the sum
@@ -43,31 +45,35 @@ def driver_top_bottom(long: DataFrame, entity: str, item: str, score: str, n_wor
     )
 
 
+def _running_counts(counts: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """(by ..., value, _lt, _le, _n): rows below, rows up to and rows in all, from counts _c of distinct values.
+
+    Values are dealt out by range; each range is summed up by itself and begins at the sum of the
+    ranges before it. Only the ranges' sums, one row for each range (and group), are summed in one place.
+    """
+    dealt = cut_lineage(counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy(*by, "_range").agg(F.sum("_c").alias("_s"))
+    inside = Window.partitionBy(*by, "_range").orderBy(value)
+    before = (F.sum("_s").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_s")).alias("_before")
+    starts = sums.select(*by, "_range", before, F.sum("_s").over(Window.partitionBy(*by)).alias("_n"))
+    summed = dealt.withColumn("_up", F.sum("_c").over(inside)).join(starts, [*by, "_range"])
+    up = F.col("_before") + F.col("_up")
+    return summed.select(*by, value, (up - F.col("_c")).alias("_lt"), up.alias("_le"), "_n")
+
+
 def entity_standing(df: DataFrame, entity: str, group: str, value: str) -> DataFrame:
     """Per entity: share of rows with a lower value (percent_rank) and with a value <= its own
     (cume_dist), within its group and over all rows.
 
-    Built from value counts per (group, value) and per value: the windows run over distinct
-    values, so no partition ever holds all rows of a large group.
+    Built from value counts per (group, value) and per value, summed up over ranges of values, so
+    no task ever holds all values of a large group or of the table, even if no two rows share one.
+    The rows meet their standing in one join, whose common values AQE splits.
     """
     v = df.where(F.col(value).isNotNull())
-    gv = v.groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
-    wg = Window.partitionBy(group).orderBy(value)
-    wg_all = Window.partitionBy(group)
-    gv = gv.select(
-        group,
-        value,
-        (F.sum("_c").over(wg) - F.col("_c")).alias("_lt_g"),
-        F.sum("_c").over(wg).alias("_le_g"),
-        F.sum("_c").over(wg_all).alias("_n_g"),
-    )
-    nv = v.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    total = nv.agg(F.sum("_c").alias("_n"))
-    wn = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # distinct values only: bounded by the value domain, not by rows
-    nv = nv.select(value, (F.sum("_c").over(wn) - F.col("_c")).alias("_lt"), F.sum("_c").over(wn).alias("_le"))
-    nv = nv.crossJoin(F.broadcast(total))
-    out = v.select(entity, group, value).join(gv, [group, value]).join(nv, value)
+    counts = cut_lineage(v.groupBy(group, value).agg(F.count(F.lit(1)).alias("_c")))
+    gv = _running_counts(counts, value, [group]).toDF(group, value, "_lt_g", "_le_g", "_n_g")
+    nv = _running_counts(counts.groupBy(value).agg(F.sum("_c").alias("_c")), value, [])
+    out = v.select(entity, group, value).join(gv.join(nv, value), [group, value])
 
     def pr(lt, n):
         return F.when(F.col(n) > 1, F.col(lt) / (F.col(n) - 1)).otherwise(F.lit(0.0))
@@ -91,23 +97,15 @@ def coefficient_table(spark: SparkSession, coefficients: Mapping[str, float], la
     return spark.createDataFrame(rows, "feature string, label string, coefficient double")
 
 
-def contributions(
-    scaled: DataFrame,
-    raw: DataFrame,
-    key: str,
-    features: Sequence[str],
-    coefs: DataFrame,
-    means: DataFrame,
-) -> DataFrame:
+def contributions(scaled: DataFrame, raw: Mapping[str, str], key: str, coefs: DataFrame, means: DataFrame) -> DataFrame:
     """Per entity x feature: your score (raw value), mean score, coefficient, z, contribution = β·z.
 
-    ``scaled`` holds the transformed features, ``raw`` the un-scaled ones; ``coefs`` is
-    (feature, label, coefficient) and ``means`` (feature, mean_score) — both parameter tables
-    with one row per feature, joined as broadcasts.
+    ``scaled`` holds each transformed feature under its name and its un-scaled value under the name
+    that ``raw`` gives, so a row brings both; ``coefs`` is (feature, label, coefficient) and
+    ``means`` (feature, mean_score) — parameter tables with one row per feature, joined as broadcasts.
     """
-    z = scaled.select(key, *features).unpivot([key], list(features), "feature", "z")
-    x = raw.select(key, *[F.col(f).cast("double") for f in features]).unpivot([key], list(features), "feature", "your_score")
-    out = z.join(x, [key, "feature"]).join(F.broadcast(coefs), "feature").join(F.broadcast(means), "feature")
+    cells = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("z"), F.col(r).cast("double").alias("your_score")) for f, r in raw.items()]
+    out = scaled.select(key, F.inline(F.array(*cells))).join(F.broadcast(coefs), "feature").join(F.broadcast(means), "feature")
     return out.withColumn("contribution", F.col("coefficient") * F.col("z"))
 
 

@@ -1169,21 +1169,26 @@ def q_hist_by_width(spark, sf_dir):
     return r6(distribution.hist_by_width(resolved_scores(spark, sf_dir), "y1", 1.0, "state"))
 
 
-@register(
-    "hist_by_count",
-    Q.with_all(
+def _hist_count_sql(bins: int) -> str:
+    width = f"(CASE WHEN mx = mn THEN 1.0 ELSE (mx - mn) / {bins} END)"
+    return Q.with_all(
         f"w AS ({Q.clean_survey()}), " + _SURVEY_UNPIVOT_SQL
         + ", st AS (SELECT variable, min(value) AS mn, max(value) AS mx, count(*) AS n FROM sl GROUP BY variable), "
-        "b AS (SELECT sl.variable, mn, mx, n, CASE WHEN mx = mn THEN 0 ELSE least(floor((value - mn) / (mx - mn) * 10), 9) END AS bin "
+        f"b AS (SELECT sl.variable, mn, mx, n, CASE WHEN mx = mn THEN 0 ELSE least(floor((value - mn) / (mx - mn) * {bins}), {bins - 1}) END AS bin "
         "FROM sl JOIN st ON sl.variable = st.variable)",
-        "SELECT variable, CAST(bin AS INTEGER) AS bin, round(mn + bin * (CASE WHEN mx = mn THEN 1.0 ELSE (mx - mn) / 10 END), 6) AS bin_start, "
-        "CAST(count(*) AS BIGINT) AS count, round(count(*) / (n * (CASE WHEN mx = mn THEN 1.0 ELSE (mx - mn) / 10 END)), 6) AS density "
+        f"SELECT variable, CAST(bin AS INTEGER) AS bin, round(mn + bin * {width}, 6) AS bin_start, "
+        f"CAST(count(*) AS BIGINT) AS count, round(count(*) / (n * {width}), 6) AS density "
         "FROM b GROUP BY variable, bin, mn, mx, n",
         "survey_long",
-    ),
-)
-def q_hist_by_count(spark, sf_dir):
-    return r6(distribution.hist_by_count(_survey_long_clean(spark, sf_dir), "variable", "value", 10))
+    )
+
+
+def _hist_count(bins: int):
+    return lambda spark, sf_dir: r6(distribution.hist_by_count(_survey_long_clean(spark, sf_dir), "variable", "value", bins))
+
+
+for _key, _bins in (("hist_by_count", 10), ("hist_by_count_12", 12), ("hist_by_count_20", 20)):
+    register(_key, _hist_count_sql(_bins))(_hist_count(_bins))
 
 
 @register(
@@ -1251,7 +1256,8 @@ def contributions_table(spark, sf_dir):
     entities = sp.join(sh.predictions(spark, sf_dir).select("ccn"), "ccn", "left_anti")  # K5: observed entities only
     coef_df = insight.coefficient_table(spark, coefs, labelled)
     means = insight.column_means(sp, _DENSE)
-    contrib = insight.contributions(scaler.transform(entities), entities, "ccn", _DENSE, coef_df, means)
+    raw = {f: f"_raw_{f}" for f in _DENSE}
+    contrib = insight.contributions(scaler.transform(entities.withColumns({r: F.col(f) for f, r in raw.items()})), raw, "ccn", coef_df, means)
     return entities, coefs, contrib, scaler
 
 
