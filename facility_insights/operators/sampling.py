@@ -29,8 +29,8 @@ def stratified_split(
 
     Exact per-stratum sizes without a window over a whole stratum (a hot stratum could hold a
     third of all rows): rows are counted per (stratum, hash bucket) with partial aggregation,
-    the boundary bucket of each stratum is found on that small table, and only rows of the
-    boundary bucket are ranked, in a window partitioned by (stratum, bucket).
+    the boundary bucket of each stratum is found on that small table, and rows are ranked in a
+    window partitioned by (stratum, bucket), which the join on the same keys has dealt out already.
     """
     h = md5_rank_key(key, seed)
     d = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, _BUCKET_HEX), 16, 10).cast("int"))
@@ -54,11 +54,11 @@ def stratified_split(
         (F.col("_k") - F.col("_before")).alias("_need"),
     )
     j = d.join(plan, [strata, "_b"], "left")
-    edge = j.where(F.col("_kind") == "edge")
-    rest = j.where(F.col("_kind") != "edge").withColumn(out, F.col("_kind"))
     rn = F.row_number().over(Window.partitionBy(strata, "_b").orderBy("_h"))
-    edge = edge.withColumn(out, F.when(rn <= F.col("_need"), F.lit("test")).otherwise(F.lit("train")))
-    return rest.unionByName(edge).drop("_h", "_b", "_kind", "_need", "_s")
+    edge = F.when(rn <= F.col("_need"), F.lit("test")).otherwise(F.lit("train"))
+    # rows without a key have no bucket and are never tested on
+    j = j.withColumn(out, F.when(F.col("_kind") == "edge", edge).otherwise(F.coalesce(F.col("_kind"), F.lit("train"))))
+    return j.drop("_h", "_b", "_kind", "_need", "_s")
 
 
 def select_part(df: DataFrame, part: str, label: str | None = None, column: str = "part") -> DataFrame:
