@@ -90,3 +90,30 @@ def test_same_seed_same_folds(spark):
     a = sorted(map(tuple, f.select("ccn", sampling.fold_column("ccn")).collect()))
     b = sorted(map(tuple, f.repartition(3).select("ccn", sampling.fold_column("ccn")).collect()))
     assert a == b
+
+
+def test_standing_over_several_ranges(spark):
+    import random
+
+    from facility_insights.operators import insight
+
+    r = random.Random(2)
+    rows = [(k, "a" if k % 3 else "b", r.choice([5.0, round(r.random() * 9, 2), None])) for k in range(400)]
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")  # each range stays a partition of its own
+    try:
+        df = spark.createDataFrame(rows, "ccn int, state string, y double")
+        found = insight.entity_standing(df, "ccn", "state", "y").collect()
+        ranges = {x._range for x in df.groupBy("y").count().repartitionByRange("y").withColumn("_range", F.spark_partition_id()).collect()}
+        empty = insight.entity_standing(df.limit(0), "ccn", "state", "y").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert len(ranges) > 2 and empty == []
+    held = [x for x in rows if x[2] is not None]
+    assert sorted(x.ccn for x in found) == sorted(x[0] for x in held)
+    for x in found:
+        for scope, rank, dist in ((x.state, x.group_percent_rank, x.group_cume_dist), (None, x.nation_percent_rank, x.nation_cume_dist)):
+            ys = [y for _, s, y in held if scope in (None, s)]
+            assert abs(rank - sum(y < x.y for y in ys) / (len(ys) - 1)) < 1e-12
+            assert abs(dist - sum(y <= x.y for y in ys) / len(ys)) < 1e-12
