@@ -12,12 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def hist_by_width(df: DataFrame, value: str, width: float, group: str) -> DataFrame:
     """Density histogram with fixed bin width, bins starting at the scope's minimum:
     ``bin = floor((x - min) / width)``, ``density = count / (n * width)``; national rows
     (``scope='national'``, group NULL) and every group at once via GROUPING SETS."""
     v = df.where(F.col(value).isNotNull()).groupBy(F.col(group), F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("_c"))
+    v = cut_lineage(v)  # read four times below
     mins_g = v.groupBy(group).agg(F.min("x").alias("_min_g"), F.sum("_c").alias("_n_g"))
     mins_n = v.agg(F.min("x").alias("_min_n"), F.sum("_c").alias("_n_n"))
     j = v.join(mins_g, group).crossJoin(F.broadcast(mins_n))
