@@ -1,25 +1,33 @@
 """Exact k-nearest-donor averages without a cross join.
 
 Distance is the NaN-aware Euclidean distance of the reference's imputer:
-``sqrt(p / |S| * sum_{j in S} (q_j - d_j)^2)`` over the features ``S`` present in both rows;
-pairs sharing no feature have no distance. A target cell is the average of the target over the
-``k`` nearest donors having that target (ties: smaller donor key first).
-
-Plan (every step is a DataFrame job; nothing collects rows):
-
-* Donors with identical values are pre-aggregated to one weighted row (``w`` copies, smallest
-  key), so a hot group of copies is one row, and top-k takes ``min(w, k - taken)`` from it.
-* Round with radius ``r``: since ``dist <= r`` implies ``|q_j - d_j| <= r`` on every shared
-  feature, rows are bucketed on a grid of width ``2r`` over the shared subspace. A donor
-  emits one cell key per query missing-pattern ``P`` (``S = P & present(d)``); a query emits
-  the <= 2 cells per shared dimension its ``r``-box touches, for every subset ``S`` of its
-  present features. The equi-join on (P, S, cells) yields each pair at most once.
-* Per (query, target) the candidates within ``r`` are ranked by (distance, key); when their
-  weight reaches ``k`` the answer is exact (every other donor is farther than ``r``).
-  Unfinished items go to the next round with ``2r``; when ``r`` exceeds the data diameter
-  every donor is a candidate, so the last round is exact too. Items without any donor get NULL
-  (callers fall back to the column mean).
-* Each round's results and remainder are checkpointed into the shared checkpoint folder.
+``sqrt(p / |S| * sum_{j in S} (q_j - d_j)^2)`` over the features ``S`` present in both rows (NaN
+counts as NULL); pairs sharing no feature have no distance. A target cell is the average of the
+target over the ``k`` nearest donors having that target (ties: smaller donor key first). Items
+without any donor get no row (callers fall back to the column mean).
+
+Donors with identical values are one weighted row (``w`` copies, smallest key) on every path, so
+a hot group of copies is one row, and top-k takes ``min(w, k - taken)`` from it.
+
+Two exact paths, both Spark jobs; nothing collects rows:
+
+* **Grid**, for at most ``GRID_FEATURES`` features. A radius follows from a level, ``r = diameter / 2^L``, and
+  every query starts at its own level: the finest one at which its own cell holds ``k`` donors, less
+  one. So boxes are small where donors are dense and wide where they are sparse, and the
+  candidates of a query don't grow with the table. Since ``dist <= r`` implies
+  ``|q_j - d_j| <= r * sqrt(|S| / p)`` on every shared feature, rows are bucketed on a grid over the shared
+  subspace: a donor emits one cell for every (missing pattern ``P``, level) that queries have, with
+  ``S = P & present(d)``; a query emits the <= 2 cells per shared dimension its box touches, for every
+  subset ``S`` of its present features. The equi-join on (P, L, S, cells) yields each pair at most once.
+  Candidates within ``r`` are ranked by (distance, key); when their weight reaches ``k`` the answer is
+  exact (every other donor is farther than ``r``). Unfinished items go to the next round one level up.
+* **Blocks**, for wider tables, for targets that at most ``SCARCE_DONORS`` donors have, and for the few
+  items the grid leaves at its coarsest level. Queries and donors are hashed into blocks of about
+  ``BLOCK_ROWS`` rows; each pair of blocks is one NumPy task that returns the top k of every item, and
+  a second top k joins the donor blocks. Memory is bounded by two blocks. With many features the work is
+  queries times distinct donors, as no grid or band tells donors apart there.
+
+Each round's results and remainder are checkpointed into the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -27,71 +35,197 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+#: Up to so many features the grid is used (a query has at most 2^p - 1 subsets).
+GRID_FEATURES = 6
+#: Targets that so many distinct donors or fewer have are searched in blocks at once.
+SCARCE_DONORS = 4096
+#: Rows of a block; a task holds two blocks and a slab of distances.
+BLOCK_ROWS = 20_000
+
 _MARK = -(2**62)  # cell id of a dimension outside S
 
 
-def _mask(cols: Sequence[str]):
+def _number(c: str) -> Column:
+    """The column as a double, NaN as NULL."""
+    v = F.col(c).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def _mask(cols: Sequence[str]) -> Column:
     expr = F.lit(0)
     for j, c in enumerate(cols):
         expr = expr + F.when(F.col(c).isNotNull(), F.lit(1 << j)).otherwise(F.lit(0))
     return expr
 
 
-def _query_cells(q: DataFrame, p: int, r: float) -> DataFrame:
-    """Explode query rows to (P, S, c0..cp-1) keys of the cells their r-box touches."""
-    delta = 2.0 * r
+def _has(mask: Column, j: int) -> Column:
+    return mask.bitwiseAND(F.lit(1 << j)) != 0
+
+
+def _half_width(p: int, diameter: float) -> Column:
+    """Largest difference on one shared feature within the radius of the row's level."""
+    return F.lit(diameter) * F.pow(F.lit(2.0), -F.col("_L")) * F.sqrt(F.bit_count("_S") / F.lit(float(p)))
+
+
+def _cell(value: Column) -> Column:
+    # a little wider than a box, so a box touches at most two cells in spite of rounding
+    return F.floor(value / (F.col("_h") * F.lit(2.1)))
+
+
+def _query_cells(q: DataFrame, p: int, diameter: float) -> DataFrame:
+    """Explode query rows to (P, L, S, c0..cp-1) keys of the cells their box touches."""
     subsets = F.array(*[F.lit(s) for s in range(1, 1 << p)])
-    out = q.withColumn("_S", F.explode(F.filter(subsets, lambda s: s.bitwiseAND(F.col("_P")) == s)))
+    out = q.withColumn("_S", F.explode(F.filter(subsets, lambda s: s.bitwiseAND(F.col("_P")) == s))).withColumn("_h", _half_width(p, diameter))
+    reach = F.col("_h") * F.lit(1 + 1e-9)
     for j in range(p):
-        bit = F.col("_S").bitwiseAND(F.lit(1 << j)) != 0
-        lo = F.floor((F.col(f"q{j}") - F.lit(r)) / F.lit(delta))
-        hi = F.floor((F.col(f"q{j}") + F.lit(r)) / F.lit(delta))
-        cells = F.when(bit, F.array_distinct(F.array(lo, hi))).otherwise(F.array(F.lit(_MARK).cast("bigint")))
-        out = out.withColumn(f"_c{j}", F.explode(cells))
-    return out
-
-
-def _donor_cells(d: DataFrame, p: int, r: float, patterns: Sequence[int]) -> DataFrame:
-    """One (P, S, cells) key per query pattern P for every donor sharing a feature with P."""
-    delta = 2.0 * r
-    structs = []
-    for pat in patterns:
-        s = F.col("_Pd").bitwiseAND(F.lit(pat))
-        fields = [F.lit(pat).alias("_P"), s.alias("_S")]
-        for j in range(p):
-            bit = s.bitwiseAND(F.lit(1 << j)) != 0
-            fields.append(F.when(bit, F.floor(F.col(f"d{j}") / F.lit(delta))).otherwise(F.lit(_MARK).cast("bigint")).alias(f"_c{j}"))
-        structs.append(F.struct(*fields))
-    keyed = d.select("*", F.inline(F.array(*structs)))
-    return keyed.where(F.col("_S") != 0)
-
-
-def _distance(p: int):
+        touched = F.array_distinct(F.array(_cell(F.col(f"q{j}") - reach), _cell(F.col(f"q{j}") + reach)))
+        out = out.withColumn(f"_c{j}", F.explode(F.when(_has(F.col("_S"), j), touched).otherwise(F.array(F.lit(_MARK).cast("bigint")))))
+    return out.drop("_h")
+
+
+def _donor_cells(d: DataFrame, p: int, diameter: float, steps: Sequence[tuple[int, int]]) -> DataFrame:
+    """One (P, L, S, cells) key per (query pattern, level) for every donor sharing a feature with the pattern."""
+    pairs = F.array(*[F.struct(F.lit(pat).alias("_P"), F.lit(level).alias("_L")) for pat, level in steps])
+    out = d.select("*", F.inline(pairs)).withColumn("_S", F.col("_Pd").bitwiseAND(F.col("_P"))).where("_S <> 0").withColumn("_h", _half_width(p, diameter))
+    cells = {f"_c{j}": F.when(_has(F.col("_S"), j), _cell(F.col(f"d{j}"))).otherwise(F.lit(_MARK).cast("bigint")) for j in range(p)}
+    return out.withColumns(cells).drop("_h")
+
+
+def _start_level(q: DataFrame, d: DataFrame, p: int, k: int, diameter: float, top: int) -> DataFrame:
+    """``q`` with its start level ``_L``: one coarser than the finest level at which the query's own cell over
+    all its features holds ``k`` donors. A wrong guess costs time only: every round verifies."""
+    patterns = [row["_P"] for row in q.select("_P").distinct().collect()]  # < 2^GRID_FEATURES values
+    names = [f"_c{j}" for j in range(p)]
+    steps = [(pat, level) for pat in patterns for level in range(1, top + 1)]
+    full = _donor_cells(d, p, diameter, steps).where("_S = _P")
+    counts = full.groupBy("_g", "_P", "_L", *names).agg(F.sum("w").alias("_n")).where(F.col("_n") >= k)
+    levels = q.withColumn("_S", F.col("_P")).withColumn("_L", F.explode(F.sequence(F.lit(1), F.lit(top)))).withColumn("_h", _half_width(p, diameter))
+    levels = levels.withColumns({f"_c{j}": F.when(_has(F.col("_S"), j), _cell(F.col(f"q{j}"))).otherwise(F.lit(_MARK).cast("bigint")) for j in range(p)})
+    best = levels.join(counts, ["_g", "_P", "_L", *names], "left_semi").groupBy("qkey").agg(F.max("_L").alias("_best"))
+    return q.join(best, "qkey", "left").withColumn("_L", F.greatest(F.lit(1), F.coalesce("_best", F.lit(1)) - 1)).drop("_best")
+
+
+def _distance(p: int) -> Column:
     sq = F.lit(0.0)
     for j in range(p):
-        bit = F.col("_S").bitwiseAND(F.lit(1 << j)) != 0
-        sq = sq + F.when(bit, F.pow(F.col(f"q{j}") - F.col(f"d{j}"), 2)).otherwise(F.lit(0.0))
+        sq = sq + F.when(_has(F.col("_S"), j), F.pow(F.col(f"q{j}") - F.col(f"d{j}"), 2)).otherwise(F.lit(0.0))
     return F.sqrt(F.lit(float(p)) / F.bit_count(F.col("_S")).cast("double") * sq)
 
 
+def _top(items: DataFrame, k: int) -> DataFrame:
+    """(qkey, ti, _found, value, n_donors) of the nearest donors of weight ``k`` among the candidates."""
+    win = Window.partitionBy("qkey", "ti").orderBy("dist", "dkey").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = items.withColumn("_before", F.coalesce(F.sum("w").over(win), F.lit(0)))
+    take = F.greatest(F.lit(0), F.least(F.col("w"), F.lit(k) - F.col("_before")))
+    return ranked.groupBy("qkey", "ti").agg(
+        F.sum("w").alias("_found"),
+        (F.sum(take * F.col("tv")) / F.sum(take)).alias("value"),
+        F.sum(take).alias("n_donors"),
+    )
+
+
+def _grid_round(q: DataFrame, d: DataFrame, p: int, m: int, k: int, diameter: float) -> DataFrame:
+    steps = [(row["_P"], row["_L"]) for row in q.select("_P", "_L").distinct().collect()]  # patterns x levels
+    keys = ["_g", "_P", "_L", "_S"] + [f"_c{j}" for j in range(p)]
+    pairs = _query_cells(q, p, diameter).join(_donor_cells(d, p, diameter, steps), keys).withColumn("dist", _distance(p))
+    pairs = pairs.where(F.col("dist") <= F.lit(diameter) * F.pow(F.lit(2.0), -F.col("_L")))
+    values = F.array(*[F.col(f"t{i}") for i in range(m)])
+    items = pairs.select("qkey", "dkey", "w", "dist", values.alias("_tv"), F.explode(F.filter("_need", lambda i: F.get(values, i).isNotNull())).alias("ti"))
+    return _top(items.withColumn("tv", F.get("_tv", F.col("ti"))), k).where(F.col("_found") >= k)
+
+
+def _block_search(q: DataFrame, d: DataFrame, p: int, m: int, k: int) -> DataFrame:
+    """Top k of every asked (query, target) over all donors of its group, block by block."""
+    asked = sorted(row["ti"] for row in q.select(F.explode("_need").alias("ti")).distinct().collect())  # <= m
+    if not asked:
+        return q.select("qkey", F.lit(0).alias("ti"), F.lit(0.0).alias("value"), F.lit(0).cast("bigint").alias("n_donors")).limit(0)
+    useful = F.lit(False)
+    for i in asked:
+        useful = useful | F.col(f"t{i}").isNotNull()
+    d = d.where(useful)
+    # blocks are counted in the largest group, so that no block is larger in any
+    most = [(df.groupBy("_g").count().agg(F.max("count")).first()[0] or 0) for df in (q, d)]
+    qn, dn = (max(1, -(-n // BLOCK_ROWS)) for n in most)
+    qs = q.withColumn("_b", F.pmod(F.xxhash64("qkey"), F.lit(qn))).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(dn - 1))))
+    ds = d.withColumn("_s", F.pmod(F.xxhash64("dkey"), F.lit(dn))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(qn - 1))))
+    key_type = d.schema["dkey"].dataType.simpleString()
+
+    def search(left, right):
+        import numpy as np
+        import pandas as pd
+
+        right = right.sort_values("dkey", kind="stable")
+        x = right[[f"d{j}" for j in range(p)]].to_numpy(dtype=float)
+        values = {i: right[f"t{i}"].to_numpy(dtype=float) for i in asked}
+        usable = {i: np.flatnonzero(~np.isnan(v)) for i, v in values.items()}
+        at = left[[f"q{j}" for j in range(p)]].to_numpy(dtype=float)
+        needs = left["_need"].tolist()
+        rows, targets, donors, dists = [], [], [], []
+        slab = max(1, 1_000_000 // max(1, len(x)))
+        for start in range(0, len(at) if len(x) else 0, slab):
+            part = at[start : start + slab]
+            sq, shared = np.zeros((len(part), len(x))), np.zeros((len(part), len(x)))
+            for j in range(p):
+                diff = part[:, j, None] - x[None, :, j]
+                present = ~np.isnan(diff)
+                sq += np.where(present, diff * diff, 0.0)
+                shared += present
+            dist = np.sqrt(p / np.maximum(shared, 1.0) * sq)
+            dist[shared == 0] = np.inf
+            for r in range(len(part)):
+                for i in needs[start + r]:
+                    near = dist[r, usable[i]]
+                    if len(near) > k:  # equal distances at the edge: smaller keys, which come first
+                        edge = np.partition(near, k - 1)[k - 1]
+                        inner = np.flatnonzero(near < edge)
+                        pick = np.concatenate([inner, np.flatnonzero(near == edge)[: k - len(inner)]])
+                    else:
+                        pick = np.arange(len(near))
+                    pick = pick[np.isfinite(near[pick])]
+                    rows.append(np.full(len(pick), start + r))
+                    targets.append(np.full(len(pick), i))
+                    donors.append(usable[i][pick])
+                    dists.append(near[pick])
+        rows, targets, donors = (np.concatenate(v).astype(int) if v else np.zeros(0, dtype=int) for v in (rows, targets, donors))
+        tv = np.zeros(len(rows))
+        for i in asked:
+            tv[targets == i] = values[i][donors[targets == i]]
+        return pd.DataFrame({
+            "qkey": left["qkey"].to_numpy()[rows], "ti": targets, "dkey": right["dkey"].to_numpy()[donors],
+            "w": right["w"].to_numpy()[donors], "dist": np.concatenate(dists) if dists else np.zeros(0), "tv": tv,
+        })
+
+    ids = ["_g", "_s", "_b"]
+    found = qs.groupBy(*ids).cogroup(ds.groupBy(*ids)).applyInPandas(search, f"qkey string, ti int, dkey {key_type}, w long, dist double, tv double")
+    return _top(found, k).select("qkey", "ti", "value", "n_donors")
+
+
 def prepare_donors(donors: DataFrame, key: str, features: Sequence[str], targets: Sequence[str], group: str | None = None) -> DataFrame:
     """Identical donors -> one row with weight ``w`` and the smallest key (per group)."""
-    cols = list(dict.fromkeys(list(features) + list(targets)))
     gcol = F.col(group).cast("string") if group else F.lit("")
-    g = donors.groupBy(gcol.alias("_g"), *[F.col(c) for c in cols]).agg(F.count(F.lit(1)).alias("w"), F.min(key).alias("dkey"))
-    out = g.select(
-        "_g",
-        "dkey",
-        "w",
-        *[F.col(c).cast("double").alias(f"d{j}") for j, c in enumerate(features)],
-        *[F.col(c).cast("double").alias(f"t{i}") for i, c in enumerate(targets)],
+    x = donors.select(
+        gcol.alias("_g"), F.col(key).alias("dkey"),
+        *[_number(c).alias(f"d{j}") for j, c in enumerate(features)],
+        *[_number(c).alias(f"t{i}") for i, c in enumerate(targets)],
     )
-    return out.withColumn("_Pd", _mask([f"d{j}" for j in range(len(features))]))
+    values = [c for c in x.columns if c != "dkey"]
+    return x.groupBy(*values).agg(F.count(F.lit(1)).alias("w"), F.min("dkey").alias("dkey"))
+
+
+def _diameter(q: DataFrame, d: DataFrame, p: int) -> float:
+    """Above every distance: one row of bounds from both sides."""
+    bounds = [df.agg(*[f(f"{side}{j}").alias(f"{n}{j}") for j in range(p) for n, f in (("mn", F.min), ("mx", F.max))]).first()
+              for side, df in (("q", q), ("d", d))]
+    span2 = 0.0
+    for j in range(p):
+        low, high = ([b[f"{n}{j}"] for b in bounds if b[f"{n}{j}"] is not None] for n in ("mn", "mx"))
+        span2 += (max(high) - min(low)) ** 2 if low else 0.0
+    return math.sqrt(p * span2) + 1e-9
 
 
 def knn_target_means(
@@ -100,9 +234,8 @@ def knn_target_means(
     key: str,
     features: Sequence[str],
     targets: Sequence[str],
-    need: dict[str, object] | None,
+    need: dict[str, Column] | None,
     k: int,
-    r0: float | None = None,
     group: str | None = None,
 ) -> DataFrame:
     """(key, target, value, n_donors) for every needed (query row, target).
@@ -113,82 +246,48 @@ def knn_target_means(
     output carries the group column.
     """
     p, m = len(features), len(targets)
-    need_expr = F.lit((1 << m) - 1)
-    if need is not None:
-        need_expr = F.lit(0)
-        for i, t in enumerate(targets):
-            need_expr = need_expr + F.when(need[t], F.lit(1 << i)).otherwise(F.lit(0))
+    wanted = F.array(*[F.when(need[t], F.lit(i)) if need else F.lit(i) for i, t in enumerate(targets)])
     gcol = F.col(group).cast("string") if group else F.lit("")
-    q = queries.select(
+    # The test reads the input columns, not q0..: a filter over columns that are renamed after it makes the
+    # optimizer try every mix of old and new names, 2^p of them.
+    known = F.exists(F.array(*[F.col(c).cast("double") for c in features]), lambda v: v.isNotNull() & ~F.isnan(v))
+    q = queries.where(known).select(
         F.concat(gcol, F.lit("\u0001"), F.col(key).cast("string")).alias("qkey"),
         gcol.alias("_g"),
-        *[F.col(c).cast("double").alias(f"q{j}") for j, c in enumerate(features)],
-        need_expr.alias("_need"),
+        *[_number(c).alias(f"q{j}") for j, c in enumerate(features)],
+        F.filter(wanted, lambda i: i.isNotNull()).alias("_need"),
     )
-    q = q.withColumn("_P", _mask([f"q{j}" for j in range(p)])).where((F.col("_need") != 0) & (F.col("_P") != 0))
-    d = prepare_donors(donors, key, features, targets, group)
-    d = cut_lineage(d)
-    q = cut_lineage(q)
+    q = cut_lineage(q.where(F.size("_need") > 0))
+    d = cut_lineage(prepare_donors(donors, key, features, targets, group))
 
-    # Radius schedule from one aggregate over both sides (bounded: one row).
-    aggs = []
-    for j in range(p):
-        aggs += [F.min(f"d{j}").alias(f"mn{j}"), F.max(f"d{j}").alias(f"mx{j}"), F.stddev_pop(f"d{j}").alias(f"sd{j}")]
-    st = d.agg(*aggs).first()
-    qst = q.agg(*[F.min(f"q{j}").alias(f"mn{j}") for j in range(p)], *[F.max(f"q{j}").alias(f"mx{j}") for j in range(p)]).first()
-    span2 = 0.0
-    sds = []
-    for j in range(p):
-        lo = min(x for x in (st[f"mn{j}"], qst[f"mn{j}"]) if x is not None) if (st[f"mn{j}"] is not None or qst[f"mn{j}"] is not None) else 0.0
-        hi = max(x for x in (st[f"mx{j}"], qst[f"mx{j}"]) if x is not None) if (st[f"mx{j}"] is not None or qst[f"mx{j}"] is not None) else 0.0
-        span2 += (hi - lo) ** 2
-        if st[f"sd{j}"]:
-            sds.append(st[f"sd{j}"])
-    diameter = math.sqrt(p * span2) + 1e-9
-    # start at a quarter of the geometric-mean spread (0.25 on standardised data); the rounds
-    # double r only for the items that still lack k donors
-    r = r0 if r0 is not None else (0.25 * math.exp(sum(math.log(x) for x in sds) / len(sds)) if sds else 1.0)
-    r = min(r, diameter)
-
-    results = []
-    target_arr = F.array(*[F.col(f"t{i}") for i in range(m)])
-    while True:
-        if q.isEmpty():
-            break
-        final = r >= diameter
-        patterns = [row["_P"] for row in q.select("_P").distinct().collect()]  # <= 2^p values
-        pairs = _query_cells(q, p, r).join(_donor_cells(d, p, r, patterns), ["_g", "_P", "_S"] + [f"_c{j}" for j in range(p)])
-        pairs = pairs.withColumn("dist", _distance(p)).where(F.col("dist") <= F.lit(r))
-        idx = F.array(*[F.lit(i) for i in range(m)])
-        items = pairs.select(
-            "qkey", "dkey", "w", "dist", target_arr.alias("_tv"),
-            F.explode(F.filter(idx, lambda i: (F.col("_need").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0) & F.element_at(target_arr, i + 1).isNotNull())).alias("ti"),
-        ).withColumn("tv", F.element_at("_tv", F.col("ti") + 1)).drop("_tv")
-        win = Window.partitionBy("qkey", "ti").orderBy("dist", "dkey").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = items.withColumn("_before", F.coalesce(F.sum("w").over(win), F.lit(0)))
-        take = F.greatest(F.lit(0), F.least(F.col("w"), F.lit(k) - F.col("_before")))
-        per = ranked.groupBy("qkey", "ti").agg(
-            F.sum("w").alias("_found"),
-            (F.sum(take * F.col("tv")) / F.sum(take)).alias("value"),
-            F.sum(take).alias("n_donors"),
-        )
-        done = per if final else per.where(F.col("_found") >= k)
-        done = cut_lineage(done.select("qkey", "ti", "value", "n_donors"))
-        results.append(done)
-        if final:
-            break
-        solved = done.groupBy("qkey").agg(F.sum(F.pow(F.lit(2), F.col("ti")).cast("int")).alias("_solved"))
-        q = q.join(solved, "qkey", "left").withColumn("_need", F.col("_need").bitwiseAND(F.bitwise_not(F.coalesce("_solved", F.lit(0))))).drop("_solved")
-        q = cut_lineage(q.where(F.col("_need") != 0))
-        r = min(2.0 * r, diameter)
-    if not results:
-        spark = queries.sparkSession
-        empty = spark.createDataFrame([], "qkey string, ti int, value double, n_donors long")
-        results.append(empty)
-    out = results[0]
-    for part in results[1:]:
+    blocks, results = q, []
+    if p <= GRID_FEATURES:
+        # distinct donors of each target: one row per group (bounded by the number of folds)
+        have = d.groupBy("_g").agg(F.array(*[F.count(f"t{i}") for i in range(m)]).alias("_have"), F.count(F.lit(1)).alias("_rows"))
+        # `_need` holds the items that the grid looks for, `_scarce` those that the blocks do
+        q = q.join(have, "_g").withColumn("_scarce", F.filter("_need", lambda i: F.get("_have", i) <= SCARCE_DONORS))
+        q = q.withColumn("_need", F.array_except("_need", "_scarce"))
+        blocks = q.where(F.size("_scarce") > 0).withColumn("_need", F.col("_scarce")).drop("_scarce", "_have", "_rows")
+        q = q.where(F.size("_need") > 0).drop("_scarce", "_have")
+        largest = q.agg(F.max("_rows")).first()[0]
+        if largest:
+            diameter, top = _diameter(q, d, p), math.ceil(math.log2(largest))
+            q, d = q.drop("_rows").withColumn("_P", _mask([f"q{j}" for j in range(p)])), d.withColumn("_Pd", _mask([f"d{j}" for j in range(p)]))
+            q = cut_lineage(_start_level(q, d, p, k, diameter, top))
+            while not q.isEmpty():
+                done = cut_lineage(_grid_round(q, d, p, m, k, diameter).select("qkey", "ti", "value", "n_donors"))
+                results.append(done)
+                solved = done.groupBy("qkey").agg(F.collect_set("ti").alias("_solved"))
+                q = q.join(solved, "qkey", "left").withColumn("_need", F.array_except("_need", F.coalesce("_solved", F.array().cast("array<int>")))).drop("_solved")
+                q = cut_lineage(q.where(F.size("_need") > 0).withColumn("_L", F.col("_L") - 1))
+                blocks = blocks.unionByName(q.where("_L < 1").drop("_L", "_P"))
+                q = q.where("_L >= 1")
+            blocks = blocks.groupBy("qkey", "_g", *[f"q{j}" for j in range(p)]).agg(F.flatten(F.collect_list("_need")).alias("_need"))
+        blocks = cut_lineage(blocks)
+    out = cut_lineage(_block_search(blocks, d, p, m, k))
+    for part in results:
         out = out.unionByName(part)
-    names = F.element_at(F.array(*[F.lit(t) for t in targets]), F.col("ti") + 1)
+    names = F.get(F.array(*[F.lit(t) for t in targets]), F.col("ti"))
     parts = F.split(F.col("qkey"), "\u0001", 2)
     cols = [parts[1].alias(key), names.alias("target"), "value", F.col("n_donors").cast("bigint").alias("n_donors")]
     if group:
@@ -198,20 +297,20 @@ def knn_target_means(
 
 def knn_impute(table: DataFrame, fit: DataFrame, key: str, features: Sequence[str], k: int = 5,
                group: str | None = None) -> DataFrame:
-    """Fill NULL feature cells of ``table`` with the mean of that feature over the ``k`` nearest
+    """Fill NULL (and NaN) feature cells of ``table`` with the mean of that feature over the ``k`` nearest
     ``fit`` rows having it; no usable donor -> the fit column mean (per group). Other cells
     unchanged."""
     features = list(features)
-    need = {f: F.col(f).isNull() for f in features}
+    need = {f: _number(f).isNull() for f in features}
     vals = knn_target_means(table, fit, key, features, features, need, k, group=group)
     ids = [group, key] if group else [key]
     wide = vals.groupBy(*ids).pivot("target", features).agg(F.first("value"))
     wide = wide.select(*ids, *[F.col(f).alias(f"_imp_{f}") for f in features])
     # fit column means: one row (or one row per group: bounded by the number of groups)
-    means = fit.groupBy(*([group] if group else [])).agg(*[F.avg(f).alias(f"_mu_{f}") for f in features])
+    means = fit.groupBy(*([group] if group else [])).agg(*[F.avg(_number(f)).alias(f"_mu_{f}") for f in features])
     out = table.join(wide, ids, "left")
     out = out.join(F.broadcast(means), group, "left") if group else out.crossJoin(F.broadcast(means))
-    filled = {f: F.coalesce(F.col(f).cast("double"), F.col(f"_imp_{f}"), F.col(f"_mu_{f}")) for f in features}
+    filled = {f: F.coalesce(_number(f), F.col(f"_imp_{f}"), F.col(f"_mu_{f}")) for f in features}
     return out.withColumns(filled).drop(*[f"_imp_{f}" for f in features], *[f"_mu_{f}" for f in features])
 
 

@@ -101,3 +101,52 @@ def test_knn_regress_matches_brute_force(spark):
     for i, q in enumerate(te):
         d = sorted((math.sqrt(float(np.sum((q - t) ** 2))), f"t{j:03d}", y[j]) for j, t in enumerate(tr))
         assert got[f"q{i:03d}"] == pytest.approx(np.mean([v for _, _, v in d[:7]]), abs=1e-9)
+
+
+def _frame(spark, x, keys):
+    names = [f"f{j}" for j in range(x.shape[1])]
+    rows = [(key, *[None if np.isnan(v) else float(v) for v in row]) for key, row in zip(keys, x)]
+    return spark.createDataFrame(rows, "ccn string, " + ", ".join(f"{n} double" for n in names)), names
+
+
+def _check_impute(spark, x, k=5):
+    keys = [f"k{i:04d}" for i in range(len(x))]
+    df, names = _frame(spark, x, keys)
+    got = {r["ccn"]: [r[n] for n in names] for r in knn.knn_impute(df, df, "ccn", names, k=k).collect()}
+    want = _brute_knn(x, keys, k)
+    assert len(got) == len(x)
+    for i, key in enumerate(keys):
+        assert got[key] == pytest.approx(list(want[i]), abs=1e-9)
+
+
+def test_knn_grid_with_hot_cell_and_copies(spark, monkeypatch):
+    """The grid path alone: a third of the rows in one dense spot, copies, far outliers, a scarce feature, ties."""
+    monkeypatch.setattr(knn, "SCARCE_DONORS", 0)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(60, 4)).round(1), rng.normal(scale=0.01, size=(50, 4)).round(3), rng.normal(scale=50, size=(10, 4)), np.full((12, 4), 0.5)])
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[4:, 3] = np.nan  # fewer donors than k
+    x[7] = np.nan
+    _check_impute(spark, x)
+
+
+@pytest.mark.parametrize("width", [13, 48])
+def test_knn_of_wide_tables(spark, monkeypatch, width):
+    """Blocks: more features than a grid or an integer mask takes, nulls, an almost-null and an all-null feature, copies."""
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 25)
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(70, width)).round(1)
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[3:, 2] = np.nan
+    x[20:40] = x[20]
+    _check_impute(spark, x)
+
+
+def test_knn_of_empty_tables_and_nan(spark):
+    schema = "ccn string, a double, b double"
+    none = spark.createDataFrame([], schema)
+    some = spark.createDataFrame([("x", 1.0, None), ("y", float("nan"), 2.0), ("z", 1.5, 4.0)], schema)
+    assert knn.knn_impute(none, some, "ccn", ["a", "b"]).count() == 0
+    assert [r["b"] for r in knn.knn_impute(some, none, "ccn", ["a", "b"]).orderBy("ccn").collect()] == [None, 2.0, 4.0]
+    got = {r["ccn"]: (r["a"], r["b"]) for r in knn.knn_impute(some, some, "ccn", ["a", "b"], k=1).collect()}
+    assert got == {"x": (1.0, 4.0), "y": (1.5, 2.0), "z": (1.5, 4.0)}
