@@ -1306,11 +1306,14 @@ from ..sources.files import export_csv as _export_csv  # noqa: E402
 
 def scale_impute(train: DataFrame, others: DataFrame, features=_X, key: str = "ccn"):
     """J6: scaler fitted on ``train`` -> kNN imputer fitted on the scaled train rows; both tables
-    transformed (the pipeline the reference builds from its two transformer classes)."""
+    transformed in one pass (the pipeline the reference builds from its two transformer classes). A
+    row may be in both tables."""
     scaler = NullAwareStandardScaler(inputCols=list(features)).fit(train)
-    tr = scaler.transform(train)
-    ot = scaler.transform(others)
-    return knn.knn_impute(tr, tr, key, list(features)), knn.knn_impute(ot, tr, key, list(features)), scaler
+    tr, ot = scaler.transform(train), scaler.transform(others)
+    both = tr.withColumn("_side", F.lit("0")).unionByName(ot.withColumn("_side", F.lit("1")), allowMissingColumns=True)
+    both = cut_lineage_df(both.withColumn("_id", F.concat("_side", F.col(key).cast("string"))))
+    done = cut_lineage_df(knn.knn_impute(both, both.where("_side = '0'"), "_id", list(features)))
+    return done.where("_side = '0'").select(*tr.columns), done.where("_side = '1'").select(*ot.columns), scaler
 
 
 def _train_test(spark, sf_dir, label="y1"):

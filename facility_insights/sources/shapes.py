@@ -3,7 +3,7 @@
 The reference reads public CSV files that are not available; these views rebuild their shapes
 (long survey table, provider identity + measures, lookups, usage file, ...) from the TPC-H-like
 tables so that every operator runs on data whose size grows with the scale factor. The same views
-exist as SQL in ``plans/oracle.py`` for the DuckDB check. ``k`` is ``c_custkey`` and the entity key
+exist as SQL in ``plans/oracle_shapes.py`` for the DuckDB check. ``k`` is ``c_custkey`` and the entity key
 is ``ccn = 100000 + k`` as text, every tenth key with one leading zero; modulus rules place the
 dirty values (tokens, nulls, duplicates) that the reference cleans.
 """

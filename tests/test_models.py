@@ -71,3 +71,40 @@ def test_a_repeated_cell_raises(spark):
 def test_level_discovery_is_bounded(spark):
     with pytest.raises(ValueError, match="too many levels"):
         reshape.discover_levels(spark.range(5 * S.MAX_LEVELS).select(F.col("id").cast("string").alias("c")), ["c"])
+
+
+def test_least_squares_per_group_of_a_wide_table(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 48))
+    g, true = np.arange(300) % 2, rng.normal(size=48)
+    y = x @ true + g * 2.0 + 1.0
+    names = [f"f{j}" for j in range(48)]
+    rows = [(int(a), *map(float, v), float(b)) for a, v, b in zip(g, x, y)] + [(0, *([None] * 48), 9.0), (1, *([0.0] * 48), None)]
+    df = spark.createDataFrame(rows, "g int, " + ", ".join(f"{n} double" for n in names) + ", y double")
+    coefs = evaluate.group_ols(df, names, "y")
+    assert sorted(coefs) == [0, 1]
+    for a in (0, 1):
+        assert coefs[a]["intercept"] == pytest.approx(1.0 + 2.0 * a, abs=1e-8)
+        assert [coefs[a][n] for n in names] == pytest.approx(list(true), abs=1e-8)
+
+
+def test_scale_impute_of_a_row_in_both_tables(spark):
+    from facility_insights.plans.registry import scale_impute
+
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("b", 2.0, None), ("c", 4.0, 7.0)], "ccn string, u double, v double")
+    one, two, _ = scale_impute(df, df.where("ccn = 'b'"), ["u", "v"])
+    found = {r["ccn"]: (r["u"], r["v"]) for r in one.collect()}
+    assert len(found) == 3 and found["b"][1] == pytest.approx(0.0, abs=1e-9)
+    assert [(r["u"], r["v"]) for r in two.collect()] == [found["b"]]
+
+
+def test_cached_tables_are_kept_and_given_back(spark):
+    from facility_insights.sources import files
+
+    tables = files.load_cached(spark, {"region": f"{SMALL}/region.parquet", "nation": f"{SMALL}/nation.parquet"})
+    assert all(t.storageLevel.useMemory for t in tables.values()) and tables["region"].count() == 5
+    for t in tables.values():
+        t.unpersist()
+        assert not t.storageLevel.useMemory
