@@ -47,7 +47,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substring.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), every_end=True)
 
 
 def op8_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (after ., ! or ? before white space, and at line ends); a sentence of
-more than ``long`` words is cut every ``long`` words, so that text without full stops has spans
-too. From every sentence a span runs until it has at least ``sentences`` sentences and ``words``
-words; from every line's end another one runs backwards by the same rule, so that the last words of
-a repeated passage are covered as well. Spans are hashed and joined over all documents, and
-sentences under a span that occurs earlier (by doc_id, then place) go.
+more than ``long`` words is cut after words that the hash of the word and the one before it chooses,
+and ``long`` words after the last cut at the latest. So text without full stops has spans too, and an
+equal passage is cut alike from its first chosen word on, wherever it begins. From every sentence a
+span runs until it has at least ``sentences`` sentences and ``words`` words. Backwards by the same
+rule another one runs from every line's end, or, with ``every_end``, from every sentence, so that the
+last words of a repeated passage that ends inside a line are covered as well. Spans are hashed and
+joined over all documents, and sentences under a span that occurs earlier (by doc_id, then place) go.
 
 Spans travel as numbers only. The first place of a hash is a pre-aggregated minimum, and only
 hashes with several places go back to their spans, by a join whose skewed keys Spark splits.
@@ -14,6 +16,7 @@ hashes with several places go back to their spans, by a join whose skewed keys S
 from __future__ import annotations
 
 import re
+from array import array
 
 import pyarrow as pa
 import xxhash
@@ -28,6 +31,21 @@ _NONE = 9223372036854775807
 _WORD = re.compile(r"\S+")
 
 
+def _edges(sentence: str, long: int) -> tuple[list[int], list[int]]:
+    """(places where the pieces of a long sentence begin, words of each piece)."""
+    every, digest = max(2, long // 2), xxhash.xxh32_intdigest
+    found = [(m.start(), digest(m[0])) for m in _WORD.finditer(sentence)]
+    starts, sizes, size, before = [0], [], 0, None
+    for (_, word), (after, _) in zip(found, found[1:], strict=False):
+        size += 1
+        if size == long or before is not None and (word ^ before >> 5) % every == 0:
+            starts.append(after)
+            sizes.append(size)
+            size = 0
+        before = word
+    return starts, [*sizes, size + 1]
+
+
 def cut(text: str, long: int = 16) -> list[tuple[str, int, bool]]:
     """(sentence with the white space after it, words, whether a line ends here): joined, they are the text."""
     parts = _BREAK.split(text)
@@ -35,51 +53,52 @@ def cut(text: str, long: int = 16) -> list[tuple[str, int, bool]]:
     for sentence, gap in zip(parts[::2], [*parts[1::2], "\n"], strict=True):
         n, last = len(sentence.split()), "\n" in gap
         if n > long:
-            starts = [m.start() for m in _WORD.finditer(sentence)][long::long]
-            edges = [0, *starts, len(sentence)]
-            pieces = [sentence[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+            starts, sizes = _edges(sentence, long)
+            for a, b, size in zip(starts, starts[1:], sizes, strict=False):
+                found.append((sentence[a:b], size, False))
+            found.append((sentence[starts[-1] :] + gap, sizes[-1], last))
         else:
-            pieces = [sentence]
-        for piece in pieces[:-1]:
-            found.append((piece, long, False))
-        found.append((pieces[-1] + gap, n - long * (len(pieces) - 1), last))
+            found.append((sentence + gap, n, last))
     whole, rest, last = found[-1]
     found[-1] = (whole[: len(whole) - 1], rest, last)  # the line end that was added
     return found
 
 
-def spans(pieces: list[tuple[str, int, bool]], sentences: int = 2, words: int = 20) -> list[tuple[int, int, int]]:
+def spans(pieces: list[tuple[str, int, bool]], sentences: int = 2, words: int = 20, every_end: bool = False) -> list[tuple[int, int, int]]:
     """(first, past last, hash) of every span of a cut text; empty sentences are passed over."""
-    held = [(k, " ".join(s.split()), n, last) for k, (s, n, last) in enumerate(pieces) if n or last]
-    real = [(k, s, n) for k, s, n, _ in held if n]
-    ends = set()
-    at = -1
-    for _, _, n, last in held:
+    digest = xxhash.xxh64_intdigest
+    real = [k for k, p in enumerate(pieces) if p[1]]
+    size = [pieces[k][1] for k in real]
+    ends, at = set(), -1
+    for _, n, last in pieces:
         at += bool(n)
         if last and at >= 0:
-            ends.add(at)
-    runs = set()
+            ends.add(at + 1)
+    runs = []
     total, end = 0, 0
     for start in range(len(real)):
         while end < len(real) and (end - start < sentences or total < words):
-            total += real[end][2]
+            total += size[end]
             end += 1
         if end - start < sentences or total < words:
             break
-        runs.add((start, end))
-        total -= real[start][2]
-    for last in ends:
-        start, total = last + 1, 0
-        while start > 0 and (last + 1 - start < sentences or total < words):
-            start -= 1
-            total += real[start][2]
-        if last + 1 - start >= sentences and total >= words:
-            runs.add((start, last + 1))
-    digest = xxhash.xxh64_intdigest
-    return [(real[a][0], real[b - 1][0] + 1, digest("\n".join(x[1] for x in real[a:b])) - (1 << 63)) for a, b in sorted(runs)]
-
-
-def span_rows(docs: DataFrame, sentences: int, words: int, long: int) -> DataFrame:
+        runs.append((start, end))
+        total -= size[start]
+    whole = len(runs)
+    total, start = 0, 0
+    for end in range(1, len(real) + 1):
+        total += size[end - 1]
+        while end - start > sentences and total - size[start] >= words:
+            total -= size[start]
+            start += 1
+        if (every_end or end in ends) and end - start >= sentences and total >= words and (start >= whole or runs[start][1] != end):
+            runs.append((start, end))
+    # A span is told by its sentences' hashes, so that a sentence is read once, however many spans hold it.
+    each = array("Q", [digest(" ".join(pieces[k][0].split())) for k in real]).tobytes()
+    return [(real[a], real[b - 1] + 1, digest(each[8 * a : 8 * b]) - (1 << 63)) for a, b in sorted(runs)]
+
+
+def span_rows(docs: DataFrame, sentences: int, words: int, long: int, every_end: bool) -> DataFrame:
     """(key, id, first, past, hash) of every span; ``docs`` has key, id and text."""
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("past", pa.int32()), ("hash", pa.int64())])
 
@@ -89,7 +108,7 @@ def span_rows(docs: DataFrame, sentences: int, words: int, long: int) -> DataFra
                 out: list[list] = [[], [], [], [], []]
                 part = b.slice(at, 512)
                 for key, doc, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    for first, past, value in spans(cut(text or "", long), sentences, words):
+                    for first, past, value in spans(cut(text or "", long), sentences, words, every_end):
                         for column, x in zip(out, (key, doc, first, past, value), strict=True):
                             column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
@@ -97,7 +116,7 @@ def span_rows(docs: DataFrame, sentences: int, words: int, long: int) -> DataFra
     return docs.select("key", "id", "text").mapInArrow(run, "key long, id long, first int, past int, hash long")
 
 
-def dedup(docs: DataFrame, *, sentences: int = 2, words: int = 20, long: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, *, sentences: int = 2, words: int = 20, long: int = 16, every_end: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut out of the text, and n_sentences, n_removed, words_removed.
 
     The first place of a span (smallest id, nulls last, then place) stays. Rows equal in id and text
@@ -109,7 +128,7 @@ def dedup(docs: DataFrame, *, sentences: int = 2, words: int = 20, long: int = 1
     counts = ["n_sentences", "n_removed", "words_removed"]
     kept = [c for c in docs.columns if c not in counts]
     keyed = docs.select(*kept, text_key(id_col, text_col).alias("__key"))
-    rows = span_rows(docs.select(text_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), sentences, words, long)
+    rows = span_rows(docs.select(text_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), sentences, words, long, every_end)
     # One number for id and sentence, so that the minimum is kept in a hash aggregate.
     place = F.coalesce(F.col("id"), F.lit(_NONE)).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("first")
     place = place.cast("decimal(38,0)")

@@ -310,6 +310,26 @@ def test_substring_takes_whole_repeated_passages(spark):
     assert all(found[k].text == docs[k][1].replace(passage + "\n", "") and found[k].words_removed == 60 for k in range(1, 5))
 
 
+def test_substring_takes_passages_that_end_inside_a_line(spark):
+    r = random.Random(17)
+    some = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage = " ".join(f"{some(n)}." for n in (12, 9, 14, 11, 3, 4))
+    docs = [(k, f"{some(5 + k)}. {passage} {some(8)}. {some(6 + k)}.") for k in range(6)]
+    found = {r.doc_id: r for r in substring.dedup(frame(spark, docs), every_end=True).collect()}
+    assert found[0].text == docs[0][1]
+    assert all(found[k].text == docs[k][1].replace(passage + " ", "") and found[k].words_removed == 53 for k in range(1, 6))
+
+
+def test_substring_cuts_text_without_stops_alike_at_any_offset(spark):
+    r = random.Random(18)
+    some = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage = some(120)
+    docs = [(k, f"{some(20 + k)} {passage} {some(20)}") for k in range(17)]
+    found = {r.doc_id: r for r in substring.dedup(frame(spark, docs), every_end=True).collect()}
+    assert found[0].text == docs[0][1]
+    assert all(120 >= found[k].words_removed >= 88 for k in range(1, 17))
+
+
 # -- Quality rules and line dedup
 
 
