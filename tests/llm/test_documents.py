@@ -261,6 +261,19 @@ def test_toxicity_never_learns_held_out_rows(spark):
     assert toxicity.scores(docs.limit(0), model).collect() == []
 
 
+def test_toxicity_learns_one_text_per_id_whatever_the_order(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, **_: seen.append(list(zip(texts, labels, strict=True))))
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 3 != 1]
+    rows = [(k, f"{c} text {k}", k % 2) for k in ids for c in "cab"] + [(ids[0], "z", 0)] * 100
+    for given in (rows, rows[::-1]):
+        docs = frame(spark, given, "doc_id long, text string, toxic int").repartition(3)
+        toxicity.fit(docs, docs.select("doc_id", "toxic"))
+        toxicity.fit(docs, docs.select("doc_id", "toxic"), total=100)
+    assert seen[0] == seen[2] == [(f"a text {k}", k % 2) for k in ids]
+    assert seen[1] == seen[3] and set(seen[1]) < set(seen[0]) and 80 < sum(len(t) for t, _ in seen[1]) <= 100
+
+
 # -- Substring dedup
 
 
