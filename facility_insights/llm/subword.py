@@ -6,9 +6,14 @@ gives the classes. Vectors and softmax are trained together by Adagrad in numpy
 sample. A misspelt word shares most of its n-grams with the word it was made from, so it gets a
 vector close to it although it never occurred in training.
 
-After training the softmax is folded into the vectors: mean and softmax input are linear, so a
-text's logit is the mean over its words of the mean over their n-grams of one number per bucket.
+After training the softmax is folded into the vectors: mean and softmax input are linear, so a run
+of words has as logit the mean over its words of the mean over their n-grams of one number per bucket.
 Scoring thus needs one float table of fixed size.
+
+Unlike the plain model, a text is not scored by the mean over all its words, in which a few words of
+a long text drown: it is learnt from runs of ``window`` words that carry the text's class, and scored by
+the largest logit of all its runs of ``window`` words, one beginning at each word, and by the logarithm
+of their number, since a maximum rises with the number of runs. A logistic over both gives the probability.
 """
 
 from __future__ import annotations
@@ -43,12 +48,13 @@ def grams(word: bytes, buckets: int = BUCKETS, sizes: tuple[int, int] = GRAMS) -
 
 
 class Model(NamedTuple):
-    """One number per bucket and the bias (window logit), window size, and the logistic over the largest window logit."""
+    """One number per bucket and the bias (window logit), window size, and the logistic over the largest window logit and the logarithm of the number of windows."""
 
     table: np.ndarray
     bias: float
     window: int
     slope: float
+    length_slope: float
     offset: float
 
 
@@ -108,15 +114,15 @@ def train(
 ) -> Model:
     """The folded two-class model of whole texts, learnt from their windows.
 
-    A window gets its text's class. A logistic over a text's largest window logit then turns it
-    into the probability that the whole text is of class 1: a few words decide, however long the
-    text is. A batch is such that an epoch has about ``steps`` updates, and 32 windows at least. With no text or one class only, the table is zero and every
+    A window gets its text's class. A logistic over a text's largest window logit and the logarithm of its
+    number of windows then gives the probability that the whole text is of class 1: a few words
+    decide, wherever they stand, and the length of the text is allowed for. A batch is such that an epoch has about ``steps`` updates, and 32 windows at least. With no text or one class only, the table is zero and every
     text scores the smoothed share of class 1.
     """
     y = np.asarray(list(labels), dtype=np.int64)
     prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     if len(y) == 0 or y.min() == y.max():
-        return Model(np.zeros(buckets, np.float32), 0.0, window, 0.0, prior)
+        return Model(np.zeros(buckets, np.float32), 0.0, window, 0.0, 0.0, prior)
     rng = np.random.default_rng(seed)
     vocabulary: dict[bytes, int] = {}
     bags, classes = [], []
@@ -140,25 +146,32 @@ def train(
         step = rate * (1 - epoch / epochs)
         _descend(bags, z, flat, starts, vectors, softmax, bias, seen, rate=step, decay=decay, batch=batch, rng=rng)
     table = (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32)
-    model = Model(table, float(bias[1] - bias[0]), window, 1.0, 0.0)
+    model = Model(table, float(bias[1] - bias[0]), window, 1.0, 0.0, 0.0)
     scorer = Scorer(model)
-    peak = np.array([scorer.peak(t) for t in texts])
-    slope, offset = _logistic(peak, y)
-    return Model(table, model.bias, window, slope, offset)
+    seen_by = np.array([scorer.peak(t) for t in texts])
+    return Model(table, model.bias, window, *_logistic(seen_by, y))
+
 
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.1) -> tuple[float, float, float]:
+    """Slopes of (window logit, logarithm of the number of windows) and offset of a logistic regression.
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.1) -> tuple[float, float]:
-    """Slope (0 at least) and offset of a one-variable logistic regression, by Newton's method with a small ridge."""
-    middle, spread = x.mean(), max(x.std(), 1e-6)
-    design = np.stack([(x - middle) / spread, np.ones_like(x)], axis=1)
-    w = np.array([0.0, np.log((y.sum() + 1) / (len(y) - y.sum() + 1))])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        hessian = design.T @ (design * (p * (1 - p))[:, None]) + ridge * np.eye(2)
-        step = np.linalg.solve(hessian, design.T @ (y - p) - ridge * w)
-        w += np.clip(step, -1, 1)
-    slope = max(0.0, float(w[0])) / spread
-    return slope, float(w[1]) - slope * middle
+    Newton's method with a small ridge. The first slope is 0 at least, and the second 0 at most:
+    more windows are never a reason for class 1.
+    """
+    middle, spread = x.mean(0), np.maximum(x.std(0), 1e-6)
+    design = np.concatenate([(x - middle) / spread, np.ones((len(x), 1))], axis=1)
+    start = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    slopes = [0.0, 0.0]
+    for used in ([0, 1, 2], [0, 2]):  # without the length, if its slope would be above 0
+        part, w = design[:, used], np.array([0.0] * (len(used) - 1) + [start])
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            hessian = part.T @ (part * (p * (1 - p))[:, None]) + ridge * np.eye(len(used))
+            w += np.clip(np.linalg.solve(hessian, part.T @ (y - p) - ridge * w), -1, 1)
+        slopes = [max(0.0, float(w[0]) / float(spread[0])), float(w[1]) / float(spread[1]) if len(used) == 3 else 0.0]
+        if slopes[1] <= 0:
+            break
+    return slopes[0], slopes[1], float(w[-1] - slopes[0] * middle[0] - slopes[1] * middle[1])
 
 
 class Scorer:
@@ -178,21 +191,20 @@ class Scorer:
             value = known[word] = sum([table[k] for k in ids]) / len(ids)
         return value
 
-    def peak(self, text: str | None) -> float:
-        """Largest window logit of the whole text; a text without words has the bias alone."""
+    def peak(self, text: str | None) -> tuple[float, float]:
+        """Largest window logit of the whole text and the logarithm of the number of windows.
+
+        A text of fewer words than a window is one window; a text without words has the bias alone.
+        """
         values = [self._value(w) for w in words(text)]
         size, bias = self.model.window, self.model.bias
-        if not values:
-            return bias
-        whole = len(values) // size * size
-        best = -np.inf
-        if whole:
-            best = np.asarray(values[:whole]).reshape(-1, size).mean(1).max()
-        if whole < len(values):
-            best = max(best, sum(values[whole:]) / (len(values) - whole))
-        return bias + float(best)
+        if len(values) <= size:
+            return bias + (sum(values) / len(values) if values else 0.0), 0.0
+        upto = np.cumsum([0.0, *values])
+        return bias + float((upto[size:] - upto[:-size]).max()) / size, float(np.log(len(values) - size + 1))
 
     def score(self, text: str | None) -> float:
         """Probability of class 1."""
-        at = self.model.slope * self.peak(text) + self.model.offset
+        logit, windows = self.peak(text)
+        at = self.model.slope * logit + self.model.length_slope * windows + self.model.offset
         return float(1 / (1 + np.exp(-np.clip(at, -40, 40))))

@@ -58,7 +58,7 @@ def scores(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, id_co
     of = docs.select(*kept)
     schema = of.select("*", F.lit(0.0).alias("score")).schema
     at = kept.index(text_col)
-    stamp = (float(model.table.sum()), model.bias, model.slope, model.offset)
+    stamp = (float(model.table.sum()), model.bias, model.slope, model.length_slope, model.offset)
 
     def run(batches):
         scorer = worker_state("toxicity", stamp, lambda: Scorer(model))

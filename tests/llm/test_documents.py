@@ -240,6 +240,18 @@ def test_subword_model_learns_and_knows_misspellings():
     assert subword.Scorer(subword.train(["a", "b"], [0, 0])).score("x") < 0.5
 
 
+def test_subword_score_of_a_phrase_does_not_depend_on_its_place():
+    r = random.Random(4)
+    calm = ["".join(r.choice("aeioulmnrst") for _ in range(r.randint(2, 8))) for _ in range(300)]
+    texts = [[r.choice(calm) for _ in range(r.randint(20, 100))] for _ in range(400)]
+    for words in texts[::4]:
+        words[5:8] = ["grobwick", "hexfudge", "blothead"]
+    scorer = subword.Scorer(subword.train([" ".join(t) for t in texts], [int(k % 4 == 0) for k in range(400)]))
+    scores = [scorer.score(" ".join(["soan"] * (12 + k) + ["grobwick", "hexfudge", "blothead"] + ["soan"] * (24 - k))) for k in range(6)]
+    assert min(scores) >= 0.7 and max(scores) - min(scores) < 1e-6
+    assert scorer.score(" ".join(["soan", "lant"] * 4000)) <= scorer.score(" ".join(["soan", "lant"] * 40)) + 1e-9
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
