@@ -15,8 +15,9 @@ place. Then lines of n words with 2^j <= n < 2^(j+1) are hashed by their first a
 words (at n = 2^j also by half as many): one edit leaves the one or the other as it is, so lines
 that share neither with any other line have no alike line and emit no variant.
 
-A variant's hash is a sum over its words of a hash of word and place, so that all variants of a
-line come from running sums, in time proportional to the line.
+A variant's hash is the exclusive or over its words of a 64-bit hash of word and place, so that all
+variants of a line come from running values, in time proportional to the line. It keeps all 64 bits: a
+colliding earlier line would hide the alike one.
 
 Everything on this path is a DataFrame expression.
 """
@@ -30,7 +31,7 @@ from facility_insights.llm.shared import text_key
 from facility_insights.session import cut_lineage
 
 SPACE = " \t\x0b\f\r"
-#: Running sums are made in blocks of so many words.
+#: Running values are made in blocks of so many words.
 BLOCK = 64
 #: Sides of up to so many rows (about 40 bytes each) may be broadcast; larger ones are joined by shuffle.
 SMALL_ROWS = 500_000
@@ -67,13 +68,13 @@ def _anchors(least_words: int) -> list[Column]:
 
 
 def _running(values: Column) -> Column:
-    """The sums of the values before each place, block by block."""
+    """The exclusive ors of the values before each place, block by block."""
 
     def block(a: Column, at: Column) -> Column:
         inner = F.aggregate(
             F.slice(values, at + 1, F.lit(BLOCK)),
             F.struct(a["s"].alias("s"), F.array().cast("array<bigint>").alias("sums")),
-            lambda u, x: F.struct((u["s"] + x).alias("s"), F.concat(u["sums"], F.array(u["s"])).alias("sums")),
+            lambda u, x: F.struct(u["s"].bitwiseXOR(x).alias("s"), F.concat(u["sums"], F.array(u["s"])).alias("sums")),
         )
         return _let(inner, lambda v: F.struct(v["s"].alias("s"), F.concat(a["all"], F.array(v["sums"])).alias("all")))
 
@@ -86,7 +87,7 @@ def _variants(line: Column) -> Column:
     """Array of (v, i): the hash without the word at place i, and of the whole line at i = -1."""
 
     def hashed(word: Column, place: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(word, place), 24)  # 40 bits: sums of millions fit a long
+        return F.xxhash64(word, place)
 
     def of(w: Column) -> Column:
         here = F.transform(w, lambda x, i: hashed(x, i))
@@ -94,14 +95,14 @@ def _variants(line: Column) -> Column:
         return _let(F.struct(here.alias("a"), moved.alias("b")), sums)
 
     def total(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y)
+        return F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s.bitwiseXOR(y))
 
     def sums(t: Column) -> Column:
-        change = F.zip_with(t["a"], t["b"], lambda a, b: a - b)
+        change = F.zip_with(t["a"], t["b"], lambda a, b: a.bitwiseXOR(b))
         return _let(F.struct(_let(change, _running).alias("before"), t["b"].alias("b"), total(t["a"]).alias("whole"), total(t["b"]).alias("rest")), out)
 
     def out(t: Column) -> Column:
-        cut = F.zip_with(t["before"], t["b"], lambda s, b: t["rest"] + s - b)
+        cut = F.zip_with(t["before"], t["b"], lambda s, b: t["rest"].bitwiseXOR(s).bitwiseXOR(b))
         each = F.transform(cut, lambda v, i: F.struct(v.alias("v"), i.cast("int").alias("i")))
         return F.concat(F.array(F.struct(t["whole"].alias("v"), F.lit(-1).alias("i"))), each)
 

@@ -442,6 +442,13 @@ def test_lines(spark):
     assert lines.dedup(df.limit(0)).collect() == []
 
 
+def test_a_line_with_an_equal_short_hash_hides_no_alike_line(spark):
+    # The first two words' hashes cut to 40 bits have equal sums.
+    docs = [(0, "w198 w3369 c d e x"), (1, "w536 w1302 c d e x"), (2, "w536 w1302 c d e y")]
+    found = {r.doc_id: r.text for r in lines.dedup(frame(spark, docs)).collect()}
+    assert found == {0: docs[0][1], 1: docs[1][1], 2: ""}
+
+
 def test_long_lines_and_crowded_variants(spark):
     base = [f"w{k}" for k in range(3000)]
     docs = [(0, " ".join(base)), (1, " ".join(base[:1500] + ["new"] + base[1501:])), (2, " ".join(base[:700] + base[702:])), (3, " ".join([*base, "more"]))]
