@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from facility_insights.llm import chat, decontaminate, language, lines, packing, quality, simhash, sql, substring, toxicity, wrapper
+from facility_insights.llm import bpe, chat, decontaminate, language, lexical, lines, packing, quality, simhash, sql, substring, toxicity, whitening, wrapper
 
 #: The contract's extra conversation.
 EXTRA = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -62,8 +62,36 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _read(spark, sf_dir, "embeddings")
+    return whitening.whiten(table, whitening.fit(table, components=4))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digest(bpe.encode(_read(spark, sf_dir, "documents"), path=path, pattern=public_tokenizers.PATTERN), path=path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_packing, op3_chat, op4_toxicity, op5_decontamination, op6_language, op7_substring, op8_wrapper, op9_quality, op10_lines)
+    for f in (
+        op1_simhash,
+        op2_packing,
+        op3_chat,
+        op4_toxicity,
+        op5_decontamination,
+        op6_language,
+        op7_substring,
+        op8_wrapper,
+        op9_quality,
+        op10_lines,
+        op11_lexical,
+        op12_whitening,
+        op13_bpe,
+    )
 }
 ORACLE: dict[str, str] = sql.ORACLE

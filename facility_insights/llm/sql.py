@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from facility_insights.llm import chat, quality
+from facility_insights.llm import chat, lexical, quality
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _CLASS = r"[0-9a-z\x{80}-\x{10FFFF}]+"
@@ -121,4 +121,20 @@ SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') E
 FROM d LEFT JOIN kept USING (r)
 """
 
-ORACLE: dict[str, str] = {"op3_chat": CHAT, "op5_decontamination": DECONTAMINATION, "op9_quality": QUALITY, "op10_lines": LINES}
+# "//" rounds down, as all numbers are positive.
+LEXICAL = f"""
+WITH d AS (SELECT * FROM (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_CLASS}') AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 0),
+s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_words FROM d),
+b AS (SELECT row_number() OVER () AS q, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+t AS (SELECT DISTINCT q, item_id, unnest(regexp_extract_all({_LOWER}, '{_CLASS}')) AS term FROM b),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM t) GROUP BY r, term),
+f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY term, n_docs),
+m AS (SELECT r, doc_id, {lexical.LENGTH - lexical.SLOPE} + ({lexical.SLOPE} * len(w) * n_docs) // n_words AS norm FROM d, s),
+x AS (
+  SELECT q, item_id, m.r, doc_id, sum(weight * (({lexical.SHARE} * tf) // ({lexical.FREQUENCY} * tf + 20 * norm)))::BIGINT AS score
+  FROM t JOIN p USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY q, item_id, m.r, doc_id)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM x WHERE score > 0) WHERE rank <= 50
+"""
+
+ORACLE: dict[str, str] = {"op3_chat": CHAT, "op5_decontamination": DECONTAMINATION, "op9_quality": QUALITY, "op10_lines": LINES, "op11_lexical": LEXICAL}
