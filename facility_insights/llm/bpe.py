@@ -37,9 +37,9 @@ from facility_insights.session import scratch_path
 #: Characters of a chunk; its overlap with the next one comes on top.
 CHUNK = 1 << 16
 #: Distinct pre-tokens that a worker keeps, and the longest that it keeps.
-REMEMBER, LONGEST = 400_000, 64
+REMEMBER, LONGEST = 300_000, 64
 #: Ids of one Arrow batch, about.
-BATCH_IDS = 2_000_000
+BATCH_IDS = 500_000
 
 #: A match is sure if so many characters behind it are known: the pattern looks two ahead at most.
 _AHEAD = 2
@@ -150,7 +150,7 @@ def _lists(encoded: list[bytes]) -> pa.ListArray:
 
 
 def _slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
-    """(first, number) of runs of rows that hold about ``most`` ids."""
+    """(first, number) of runs of rows that hold about ``most`` ids or bytes."""
     first = held = at = 0
     for size in sizes:
         held, at = held + size, at + 1
@@ -265,14 +265,9 @@ def encode(docs: DataFrame, *, path: str, pattern: str, chunk: int = CHUNK, id_c
     def short(rows):
         pieces = _worker(path, pattern, foreign)
         for b in rows:
-            encoded: list[bytes] = []
-            held = 0
-            for at, text in enumerate(b.column(1).to_pylist()):
-                encoded.append(pieces.encode(text))
-                held += len(encoded[-1])
-                if held >= 4 * BATCH_IDS or at == b.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at + 1 - len(encoded), len(encoded)), _lists(encoded)], names=["doc_id", "ids"])
-                    encoded, held = [], 0
+            for first, n in _slices(pc.binary_length(b.column(1)).to_pylist(), 2 * BATCH_IDS):
+                part = b.slice(first, n)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists([pieces.encode(text) for text in part.column(1).to_pylist()])], names=["doc_id", "ids"])
 
     out = docs.select("doc_id").withColumn("ids", F.array().cast("array<int>")).schema
     whole = docs.where(F.char_length("text") <= chunk).mapInArrow(short, out)
@@ -283,13 +278,13 @@ def encode(docs: DataFrame, *, path: str, pattern: str, chunk: int = CHUNK, id_c
     return whole.unionByName(keyed.select("doc_id", "key").join(long_ids(texts, path, pattern, chunk), "key").select("doc_id", "ids"))
 
 
-def _bytes_of(ids: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, bytes]:
-    """Decoded bytes of all rows in one piece, and where each row's begin and end."""
+def _decoded(ids: pa.ListArray, vocabulary: pa.Array) -> pa.Array:
+    """Each row's bytes; those of all ids lie one after another in the buffer of the taken tokens."""
+    taken = vocabulary.take(ids.flatten())
     sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-    values = ids.flatten()
-    lengths = np.concatenate([[0], np.cumsum(pc.binary_length(vocabulary).take(values).to_numpy(zero_copy_only=False), dtype=np.int64)])
-    joined = b"".join(vocabulary.take(values).to_pylist()) if len(values) else b""
-    return lengths[np.concatenate([[0], np.cumsum(sizes)])], joined
+    places = np.frombuffer(taken.buffers()[1], dtype=np.int32)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, dtype=np.int32)
+    ends = places[np.concatenate([[0], np.cumsum(sizes)])]
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), taken.buffers()[2]])
 
 
 def _vocabulary(path: str) -> pa.Array:
@@ -301,13 +296,9 @@ def decode(encoded: DataFrame, *, path: str, ids_col: str = "ids") -> DataFrame:
     """The rows with a column ``decoded``, the bytes of their ids one after another; null ids count as none."""
 
     def run(rows):
-        vocabulary = _vocabulary(path)
-        at = names.index(ids_col)
-        for b in rows:
-            for first, n in _slices(pc.fill_null(pc.list_value_length(b.column(at)), 0).to_pylist(), BATCH_IDS):
-                part = b.slice(first, n)
-                places, joined = _bytes_of(part.column(at), vocabulary)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([joined[i:j] for i, j in zip(places[:-1], places[1:], strict=True)], pa.binary())], names=[*names, "decoded"])
+        vocabulary, at = _vocabulary(path), names.index(ids_col)
+        for part in _parts(rows, at):
+            yield pa.RecordBatch.from_arrays([*part.columns, _decoded(part.column(at), vocabulary)], names=[*names, "decoded"])
 
     out = encoded.withColumn("decoded", F.lit(b"").cast("binary"))
     names = encoded.columns
@@ -316,17 +307,22 @@ def decode(encoded: DataFrame, *, path: str, ids_col: str = "ids") -> DataFrame:
 
 def digest(encoded: DataFrame, *, path: str) -> DataFrame:
     """The contract's columns from (doc_id, ids): the ids are decoded again, and both are hashed."""
-    decoded = decode(encoded, path=path)
 
     def run(rows):
-        for b in rows:
-            for first, n in _slices(pc.list_value_length(b.column(1)).to_pylist(), BATCH_IDS):
-                part = b.slice(first, n)
-                ids = part.column(1)
-                offsets = pc.subtract(ids.offsets, ids.offsets[0])
-                joined = pc.binary_join(pa.ListArray.from_arrays(offsets, pc.cast(ids.flatten(), pa.string())), " ")
-                hashes = [[hashlib.sha256(v.as_buffer()).hexdigest() for v in column] for column in (joined, part.column(2))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pc.cast(pc.list_value_length(ids), pa.int64()), *map(pa.array, hashes)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        vocabulary = _vocabulary(path)
+        for part in _parts(rows, 1):
+            ids = part.column(1)
+            offsets = pc.subtract(ids.offsets, ids.offsets[0])
+            joined = pc.binary_join(pa.ListArray.from_arrays(offsets, pc.cast(ids.flatten(), pa.string())), " ")
+            hashes = [[hashlib.sha256(v.as_buffer()).hexdigest() for v in column] for column in (joined, _decoded(ids, vocabulary))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pc.cast(pc.list_value_length(ids), pa.int64()), *map(pa.array, hashes)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = encoded.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256"))
-    return decoded.select("doc_id", "ids", "decoded").mapInArrow(run, out.schema)
+    return encoded.select("doc_id", "ids").mapInArrow(run, out.schema)
+
+
+def _parts(rows: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold about BATCH_IDS ids in their list column at ``at``."""
+    for b in rows:
+        for first, n in _slices(pc.fill_null(pc.list_value_length(b.column(at)), 0).to_pylist(), BATCH_IDS):
+            yield b.slice(first, n)
