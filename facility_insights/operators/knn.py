@@ -50,7 +50,7 @@ BLOCK_ROWS = 20_000
 _MARK = -(2**62)  # cell id of a dimension outside S
 
 
-def _number(c: str) -> Column:
+def number(c: str) -> Column:
     """The column as a double, NaN as NULL."""
     v = F.col(c).cast("double")
     return F.when(~F.isnan(v), v)
@@ -210,8 +210,8 @@ def prepare_donors(donors: DataFrame, key: str, features: Sequence[str], targets
     gcol = F.col(group).cast("string") if group else F.lit("")
     x = donors.select(
         gcol.alias("_g"), F.col(key).alias("dkey"),
-        *[_number(c).alias(f"d{j}") for j, c in enumerate(features)],
-        *[_number(c).alias(f"t{i}") for i, c in enumerate(targets)],
+        *[number(c).alias(f"d{j}") for j, c in enumerate(features)],
+        *[number(c).alias(f"t{i}") for i, c in enumerate(targets)],
     )
     values = [c for c in x.columns if c != "dkey"]
     return x.groupBy(*values).agg(F.count(F.lit(1)).alias("w"), F.min("dkey").alias("dkey"))
@@ -254,7 +254,7 @@ def knn_target_means(
     q = queries.where(known).select(
         F.concat(gcol, F.lit("\u0001"), F.col(key).cast("string")).alias("qkey"),
         gcol.alias("_g"),
-        *[_number(c).alias(f"q{j}") for j, c in enumerate(features)],
+        *[number(c).alias(f"q{j}") for j, c in enumerate(features)],
         F.filter(wanted, lambda i: i.isNotNull()).alias("_need"),
     )
     q = cut_lineage(q.where(F.size("_need") > 0))
@@ -301,16 +301,16 @@ def knn_impute(table: DataFrame, fit: DataFrame, key: str, features: Sequence[st
     ``fit`` rows having it; no usable donor -> the fit column mean (per group). Other cells
     unchanged."""
     features = list(features)
-    need = {f: _number(f).isNull() for f in features}
+    need = {f: number(f).isNull() for f in features}
     vals = knn_target_means(table, fit, key, features, features, need, k, group=group)
     ids = [group, key] if group else [key]
     wide = vals.groupBy(*ids).pivot("target", features).agg(F.first("value"))
     wide = wide.select(*ids, *[F.col(f).alias(f"_imp_{f}") for f in features])
     # fit column means: one row (or one row per group: bounded by the number of groups)
-    means = fit.groupBy(*([group] if group else [])).agg(*[F.avg(_number(f)).alias(f"_mu_{f}") for f in features])
+    means = fit.groupBy(*([group] if group else [])).agg(*[F.avg(number(f)).alias(f"_mu_{f}") for f in features])
     out = table.join(wide, ids, "left")
     out = out.join(F.broadcast(means), group, "left") if group else out.crossJoin(F.broadcast(means))
-    filled = {f: F.coalesce(_number(f), F.col(f"_imp_{f}"), F.col(f"_mu_{f}")) for f in features}
+    filled = {f: F.coalesce(number(f), F.col(f"_imp_{f}"), F.col(f"_mu_{f}")) for f in features}
     return out.withColumns(filled).drop(*[f"_imp_{f}" for f in features], *[f"_mu_{f}" for f in features])
 
 

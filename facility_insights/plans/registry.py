@@ -1301,19 +1301,23 @@ def q_recommendations(spark, sf_dir):
 # --------------------------------------------------------------------------------------------
 
 from ..models import evaluate  # noqa: E402
+from ..models.imputer import KnnImputer  # noqa: E402
 from ..sources.files import export_csv as _export_csv  # noqa: E402
 
 
+def preprocessing(features=_X, key: str = "ccn", *more):
+    """J6: the pipeline scaler -> kNN imputer -> further stages."""
+    from pyspark.ml import Pipeline
+
+    return Pipeline(stages=[NullAwareStandardScaler(inputCols=list(features)), KnnImputer(inputCols=list(features), keyCol=key), *more])
+
+
 def scale_impute(train: DataFrame, others: DataFrame, features=_X, key: str = "ccn"):
-    """J6: scaler fitted on ``train`` -> kNN imputer fitted on the scaled train rows; both tables
-    transformed in one pass (the pipeline the reference builds from its two transformer classes). A
-    row may be in both tables."""
-    scaler = NullAwareStandardScaler(inputCols=list(features)).fit(train)
-    tr, ot = scaler.transform(train), scaler.transform(others)
-    both = tr.withColumn("_side", F.lit("0")).unionByName(ot.withColumn("_side", F.lit("1")), allowMissingColumns=True)
-    both = cut_lineage_df(both.withColumn("_id", F.concat("_side", F.col(key).cast("string"))))
-    done = cut_lineage_df(knn.knn_impute(both, both.where("_side = '0'"), "_id", list(features)))
-    return done.where("_side = '0'").select(*tr.columns), done.where("_side = '1'").select(*ot.columns), scaler
+    """J6 fitted on ``train``; both tables are transformed in one search. A row may be in both tables."""
+    model = preprocessing(features, key).fit(train)
+    both = train.withColumn("_side", F.lit(0)).unionByName(others.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    done = cut_lineage_df(model.transform(both))
+    return done.where("_side = 0").select(*train.columns), done.where("_side = 1").select(*others.columns), model
 
 
 def _train_test(spark, sf_dir, label="y1"):
@@ -1321,6 +1325,35 @@ def _train_test(spark, sf_dir, label="y1"):
     return sp.where(F.col("part") == "train"), sp.where(F.col("part") == "test")
 
 
+def _scaled_imputed_sql(select: str, k: int = S.KNN_IMPUTE_K) -> str:
+    """Brute force: all rows scaled by the labelled training rows' statistics, gaps from the nearest of those rows."""
+    items = " UNION ALL ".join(
+        f"SELECT pd.qk, '{c}' AS target, pd.d_{c} AS tv, pd.dist, pd.gk, pd.dk FROM pd JOIN q ON pd.qk = q.ccn WHERE q.{c} IS NULL AND pd.d_{c} IS NOT NULL" for c in _X
+    )
+    filled = ", ".join(R(f"coalesce(z.{c}, (SELECT v FROM im WHERE im.qk = z.ccn AND im.target = '{c}'), mu_{c})") + f" AS {c}" for c in _X)
+    return Q.with_all(
+        _TRAIN_SQL
+        + ", st AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in _X) + " FROM tr), "
+        "z AS (SELECT ccn, part, y1, " + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in _X) + " FROM sp CROSS JOIN st), "
+        "zd AS (SELECT * FROM z WHERE part = 'train' AND y1 IS NOT NULL), "
+        "q AS (SELECT * FROM z WHERE " + " OR ".join(f"{c} IS NULL" for c in _X) + "), "
+        + _knn_pairs_sql(_X, "q", "zd", _X)
+        + f", it AS ({items}), rk AS (SELECT *, row_number() OVER (PARTITION BY qk, target ORDER BY dist, gk, dk) AS rn FROM it), "
+        f"im AS (SELECT qk, target, avg(tv) AS v FROM rk WHERE rn <= {k} GROUP BY qk, target), "
+        "mu AS (SELECT " + ", ".join(f"avg({c}) AS mu_{c}" for c in _X) + " FROM zd)",
+        select.format(filled=filled),
+        "features_num",
+    )
+
+
+@register("scale_impute", _scaled_imputed_sql("SELECT z.ccn, z.part, {filled} FROM z CROSS JOIN mu"))
+def q_scale_impute(spark, sf_dir):
+    """J6, A5: scaler and imputer fitted on the labelled training rows, saved, read again, applied to all raw rows."""
+    sp = split_table(spark, sf_dir).select("ccn", "part", "y1", *_X)
+    model = preprocessing().fit(sp.where((F.col("part") == "train") & F.col("y1").isNotNull()))
+    return r6(_reloaded(spark, model, "preprocessing").transform(sp).select("ccn", "part", *_X))
+
+
 @register("boosted_fit_predict")
 def q_boosted_fit_predict(spark, sf_dir):
     train, test = _train_test(spark, sf_dir)
@@ -1444,7 +1477,7 @@ def q_group_components(spark, sf_dir):
     return r6(evaluate.group_components(full, {"activity": ["x1", "x3"], "profile": ["x2", "x4"]}))
 
 
-@register("export_training")
+@register("export_training", _scaled_imputed_sql("SELECT " + R("z.y1") + " AS y1, {filled} FROM z CROSS JOIN mu WHERE z.part = 'train' AND z.y1 IS NOT NULL"))
 def q_export_training(spark, sf_dir):
     """J7: split -> scale + impute (fit on train) -> CSV with the label first -> read back."""
     train, _ = _train_test(spark, sf_dir)
@@ -1489,17 +1522,25 @@ def _reloaded(spark, model, name: str):
     return type(model).load(path)
 
 
+def _regression(features, label: str, stage):
+    from pyspark.ml.feature import VectorAssembler
+
+    return preprocessing(features, "ccn", VectorAssembler(inputCols=list(features), outputCol="features"), stage)
+
+
 @register("train_insight")
 def q_train_insight(spark, sf_dir):
-    """P7: per target, scaler + imputer + OLS on the training rows; the model is saved and the
-    coefficient table comes from the reloaded one."""
+    """P7: per target, one pipeline of scaler, imputer and OLS fitted on the raw training rows; the whole pipeline
+    is saved, and the coefficient table comes from the one read again."""
+    from pyspark.ml.regression import LinearRegression
+
     sp = split_table(spark, sf_dir)
     out = None
     for y in S.TARGETS:
         train = sp.where((F.col("part") == "train") & F.col(y).isNotNull()).select("ccn", *_X, y)
-        tr, _, _ = scale_impute(train, train.limit(0))
-        lr = _reloaded(spark, regress.fit_linear(tr, _X, y), f"insight_{y}")
-        t = regress.coefficient_table(spark, lr, _X).withColumn("target", F.lit(y))
+        linear = LinearRegression(featuresCol="features", labelCol=y, solver="normal", standardization=False)
+        model = _reloaded(spark, _regression(_X, y, linear).fit(train), f"insight_{y}")
+        t = regress.coefficient_table(spark, model.stages[-1], _X).withColumn("target", F.lit(y))
         out = t if out is None else out.unionByName(t)
     return r6(out.select("target", "feature", "coefficient"))
 
