@@ -22,10 +22,8 @@ Two exact paths, both Spark jobs; nothing collects rows:
   Candidates within ``r`` are ranked by (distance, key); when their weight reaches ``k`` the answer is
   exact (every other donor is farther than ``r``). Unfinished items go to the next round one level up.
 * **Blocks**, for wider tables, for targets that at most ``SCARCE_DONORS`` donors have, and for the few
-  items the grid leaves at its coarsest level. Queries and donors are hashed into blocks of about
-  ``BLOCK_ROWS`` rows; each pair of blocks is one NumPy task that returns the top k of every item, and
-  a second top k joins the donor blocks. Memory is bounded by two blocks. With many features the work is
-  queries times distinct donors, as no grid or band tells donors apart there.
+  items the grid leaves at its coarsest level: pairs of blocks in NumPy, only those that the index of the blocks' bounds
+  can't rule out (``knn_blocks``).
 
 Each round's results and remainder are checkpointed into the shared checkpoint folder.
 """
@@ -39,13 +37,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .knn_blocks import nearest
 
 #: Up to so many features the grid is used (a query has at most 2^p - 1 subsets).
 GRID_FEATURES = 6
 #: Targets that so many distinct donors or fewer have are searched in blocks at once.
-SCARCE_DONORS = 4096
-#: Rows of a block; a task holds two blocks and a slab of distances.
-BLOCK_ROWS = 20_000
+SCARCE_DONORS = 256
 
 _MARK = -(2**62)  # cell id of a dimension outside S
 
@@ -140,69 +137,8 @@ def _grid_round(q: DataFrame, d: DataFrame, p: int, m: int, k: int, diameter: fl
 
 
 def _block_search(q: DataFrame, d: DataFrame, p: int, m: int, k: int) -> DataFrame:
-    """Top k of every asked (query, target) over all donors of its group, block by block."""
-    asked = sorted(row["ti"] for row in q.select(F.explode("_need").alias("ti")).distinct().collect())  # <= m
-    if not asked:
-        return q.select("qkey", F.lit(0).alias("ti"), F.lit(0.0).alias("value"), F.lit(0).cast("bigint").alias("n_donors")).limit(0)
-    useful = F.lit(False)
-    for i in asked:
-        useful = useful | F.col(f"t{i}").isNotNull()
-    d = d.where(useful)
-    # blocks are counted in the largest group, so that no block is larger in any
-    most = [(df.groupBy("_g").count().agg(F.max("count")).first()[0] or 0) for df in (q, d)]
-    qn, dn = (max(1, -(-n // BLOCK_ROWS)) for n in most)
-    qs = q.withColumn("_b", F.pmod(F.xxhash64("qkey"), F.lit(qn))).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(dn - 1))))
-    ds = d.withColumn("_s", F.pmod(F.xxhash64("dkey"), F.lit(dn))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(qn - 1))))
-    key_type = d.schema["dkey"].dataType.simpleString()
-
-    def search(left, right):
-        import numpy as np
-        import pandas as pd
-
-        right = right.sort_values("dkey", kind="stable")
-        x = right[[f"d{j}" for j in range(p)]].to_numpy(dtype=float)
-        values = {i: right[f"t{i}"].to_numpy(dtype=float) for i in asked}
-        usable = {i: np.flatnonzero(~np.isnan(v)) for i, v in values.items()}
-        at = left[[f"q{j}" for j in range(p)]].to_numpy(dtype=float)
-        needs = left["_need"].tolist()
-        rows, targets, donors, dists = [], [], [], []
-        slab = max(1, 1_000_000 // max(1, len(x)))
-        for start in range(0, len(at) if len(x) else 0, slab):
-            part = at[start : start + slab]
-            sq, shared = np.zeros((len(part), len(x))), np.zeros((len(part), len(x)))
-            for j in range(p):
-                diff = part[:, j, None] - x[None, :, j]
-                present = ~np.isnan(diff)
-                sq += np.where(present, diff * diff, 0.0)
-                shared += present
-            dist = np.sqrt(p / np.maximum(shared, 1.0) * sq)
-            dist[shared == 0] = np.inf
-            for r in range(len(part)):
-                for i in needs[start + r]:
-                    near = dist[r, usable[i]]
-                    if len(near) > k:  # equal distances at the edge: smaller keys, which come first
-                        edge = np.partition(near, k - 1)[k - 1]
-                        inner = np.flatnonzero(near < edge)
-                        pick = np.concatenate([inner, np.flatnonzero(near == edge)[: k - len(inner)]])
-                    else:
-                        pick = np.arange(len(near))
-                    pick = pick[np.isfinite(near[pick])]
-                    rows.append(np.full(len(pick), start + r))
-                    targets.append(np.full(len(pick), i))
-                    donors.append(usable[i][pick])
-                    dists.append(near[pick])
-        rows, targets, donors = (np.concatenate(v).astype(int) if v else np.zeros(0, dtype=int) for v in (rows, targets, donors))
-        tv = np.zeros(len(rows))
-        for i in asked:
-            tv[targets == i] = values[i][donors[targets == i]]
-        return pd.DataFrame({
-            "qkey": left["qkey"].to_numpy()[rows], "ti": targets, "dkey": right["dkey"].to_numpy()[donors],
-            "w": right["w"].to_numpy()[donors], "dist": np.concatenate(dists) if dists else np.zeros(0), "tv": tv,
-        })
-
-    ids = ["_g", "_s", "_b"]
-    found = qs.groupBy(*ids).cogroup(ds.groupBy(*ids)).applyInPandas(search, f"qkey string, ti int, dkey {key_type}, w long, dist double, tv double")
-    return _top(found, k).select("qkey", "ti", "value", "n_donors")
+    """Top k of every asked (query, target) over the donor blocks of its group that can hold one of them."""
+    return _top(nearest(q, d, p, m, k), k).select("qkey", "ti", "value", "n_donors")
 
 
 def prepare_donors(donors: DataFrame, key: str, features: Sequence[str], targets: Sequence[str], group: str | None = None) -> DataFrame:

@@ -5,9 +5,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from facility_insights import schema as S
-from facility_insights.operators import geo, knn
+from facility_insights.operators import geo, knn, knn_blocks
 
 R = S.EARTH_RADIUS_KM * S.KM_TO_MILES
 
@@ -133,7 +134,7 @@ def test_knn_grid_with_hot_cell_and_copies(spark, monkeypatch):
 @pytest.mark.parametrize("width", [13, 48])
 def test_knn_of_wide_tables(spark, monkeypatch, width):
     """Blocks: more features than a grid or an integer mask takes, nulls, an almost-null and an all-null feature, copies."""
-    monkeypatch.setattr(knn, "BLOCK_ROWS", 25)
+    monkeypatch.setattr(knn_blocks, "BLOCK_ROWS", 7)
     rng = np.random.default_rng(width)
     x = rng.normal(size=(70, width)).round(1)
     x[rng.random(x.shape) < 0.3] = np.nan
@@ -142,6 +143,58 @@ def test_knn_of_wide_tables(spark, monkeypatch, width):
     _check_impute(spark, x)
 
 
+def test_block_bounds_are_below_every_distance():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        p, n = int(rng.integers(1, 8)), int(rng.integers(1, 6))
+        q, d = rng.normal(size=(int(rng.integers(1, 6)), p)).round(1), rng.normal(loc=rng.normal(scale=3), size=(n, p)).round(1)
+        for x in (q, d):
+            x[rng.random(x.shape) < rng.choice([0, 0.3, 0.8])] = np.nan
+
+        def entry(x):
+            some = ~np.isnan(x)
+            low, high = (np.where(some.any(axis=0), f(np.where(some, x, fill), axis=0), 0.0) for f, fill in ((np.min, np.inf), (np.max, -np.inf)))
+            return low, high, some.sum(axis=0), len(x), some.sum(axis=1).min()
+
+        ql, qh, qn, qr, qm = entry(q)
+        dl, dh, dn, dr, dm = entry(d)
+        bound = knn_blocks.bounds({"low": ql, "high": qh, "have": qn, "rows": qr, "least": qm}, dl[None], dh[None], dn[None], np.array([dr]), np.array([dm]))[0]
+        for a in q:
+            for b in d:
+                shared = ~np.isnan(a) & ~np.isnan(b)
+                if shared.any():
+                    assert bound <= math.sqrt(p / shared.sum() * ((a - b)[shared] ** 2).sum()) + 1e-9
+
+
+def _wide(n, seed=4, width=13):
+    """Features that follow from a hidden one; one group of them lacks together, another now and then."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 1)) @ rng.normal(size=(1, width)) + rng.normal(scale=0.02, size=(n, width))
+    x[rng.random(n) < 0.3, :4] = np.nan
+    x[rng.random(n) < 0.05, 7] = np.nan
+    return x.round(3)
+
+
+def test_pruned_blocks_equal_brute_force_and_grow_less_than_the_square(spark):
+    joined = {}
+    for n in (100, 400):
+        x = _wide(n)
+        keys = [f"k{i:04d}" for i in range(n)]
+        df, names = _frame(spark, x, keys)
+        donors = knn.prepare_donors(df, "ccn", names, names)
+        need = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(i)) for i, c in enumerate(names)]), lambda i: i.isNotNull())
+        q = df.select(F.col("ccn").alias("qkey"), F.lit("").alias("_g"), *[F.col(c).alias(f"q{j}") for j, c in enumerate(names)], need.alias("_need")).where(F.size("_need") > 0)
+        counts = []
+        found = knn_blocks.nearest(q, donors, len(names), len(names), 5, rows=5, counts=counts)
+        means = {(r["qkey"], r["ti"]): r["v"] for r in found.groupBy("qkey", "ti").agg(F.avg("tv").alias("v")).collect()}
+        if n == 100:
+            want = _brute_knn(x, keys, 5)
+            assert all(means[key, j] == pytest.approx(want[i][j], abs=1e-9) for i, key in enumerate(keys) for j in np.flatnonzero(np.isnan(x[i])))
+        joined[n] = sum(counts)
+    print("block pairs", joined)
+    assert joined[400] < 9 * joined[100]  # the square: 16
+
+
 def test_knn_of_empty_tables_and_nan(spark):
     schema = "ccn string, a double, b double"
     none = spark.createDataFrame([], schema)
