@@ -42,6 +42,8 @@ from ..session import scratch_path
 BINS = 255
 #: Trees after which the rows' scores are written anew.
 REWRITE = 10
+#: Rows of a task, about.
+TASK_ROWS = 100_000
 #: Cells that a task sums up in one array; beyond, only those that its rows meet.
 DENSE_CELLS = 1 << 22
 
@@ -232,6 +234,8 @@ def _cells(state: DataFrame, p: int, m: int, done: list[dict], now: dict, alphas
                     )
 
     cells = state.mapInArrow(run, "g int, member int, node int, feature int, bin int, first double, second double")
+    # already summed up batch by batch; dealt by what the running sums need, so that they need no second exchange
+    cells = cells.repartition("g", "member", "node", "feature")
     return cells.groupBy("g", "member", "node", "feature", "bin").agg(F.sum("first").alias("first"), F.sum("second").alias("second"))
 
 
@@ -347,11 +351,12 @@ def grow(df: DataFrame, features: Sequence[str], label: str, members: Sequence[S
         raise ValueError("members must share their quantile")
     alpha = next((a for a in alphas if a is not None), None)
     at = F.percentile_approx("y", F.lit(0.5 if alpha is None else alpha), F.lit(S.QUANTILE_ACCURACY))
-    starts = {r["g"]: [float(r["mean"] if a is None else r["q"]) for a in alphas] for r in rows.groupBy("g").agg(F.avg("y").alias("mean"), at.alias("q")).collect()}
-    if not starts:
+    found = rows.groupBy("g").agg(F.avg("y").alias("mean"), at.alias("q"), F.count("y").alias("n")).collect()
+    if not found:
         return {}
+    starts = {r["g"]: [float(r["mean"] if a is None else r["q"]) for a in alphas] for r in found}
     cuts = _cuts(rows, p)
-    state, since = _first_state(rows, cuts, starts, p), []
+    state, since = _first_state(rows.repartition(-(-sum(r["n"] for r in found) // TASK_ROWS)), cuts, starts, p), []
     out = {(k, member): Ensemble(start[member], []) for k, start in starts.items() for member in range(m)}
     for turn in range(rounds):
         trees = {key: Tree() for key in out}
@@ -414,6 +419,25 @@ def predict(df: DataFrame, models: dict[int, Ensemble], features: Sequence[str],
     return df.withColumn(out, score(F.col(group).cast("int") if group else F.lit(0), *[F.col(c).cast("double") for c in features]))
 
 
+def test_errors(df: DataFrame, models: dict[tuple[int, int], Ensemble], features: Sequence[str], label: str, group: str) -> DataFrame:
+    """(member, g, mse) of all models on their groups' rows, in one pass."""
+    m = 1 + max((member for _, member in models), default=-1)
+
+    @F.pandas_udf("array<double>")
+    def scores(g, *columns):
+        import pandas as pd
+
+        x, found = _matrix(columns), np.full((len(g), m), np.nan)
+        for (k, member), model in models.items():
+            mine = (g == k).to_numpy()
+            if mine.any():
+                found[mine, member] = model.predict(x[mine])
+        return pd.Series(list(found))
+
+    rows = df.where(F.col(label).isNotNull()).select(F.col(group).cast("int").alias("g"), F.col(label).cast("double").alias("y"), F.posexplode(scores(F.col(group).cast("int"), *[F.col(c).cast("double") for c in features])).alias("member", "score"))
+    return rows.where(~F.isnan("score")).groupBy("member", "g").agg(F.avg(F.pow(F.col("y") - F.col("score"), 2)).alias("mse"))
+
+
 def contributions(df: DataFrame, model: Ensemble, features: Sequence[str]) -> DataFrame:
     """The rows with ``contributions``, a number for each feature; they add up to prediction minus mean."""
 

@@ -1,7 +1,7 @@
-"""Regression fits and metrics on Spark ML.
+"""Linear regression and metrics on Spark ML.
 
 Features are assembled into a vector only at the model boundary; rows must be complete there
-(impute first, Spark ML trees and OLS take no NULLs).
+(impute first, OLS takes no NULLs).
 """
 
 from __future__ import annotations
@@ -9,11 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schema as S
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -48,13 +47,6 @@ def linear_prediction(coefs: dict[str, float], features: Sequence[str]):
     return expr
 
 
-def fit_boosted(df: DataFrame, features: Sequence[str], label: str, step: float = 0.1, depth: int = 3, min_instances: int = 1,
-                min_gain: float = 0.0, subset: str = "all", iterations: int = S.BOOST_ROUNDS, seed: int = 42):
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, stepSize=step, maxDepth=depth, minInstancesPerNode=min_instances,
-                       minInfoGain=min_gain, featureSubsetStrategy=subset, maxIter=iterations, seed=seed)
-    return gbt.fit(assemble(df, features))
-
-
 def metrics(df: DataFrame, label: str, pred: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
     """R², MSE, RMSE, MAE (and n) in one aggregate, optionally per group (fold, model, ...).
 

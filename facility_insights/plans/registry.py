@@ -7,7 +7,9 @@ last bits of a floating-point sum.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1300,7 +1302,7 @@ def q_recommendations(spark, sf_dir):
 # J5-J17 model operators, A5 model persistence, P7-P9 model jobs
 # --------------------------------------------------------------------------------------------
 
-from ..models import evaluate  # noqa: E402
+from ..models import boosting, evaluate  # noqa: E402
 from ..models.imputer import KnnImputer  # noqa: E402
 from ..sources.files import export_csv as _export_csv  # noqa: E402
 
@@ -1358,8 +1360,8 @@ def q_scale_impute(spark, sf_dir):
 def q_boosted_fit_predict(spark, sf_dir):
     train, test = _train_test(spark, sf_dir)
     tr, te, _ = scale_impute(train.select("ccn", *_X, "y1"), test.select("ccn", *_X, "y1"))
-    model = regress.fit_boosted(tr, _X, "y1")
-    return r6(regress.predict(model, te, _X).select("ccn", "y1", "prediction"))
+    model = boosting.grow(tr, _X, "y1")[0, 0]
+    return r6(boosting.predict(te, {0: model}, _X).select("ccn", "y1", "prediction"))
 
 
 def _stacked_train(spark, sf_dir, label="y1"):
@@ -1370,7 +1372,7 @@ def _stacked_train(spark, sf_dir, label="y1"):
 
 @register("random_search")
 def q_random_search(spark, sf_dir):
-    return r6(evaluate.random_search(_stacked_train(spark, sf_dir), _X, "y1", S.N_FOLDS))
+    return r6(evaluate.random_search(_stacked_train(spark, sf_dir), _X, "y1"))
 
 
 def _cv_report(spark, sf_dir) -> DataFrame:
@@ -1436,7 +1438,8 @@ def q_score_unlabelled(spark, sf_dir):
 def q_quantile_boost(spark, sf_dir):
     train, test = _train_test(spark, sf_dir)
     tr, te, _ = scale_impute(train.select("ccn", *_X, "y1"), test.select("ccn", *_X, "y1"))
-    return r6(evaluate.quantile_boost(tr, te, "ccn", _X, "y1").select("ccn", "y1", "prediction"))
+    model = boosting.grow(tr, _X, "y1", [evaluate.QUANTILE], rounds=S.COMPARE_ROUNDS)[0, 0]
+    return r6(boosting.predict(te, {0: model}, _X).select("ccn", "y1", "prediction"))
 
 
 @register(
@@ -1459,9 +1462,17 @@ def q_attribution_linear(spark, sf_dir):
 def q_permutation_importance(spark, sf_dir):
     train, test = _train_test(spark, sf_dir)
     tr, te, _ = scale_impute(train.select("ccn", *_X, "y1"), test.select("ccn", *_X, "y1"))
-    model = regress.fit_boosted(tr, _X, "y1")
+    model = boosting.grow(tr, _X, "y1")[0, 0]
     te = cut_lineage_df(te)
-    return r6(evaluate.permutation_importance(te, "ccn", _X, "y1", lambda d: regress.predict(model, d, _X)))
+    return r6(evaluate.permutation_importance(te, "ccn", _X, "y1", lambda d: boosting.predict(d, {0: model}, _X)))
+
+
+@register("attribution_trees")
+def q_attribution_trees(spark, sf_dir):
+    """J17 for trees: mean |contribution| along the trees' paths, its direction, and the features' shares in the gain."""
+    train, _ = _train_test(spark, sf_dir)
+    tr, _, _ = scale_impute(train.select("ccn", *_X, "y1"), train.select("ccn", *_X, "y1").limit(0))
+    return r6(boosting.attribution(tr, boosting.grow(tr, _X, "y1")[0, 0], _X))
 
 
 def cut_lineage_df(df: DataFrame) -> DataFrame:
@@ -1548,21 +1559,18 @@ def q_train_insight(spark, sf_dir):
 @register("train_prediction")
 def q_train_prediction(spark, sf_dir):
     """P8: search boosted-tree parameters (for the first target, reused for both, as the
-    reference does), fit per target on the scaled + imputed training rows, save and reload the
-    model, score the unlabelled rows."""
-    search = evaluate.random_search(_stacked_train(spark, sf_dir), _X, "y1", S.N_FOLDS)
-    best = search.where(F.col("rank") == 1).first()
-    params = evaluate.gbt_params({"learning_rate": best["learning_rate"], "max_depth": best["max_depth"],
-                                  "min_child_weight": best["min_child_weight"], "gamma": best["gamma"],
-                                  "colsample_bytree": best["colsample_bytree"]})
+    reference does), fit one pipeline of scaler, imputer and trees per target on the raw training rows, save it, score
+    the raw unlabelled rows with the one read again."""
+    search = evaluate.random_search(_stacked_train(spark, sf_dir), _X, "y1")
+    settings = json.dumps(asdict(boosting.Settings.of(search.where(F.col("rank") == 1).first().asDict())))
     f = split_table(spark, sf_dir).select("ccn", "part", *_X, *S.TARGETS)
     unlabelled = f.where(F.col("y1").isNull())
     out = unlabelled.select("ccn")
     for y, name in (("y1", "would_recommend"), ("y2", "rating_est")):
         labelled = f.where((F.col("part") == "train") & F.col(y).isNotNull())
-        tr, ul, _ = scale_impute(labelled, unlabelled)
-        model = _reloaded(spark, regress.fit_boosted(tr, _X, y, **params), f"prediction_{y}")
-        out = out.join(regress.predict(model, ul, _X, name).select("ccn", name), "ccn")
+        trees = boosting.HistogramBoosting(featureCols=_X, labelCol=y, predictionCol=name, rounds=S.COMPARE_ROUNDS, settings=settings)
+        model = _reloaded(spark, preprocessing(_X, "ccn", trees).fit(labelled), f"prediction_{y}")
+        out = out.join(model.transform(unlabelled).select("ccn", name), "ccn")
     return r6(out)
 
 

@@ -56,8 +56,12 @@ SEARCH_GRID = {
     "colsample_bytree": [0.3, 0.4, 0.5, 0.7],
 }
 SEARCH_DRAWS = 10
-# Boosting rounds of every boosted model (search, comparison, quantile, final fit); no query overrides it.
-BOOST_ROUNDS = 10
+# Trees of a boosted model, and of each of the many models of a search or comparison (and of the model that a search picks).
+BOOST_ROUNDS = 100
+COMPARE_ROUNDS = 20
+# Growth of the quantile comparator: leaves of a tree and least rows of a leaf.
+QUANTILE_LEAVES = 50
+QUANTILE_LEAF_ROWS = 20
 # Key-hash blocks within which a feature is permuted, at any number of rows.
 PERMUTATION_BLOCKS = 16
 # Accuracy of the approximate quantiles of residuals (relative rank error 1 / accuracy).

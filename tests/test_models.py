@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from facility_insights import schema as S
-from facility_insights.models import evaluate, regress
+from facility_insights.models import boosting, evaluate, regress
 from facility_insights.operators import reshape
 
 from .conftest import SMALL
@@ -20,25 +20,38 @@ def planted(spark):
 
 def test_boosting_finds_the_signal_and_repeats(planted):
     train, test = planted.where("part = 'train'"), planted.where("part = 'test'")
-    one, two = (regress.predict(regress.fit_boosted(train, ["a", "b"], "y"), test, ["a", "b"]).select("key", "prediction", "y") for _ in range(2))
+    one, two = (boosting.predict(test, {0: boosting.grow(train, ["a", "b"], "y", [boosting.Settings(rate=0.3)], rounds=8)[0, 0]}, ["a", "b"]).select("key", "prediction", "y") for _ in range(2))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
     assert regress.metrics(one, "y").first()["r2"] > 0.9
 
 
-def test_quantile_boosting_is_near_its_quantile(planted):
-    out = evaluate.quantile_boost(planted.where("part = 'train'"), planted, "key", ["a", "b"], "y", rounds=10)
-    share = out.agg(F.avg((F.col("y") <= F.col("prediction")).cast("int")).alias("s")).first()["s"]
-    assert 0.8 <= share <= 1.0
-    assert out.select("prediction").distinct().count() > 1
-
-
 def test_permutation_tells_the_used_feature(planted):
-    model = regress.fit_boosted(planted.where("part = 'train'"), ["a", "b"], "y")
-    found = evaluate.permutation_importance(planted.where("part = 'test'"), "key", ["a", "b"], "y", lambda d: regress.predict(model, d, ["a", "b"]))
+    model = boosting.grow(planted.where("part = 'train'"), ["a", "b"], "y", [boosting.Settings(rate=0.3)], rounds=5)[0, 0]
+    found = evaluate.permutation_importance(planted.where("part = 'test'"), "key", ["a", "b"], "y", lambda d: boosting.predict(d, {0: model}, ["a", "b"]))
     loss = {r.feature: r.mse_increase for r in found.collect()}
     assert loss["a"] > 20 * abs(loss["b"])
 
 
+def test_the_search_ranks_as_single_fits_do(spark, planted):
+    st = evaluate.stack_folds(planted.select("key", "a", "b", "y"), "key", folds=2)
+    jobs = []
+    found = {r.draw: (r.mean_test_mse, r["rank"]) for r in evaluate.random_search(st, ["a", "b"], "y", draws=3, rounds=2, jobs=jobs).collect()}
+    drawn = evaluate.draw_grid(S.SEARCH_GRID, 3)
+    single = []
+    for number, d in enumerate(drawn):
+        errors = []
+        for g in (0, 1):
+            rows = st.where(F.col("g") == g)
+            # a member's columns are drawn by its number
+            members = [boosting.Settings.of(d)] * (number + 1)
+            model = boosting.grow(rows.where("part = 'train'"), ["a", "b"], "y", members, group="g", rounds=2)[g, number]
+            errors.append(regress.metrics(boosting.predict(rows.where("part = 'test'"), {0: model}, ["a", "b"]), "y").first()["mse"])
+        single.append(sum(errors) / 2)
+    assert [found[k][0] for k in range(3)] == pytest.approx(single)
+    assert [found[k][1] for k in range(3)] == [1 + sorted(single).index(v) for v in single]
+    assert len(jobs) == 2 and max(jobs) <= max(d["max_depth"] for d in drawn)
+
+
 def test_components_are_standardised(spark):
     df = E.queries()["group_components"](spark, SMALL)
     r = df.agg(F.avg("activity").alias("m"), F.stddev_pop("activity").alias("s")).first()
@@ -47,10 +60,10 @@ def test_components_are_standardised(spark):
 
 def test_reports_have_a_row_for_each_model_and_split(spark, planted):
     rows = planted.select("key", "a", "b", F.when(F.col("key").cast("int") % 9 > 0, F.col("y")).alias("y"))
-    cv = evaluate.cv_compare(rows.where("y is not null"), "key", ["a", "b"], "y", folds=2, models=("lr",)).collect()
-    resample = evaluate.resample_eval(rows, "key", ["a", "b"], "y", splits=2, models=("lr", "knn")).collect()
-    assert [r.model for r in cv] == ["lr"] and cv[0].test_r2 > 0.8
-    assert sorted((r.model, r.split) for r in resample) == [("knn", 0), ("knn", 1), ("lr", 0), ("lr", 1)]
+    cv = evaluate.cv_compare(rows.where("y is not null"), "key", ["a", "b"], "y", folds=2, models=("lr", "quantile"), rounds=2).collect()
+    resample = evaluate.resample_eval(rows, "key", ["a", "b"], "y", splits=2, models=("lr", "knn", "gbt"), rounds=2).collect()
+    assert [r.model for r in cv] == ["lr", "quantile"] and cv[0].test_r2 > 0.8
+    assert sorted((r.model, r.split) for r in resample) == [(m, s) for m in ("gbt", "knn", "lr") for s in (0, 1)]
 
 
 def test_insight_models_come_back_from_the_shared_folder(spark):
