@@ -42,10 +42,16 @@ class Node:
             found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
             named = " ".join(found.get(k, "") for k in ("class", "id", "role"))
             if named.strip():
-                self.words = frozenset(re.findall(r"[a-z]+", named.lower()))
+                self.words = frozenset(w for token in named.lower().split() for w in _role_words(token))
                 self.label = " ".join([tag, *sorted(found.get("class", "").split())])
 
 
+def _role_words(token: str) -> list[str]:
+    """Letter runs of one class or id; none if it says that something is there or is not, as in has-sidebar or ad-free."""
+    words = re.findall(r"[a-z]+", token)
+    return [] if STATES.intersection(words) else words
+
+
 class Run:
     """Text between two block borders."""
 
@@ -125,10 +131,16 @@ ROLE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs sidebar footer cookie cookies consent notice notices "
     "comment comments disqus share sharing social newsletter subscribe related recommended popup modal".split()
 )
+#: Words of classes that describe a page's state, not an element's role. Fixed values.
+STATES = frozenset("has have is no not non with without hide hidden show free less enabled disabled".split())
+#: Elements that hold the whole page, whatever their classes say.
+WHOLE = frozenset("#root html body main".split())
 
 
 def boilerplate(node: Node, inside: bool) -> bool:
     """Whether an element's role is not the article's; a header inside the article is the article's own."""
+    if node.tag in WHOLE:
+        return False
     if node.tag in ROLE_TAGS or node.tag == "header" and not inside:
         return True
     return bool(node.words) and (bool(node.words & ROLE_WORDS) or not inside and "header" in node.words)

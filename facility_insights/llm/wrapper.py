@@ -58,6 +58,7 @@ def match(a, b) -> dict[int, int]:
 
 
 def _table(x, y, weights) -> list[list[int]]:
+    """Best weights of the children up to each pair; those of inner pairs must be known."""
     p, q = x.children, y.children
     rows = [[0] * (len(q) + 1)]
     for c in p:
@@ -65,7 +66,7 @@ def _table(x, y, weights) -> list[list[int]]:
         for j, d in enumerate(q):
             best = last[j + 1] if last[j + 1] > row[j] else row[j]
             if c.label == d.label:
-                w = _weigh(c, d, weights) if c.children and d.children else NODE + (type(c) is dom.Run and c.text == d.text)
+                w = weights[c.number, d.number] if c.children and d.children else NODE + (type(c) is dom.Run and c.text == d.text)
                 if last[j] + w > best:
                     best = last[j] + w
             row.append(best)
@@ -73,11 +74,18 @@ def _table(x, y, weights) -> list[list[int]]:
     return rows
 
 
-def _weigh(x, y, weights) -> int:
-    key = (x.number, y.number)
-    if key not in weights:
-        weights[key] = NODE + _table(x, y, weights)[-1][-1]
-    return weights[key]
+def _weigh(a, b, weights) -> None:
+    """Weights of all pairs of inner nodes that a matching may meet, the deepest first; pages may be nested to any depth."""
+    waiting = [(a, b, False)]
+    while waiting:
+        x, y, ready = waiting.pop()
+        if (x.number, y.number) in weights:
+            continue
+        if ready:
+            weights[x.number, y.number] = NODE + _table(x, y, weights)[-1][-1]
+            continue
+        waiting.append((x, y, True))
+        waiting += [(c, d, False) for c in x.children if c.children for d in y.children if d.children and c.label == d.label and (c.number, d.number) not in weights]
 
 
 def _trace(a, b, weights, pairs) -> None:

@@ -66,6 +66,14 @@ def test_chat_examples_have_their_context_and_one_reply(spark):
         assert [chat.parse(p)[:2] for p in pieces] == [(role, text) for _, role, text in of[: target + 1]]
 
 
+def test_control_strings_with_white_space_of_every_kind(spark):
+    spaces = "".join(chr(c) for c in range(0x3001) if chr(c).isspace()) + "\u200b\ufeff"
+    given = [(k, f"<|im{c}start|> <\\|a{c}b|> [{c}INST] <|{c}|> <|{'x' * 39}{c}|>") for k, c in enumerate(spaces)]
+    df = spark.createDataFrame([(k, 0, "assistant", t) for k, t in given], "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: (r.loss_chars, r.loss_sha256) for r in chat.digest(chat.format_turns(df)).collect()}
+    assert found == {k: (len(t), hashlib.sha256(t.encode()).hexdigest()) for k, t in given}
+
+
 def test_empty_conversations(spark):
     _, df = conversations(spark)
     assert chat.digest(chat.format_turns(df.limit(0))).collect() == []
@@ -111,6 +119,46 @@ def test_pages_without_a_wrapper(spark):
     assert all("same same" in by_id[k][0] for k in range(10, 20))  # copies alone make no template
 
 
+def test_classes_that_tell_a_state_are_no_roles(spark):
+    body = "<div id='m'><p>First of {k}</p><p class='ad-free'>Second of {k}</p><div class='ad-slot'>Buy {k}</div><div class='site-footer'>End {k}</div></div>"
+    rows = [(k, "http://s.example.org/x", f"<html class='no-menu'><body class='has-sidebar no-comments'>{body.format(k=k)}</body></html>") for k in range(6)]
+    found = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {k: f"First of {k}\nSecond of {k}" for k in range(6)}
+
+
+def test_pages_of_any_depth(spark):
+    rows = [(k, "http://deep.example.org/x", "<div>" * 3000 + f"<p>Text {k}</p>" + "</div>" * 3000) for k in range(6)]
+    found = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {k: f"Text {k}" for k in range(6)}
+
+
+def plain_matching(a, b):
+    """Largest weight over all order-keeping matchings, tried one by one."""
+    if a.label != b.label:
+        return 0
+
+    def best(p, q):
+        if not p or not q:
+            return 0
+        inner = plain_matching(p[0], q[0])
+        return max(best(p[1:], q), best(p, q[1:]), (inner + best(p[1:], q[1:])) if inner else 0)
+
+    return wrapper.NODE + (isinstance(a, dom.Run) and a.text == b.text) + best(list(a.children), list(b.children))
+
+
+def test_matchings_are_the_best_of_all():
+    r = random.Random(8)
+
+    def tree(depth):
+        return "".join(r.choice(["x", "y"]) if depth == 0 or r.random() < 0.3 else f"<{t}>{tree(depth - 1)}</{t}>" for t in r.choices(["div", "section", "ul"], k=r.randint(1, 3)))
+
+    for _ in range(60):
+        a, b = dom.parse(tree(3)), dom.parse(tree(3))
+        pairs, mine, theirs = wrapper.match(a, b), wrapper._numbered(a), wrapper._numbered(b)
+        weight = sum(wrapper.NODE + (isinstance(mine[x], dom.Run) and mine[x].text == theirs[y].text) for x, y in pairs.items())
+        assert weight == plain_matching(a, b)
+
+
 def test_tree_matching_is_the_largest():
     a = dom.parse("<div><p>1</p><ul><li>x</li><li>y</li></ul><p>2</p></div>")
     b = dom.parse("<div><p>0</p><p>1</p><ul><li>y</li></ul></div>")
