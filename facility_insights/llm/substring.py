@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -25,25 +26,44 @@ from pyspark.sql import functions as F
 
 from facility_insights.llm.shared import text_key
 
-_BREAK = re.compile(r"((?<=[.!?])\s+|\n+)")
+#: White space after a stop, or line ends; written so that the search looks at white space only.
+_BREAK = re.compile(r"(\s(?:(?<=[.!?]\s)\s*|(?<=\n)\n*))")
 #: Stands for a null id: the last one.
 _NONE = 9223372036854775807
 _WORD = re.compile(r"\S+")
 
 
-def _edges(sentence: str, long: int) -> tuple[list[int], list[int]]:
-    """(places where the pieces of a long sentence begin, words of each piece)."""
-    every, digest = max(2, long // 2), xxhash.xxh32_intdigest
-    found = [(m.start(), digest(m[0])) for m in _WORD.finditer(sentence)]
-    starts, sizes, size, before = [0], [], 0, None
-    for (_, word), (after, _) in zip(found, found[1:], strict=False):
-        size += 1
-        if size == long or before is not None and (word ^ before >> 5) % every == 0:
-            starts.append(after)
-            sizes.append(size)
-            size = 0
-        before = word
-    return starts, [*sizes, size + 1]
+class _Hashes(dict):
+    """Hashes of the words that the worker met last."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        value = self[word] = xxhash.xxh32_intdigest(word)
+        return value
+
+
+_HASHES = _Hashes()
+
+
+def _edges(sentence: str, found: list[str], long: int) -> tuple[list[int], list[int]]:
+    """(places where the pieces of a long sentence begin, words of each piece); ``found`` are its words."""
+    every, n = max(2, long // 2), len(found)
+    hashes = [_HASHES[w] for w in found]
+    cuts, last = [], -1  # a piece's last word
+    for at in [k for k, (before, word) in enumerate(zip(hashes, hashes[1:], strict=False), 1) if (word ^ before >> 5) % every == 0 and k < n - 1] + [n - 1]:
+        while at - last > long:
+            last += long
+            cuts.append(last)
+        if at < n - 1:
+            last = at
+            cuts.append(at)
+    if len(sentence) == sum(map(len, found)) + n - 1:  # one blank between words
+        places = [0, *accumulate([len(w) + 1 for w in found])]
+    else:
+        places = [m.start() for m in _WORD.finditer(sentence)]
+    bounds = [-1, *cuts, n - 1]
+    return [0, *(places[k + 1] for k in cuts)], [b - a for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def cut(text: str, long: int = 16) -> list[tuple[str, int, bool]]:
@@ -51,9 +71,10 @@ def cut(text: str, long: int = 16) -> list[tuple[str, int, bool]]:
     parts = _BREAK.split(text)
     found = []
     for sentence, gap in zip(parts[::2], [*parts[1::2], "\n"], strict=True):
-        n, last = len(sentence.split()), "\n" in gap
+        of = sentence.split()
+        n, last = len(of), "\n" in gap
         if n > long:
-            starts, sizes = _edges(sentence, long)
+            starts, sizes = _edges(sentence, of, long)
             for a, b, size in zip(starts, starts[1:], sizes, strict=False):
                 found.append((sentence[a:b], size, False))
             found.append((sentence[starts[-1] :] + gap, sizes[-1], last))
