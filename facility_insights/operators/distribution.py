@@ -82,3 +82,39 @@ def kde_curve(df: DataFrame, value: str, grid: int = 100) -> DataFrame:
     g = e.groupBy("point").agg(F.sum(k).alias("_s"))
     return g.select("point", (F.lit(mn) + F.col("point") * F.lit(step)).alias("x"),
                     (F.col("_s") / F.lit(n * h * math.sqrt(2 * math.pi))).alias("density"))
+
+
+#: Cells of a density sketch between a scope's least and greatest value.
+SKETCH_CELLS = 512
+
+
+def density_curves(df: DataFrame, value: str, group: str, grid: int = 100, cells: int = SKETCH_CELLS) -> DataFrame:
+    """(scope, group, point, x, density): the density of the nation and of every group on ``grid`` points each, in one job.
+
+    Each scope's values are first laid on ``cells + 1`` evenly spaced nodes, a value's weight shared by the two beside it in
+    proportion to its nearness. That sketch adds up in any order and is bounded whatever the values; only its nodes meet
+    the grid's points, with a Gaussian of Scott's bandwidth ``h = std(ddof=1) * n^(-1/5)`` (std 0 or one value: 1).
+    With nodes ``d`` apart a density is off by at most ``(d / h)^2 / (8 h sqrt(2 pi))``. A null group is a group of its own.
+    """
+    v = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_group"), F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    both = F.array(F.struct(F.lit("state").alias("scope"), F.col("_group").alias("member")), F.struct(F.lit("national").alias("scope"), F.lit(None).cast(v.schema["_group"].dataType).alias("member")))
+    v = cut_lineage(v.select("x", "c", F.inline(both)).groupBy("scope", "member", "x").agg(F.sum("c").alias("c")))
+    same = lambda a, b: (a["scope"] == b["scope"]) & a["member"].eqNullSafe(b["member"])
+    n, total = F.sum("c"), F.sum(F.col("c") * F.col("x"))
+    square = F.sum(F.col("c") * F.col("x") * F.col("x"))
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(square - total * total / n, n - 1)))
+    stats = v.groupBy("scope", "member").agg(F.min("x").alias("mn"), F.max("x").alias("mx"), n.alias("n"), spread.alias("sd"))
+    sd = F.when(F.coalesce("sd", F.lit(0.0)) < 1e-9, F.lit(1.0)).otherwise(F.col("sd"))
+    stats = stats.select("scope", "member", "mn", "n", ((F.col("mx") - F.col("mn")) / F.lit(cells)).alias("cell"), ((F.col("mx") - F.col("mn")) / F.lit(grid - 1)).alias("step"), (sd * F.pow(F.col("n"), F.lit(-0.2))).alias("h"))
+    stats = cut_lineage(stats)  # a row for each scope
+    a, b = v.alias("a"), stats.alias("b")
+    at = F.when(F.col("cell") > 0, (F.col("x") - F.col("mn")) / F.col("cell")).otherwise(F.lit(0.0))
+    placed = a.join(b, same(v, stats)).select("a.scope", "a.member", "c", at.alias("at"))
+    low = F.floor("at")
+    shares = F.array(F.struct(low.alias("node"), (F.lit(1.0) - (F.col("at") - low)).alias("share")), F.struct((low + 1).alias("node"), (F.col("at") - low).alias("share")))
+    sketch = placed.select("scope", "member", "c", F.inline(shares)).groupBy("scope", "member", "node").agg(F.sum(F.col("c") * F.col("share")).alias("w"))
+    points = stats.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    z = (F.col("point") * F.col("step") - F.col("node") * F.col("cell")) / F.col("h")
+    joined = points.join(sketch, same(points, sketch)).select(points["scope"], points["member"], "point", "mn", "step", "n", "h", (F.col("w") * F.exp(F.lit(-0.5) * z * z)).alias("k"))
+    out = joined.groupBy("scope", "member", "point", "mn", "step", "n", "h").agg(F.sum("k").alias("k"))
+    return out.select("scope", F.col("member").alias(group), "point", (F.col("mn") + F.col("point") * F.col("step")).alias("x"), (F.col("k") / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))

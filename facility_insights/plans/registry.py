@@ -1211,6 +1211,28 @@ def q_kde_curve(spark, sf_dir):
     return r6(distribution.kde_curve(resolved_scores(spark, sf_dir), "y2", 100))
 
 
+def _curves_sql(cells: int = distribution.SKETCH_CELLS) -> str:
+    return Q.with_all(
+        _RESOLVED_CTE + ", v AS (SELECT 'state' AS scope, state, y2 AS x FROM rs WHERE y2 IS NOT NULL UNION ALL SELECT 'national', NULL, y2 FROM rs WHERE y2 IS NOT NULL), "
+        "s0 AS (SELECT scope, state, min(x) AS mn, max(x) AS mx, count(*) AS n, coalesce(stddev_samp(x), 0) AS sd FROM v GROUP BY scope, state), "
+        f"st AS (SELECT scope, state, mn, n, (mx - mn) / {cells}.0 AS cell, (mx - mn) / 99.0 AS step, (CASE WHEN sd < 1e-9 THEN 1.0 ELSE sd END) * pow(n, -0.2) AS h FROM s0), "
+        "p AS (SELECT v.scope, v.state, CASE WHEN cell > 0 THEN (x - mn) / cell ELSE 0 END AS p FROM v JOIN st ON v.scope = st.scope AND v.state IS NOT DISTINCT FROM st.state), "
+        "sk AS (SELECT scope, state, node, sum(share) AS w FROM (SELECT scope, state, floor(p) AS node, 1 - (p - floor(p)) AS share FROM p "
+        "UNION ALL SELECT scope, state, floor(p) + 1, p - floor(p) FROM p) GROUP BY scope, state, node), gp AS (SELECT range AS point FROM range(0, 100))",
+        "SELECT st.scope, st.state, CAST(point AS INTEGER) AS point, (round(mn + point * step, 6) + 0.0) AS x, "
+        "round(sum(w * exp(-0.5 * pow((point * step - node * cell) / h, 2))) / (n * h * sqrt(2 * pi())), 6) AS density "
+        "FROM st JOIN sk ON st.scope = sk.scope AND st.state IS NOT DISTINCT FROM sk.state CROSS JOIN gp GROUP BY st.scope, st.state, point, mn, step, n, h",
+        "features_num",
+        "predictions",
+    )
+
+
+@register("kde_curves", _curves_sql())
+def q_kde_curves(spark, sf_dir):
+    """L3: the nation's and every state's density from binned sketches."""
+    return r6(distribution.density_curves(resolved_scores(spark, sf_dir), "y2", "state"))
+
+
 # Insight model: y1 on the standardised dense features (scaler fitted on the training rows).
 
 _INSIGHT_SQL = (
