@@ -854,7 +854,7 @@ def profile_variable_summary(spark, m: DataFrame, columns, sources, descriptions
 # J. Sampling, transformers, kNN, models
 # --------------------------------------------------------------------------------------------
 
-from ..models import regress  # noqa: E402
+from ..models import leastsquares, regress  # noqa: E402
 from ..models.scaler import NullAwareStandardScaler  # noqa: E402
 from ..operators import knn, sampling  # noqa: E402
 
@@ -1058,8 +1058,7 @@ _TRAIN_SQL = f"sp AS ({_SPLIT_SQL}), tr AS (SELECT * FROM sp WHERE part = 'train
 def q_linear_fit(spark, sf_dir):
     sp = split_table(spark, sf_dir)
     train = sp.where((F.col("part") == "train") & F.col("y1").isNotNull())
-    model = regress.fit_linear(train, _DENSE, "y1")
-    return r6(regress.coefficient_table(spark, model, _DENSE))
+    return r6(leastsquares.coefficient_table(spark, leastsquares.fit(train, _DENSE, "y1")[0]))
 
 
 @register(
