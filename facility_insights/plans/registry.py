@@ -1328,11 +1328,11 @@ from ..models.imputer import KnnImputer  # noqa: E402
 from ..sources.files import export_csv as _export_csv  # noqa: E402
 
 
-def preprocessing(features=_X, key: str = "ccn", *more):
-    """J6: the pipeline scaler -> kNN imputer -> further stages."""
+def preprocessing(features=_X, key: str = "ccn", *more, exclude=()):
+    """J6: the pipeline scaler -> kNN imputer -> further stages; columns in ``exclude`` are not scaled."""
     from pyspark.ml import Pipeline
 
-    return Pipeline(stages=[NullAwareStandardScaler(inputCols=list(features)), KnnImputer(inputCols=list(features), keyCol=key), *more])
+    return Pipeline(stages=[NullAwareStandardScaler(inputCols=list(features), excludeCols=list(exclude)), KnnImputer(inputCols=list(features), keyCol=key), *more])
 
 
 def scale_impute(train: DataFrame, others: DataFrame, features=_X, key: str = "ccn"):
@@ -1348,23 +1348,25 @@ def _train_test(spark, sf_dir, label="y1"):
     return sp.where(F.col("part") == "train"), sp.where(F.col("part") == "test")
 
 
-def _scaled_imputed_sql(select: str, k: int = S.KNN_IMPUTE_K) -> str:
+def _scaled_imputed_sql(select: str, k: int = S.KNN_IMPUTE_K, exclude=()) -> str:
     """Brute force: all rows scaled by the labelled training rows' statistics, gaps from the nearest of those rows."""
     items = " UNION ALL ".join(
         f"SELECT pd.qk, '{c}' AS target, pd.d_{c} AS tv, pd.dist, pd.gk, pd.dk FROM pd JOIN q ON pd.qk = q.ccn WHERE q.{c} IS NULL AND pd.d_{c} IS NOT NULL" for c in _X
     )
-    filled = ", ".join(R(f"coalesce(z.{c}, (SELECT v FROM im WHERE im.qk = z.ccn AND im.target = '{c}'), mu_{c})") + f" AS {c}" for c in _X)
+    raw = {c: f"coalesce(z.{c}, (SELECT v FROM im WHERE im.qk = z.ccn AND im.target = '{c}'), mu_{c})" for c in _X}
+    filled = ", ".join(R(v) + f" AS {c}" for c, v in raw.items())
+    unrounded = ", ".join(f"{v} AS {c}" for c, v in raw.items())
     return Q.with_all(
         _TRAIN_SQL
         + ", st AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in _X) + " FROM tr), "
-        "z AS (SELECT ccn, part, y1, " + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in _X) + " FROM sp CROSS JOIN st), "
+        "z AS (SELECT ccn, part, y1, " + ", ".join(c if c in exclude else f"({c} - m_{c}) / s_{c} AS {c}" for c in _X) + " FROM sp CROSS JOIN st), "
         "zd AS (SELECT * FROM z WHERE part = 'train' AND y1 IS NOT NULL), "
         "q AS (SELECT * FROM z WHERE " + " OR ".join(f"{c} IS NULL" for c in _X) + "), "
         + _knn_pairs_sql(_X, "q", "zd", _X)
         + f", it AS ({items}), rk AS (SELECT *, row_number() OVER (PARTITION BY qk, target ORDER BY dist, gk, dk) AS rn FROM it), "
         f"im AS (SELECT qk, target, avg(tv) AS v FROM rk WHERE rn <= {k} GROUP BY qk, target), "
         "mu AS (SELECT " + ", ".join(f"avg({c}) AS mu_{c}" for c in _X) + " FROM zd)",
-        select.format(filled=filled),
+        select.format(filled=filled, unrounded=unrounded),
         "features_num",
     )
 
@@ -1554,6 +1556,29 @@ def _reloaded(spark, model, name: str):
     return type(model).load(path)
 
 
+_UNSCALED = ["x4"]
+
+
+@register(
+    "knn_regress_pipeline",
+    _scaled_imputed_sql(
+        ", f AS (SELECT z.ccn, z.part, z.y1, {unrounded} FROM z CROSS JOIN mu WHERE z.y1 IS NOT NULL), "
+        "fa AS (SELECT * FROM f WHERE part = 'train'), fe AS (SELECT * FROM f WHERE part = 'test'), "
+        + _knn_pairs_sql(_X, "fe", "fa", [*_X, "y1"]).replace("dg AS", "dg2 AS").replace("JOIN dg d", "JOIN dg2 d").replace("pr AS", "pr2 AS").replace("FROM pr)", "FROM pr2)").replace("pd AS", "pd2 AS")
+        + ", rk2 AS (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY dist, gk, dk) AS rn FROM pd2) "
+        f"SELECT fe.ccn, fe.y1, round((SELECT avg(d_y1) FROM rk2 WHERE rk2.qk = fe.ccn AND rn <= {S.KNN_REGRESS_K}), 6) AS prediction FROM fe",
+        exclude=_UNSCALED,
+    ),
+)
+def q_knn_regress_pipeline(spark, sf_dir):
+    """J10 on all features, scaled but for ``x4`` and imputed by the pipeline that the training rows fitted."""
+    sp = split_table(spark, sf_dir).where(F.col("y1").isNotNull()).select("ccn", "part", "y1", *_X)
+    model = preprocessing(exclude=_UNSCALED).fit(sp.where("part = 'train'"))
+    done = cut_lineage_df(model.transform(sp))
+    train, test = done.where("part = 'train'"), done.where("part = 'test'")
+    return r6(knn.knn_regress(test, train, "ccn", _X, "y1", k=S.KNN_REGRESS_K).select("ccn", "y1", "prediction"))
+
+
 def _regression(features, label: str, stage):
     from pyspark.ml.feature import VectorAssembler
 
