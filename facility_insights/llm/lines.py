@@ -13,7 +13,13 @@ Both texts of a hit are then fetched and their word distance is verified.
 Work is cut before variants are emitted. Equal lines become one row of hashes and their earliest
 place. Then lines of n words with 2^j <= n < 2^(j+1) are hashed by their first and their last 2^(j-1)
 words (at n = 2^j also by half as many): one edit leaves the one or the other as it is, so lines
-that share neither with any other line have no alike line and emit no variant.
+that share neither with any other line have no alike line and emit no variant. A line that shares only its
+first words leaves out later words alone, and one that shares only its last words earlier ones: an edit
+inside a shared end would change it, and a word left out of a run of equal words may as well be the run's outermost.
+
+Variants meet in two steps. How often each hash occurs is a grouped count of the hashes alone; only
+the few variants whose hash occurs again carry their lines' places into the minima. There a line is
+told by a number that grows with its place.
 
 A variant's hash is the exclusive or over its words of a 64-bit hash of word and place, so that all
 variants of a line come from running values, in time proportional to the line. It keeps all 64 bits: a
@@ -83,8 +89,8 @@ def _running(values: Column) -> Column:
     return F.flatten(F.aggregate(starts, none, block, lambda a: a["all"]))
 
 
-def _variants(line: Column) -> Column:
-    """Array of (v, i): the hash without the word at place i, and of the whole line at i = -1."""
+def _variants(line: Column, lo: Column, hi: Column) -> Column:
+    """Array of (v, i): the hash without the word at place i from lo to before hi, and of the whole line at i = -1."""
 
     def hashed(word: Column, place: Column) -> Column:
         return F.xxhash64(word, place)
@@ -104,7 +110,7 @@ def _variants(line: Column) -> Column:
     def out(t: Column) -> Column:
         cut = F.zip_with(t["before"], t["b"], lambda s, b: t["rest"].bitwiseXOR(s).bitwiseXOR(b))
         each = F.transform(cut, lambda v, i: F.struct(v.alias("v"), i.cast("int").alias("i")))
-        return F.concat(F.array(F.struct(t["whole"].alias("v"), F.lit(-1).alias("i"))), each)
+        return F.concat(F.array(F.struct(t["whole"].alias("v"), F.lit(-1).alias("i"))), F.slice(each, lo + 1, hi - lo))
 
     return _let(F.split(line, " "), of)
 
@@ -121,27 +127,43 @@ def _one_edit(a: Column, b: Column) -> Column:
     return _let(F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False), after)
 
 
+def _shared_ends(distinct: DataFrame) -> DataFrame:
+    """(h, g, place, lo, hi) of lines that share an anchor: an edit lies at a word from lo to before hi."""
+    m = F.expr("shiftleft(1, greatest(0, length(bin(words)) - 2))")
+    whole = F.lit(0)
+    ends = []
+    for name, size in (("1", m), ("2", F.shiftright(m, 1))):
+        ends.append(F.struct(F.col(f"first_{name}").alias("k"), size.cast("int").alias("lo"), F.col("words").alias("hi")))
+        ends.append(F.struct(F.col(f"last_{name}").alias("k"), whole.alias("lo"), (F.col("words") - size).cast("int").alias("hi")))
+    keyed = distinct.select("h", "g", "place", F.inline(F.array(*ends))).where("k is not null")
+    shared = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    return keyed.join(shared, "k", "left_semi").groupBy("h", "g", "place").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A checkpointed table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def alike(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     """(h, g) of distinct lines that are alike to an earlier, different line."""
-    anchored = ["first_1", "last_1", "first_2", "last_2"]
-    keyed = distinct.select("h", "g", "place", F.explode(F.array(*anchored)).alias("k")).where("k is not null")
-    shared = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    suspects = cut_lineage(keyed.join(shared, "k", "left_semi").select("h", "g", "place").distinct())
-    side = suspects.select("h", "g", F.col("place").alias("earliest"))
-    if suspects.count() <= SMALL_ROWS:
-        side = F.broadcast(side)
-    held = lines.select(*_hashes(), "place", "line").join(side, ["h", "g"]).where("place = earliest").select("h", "g", "place", "line")
-    held = cut_lineage(held)
-    rows = held.select("place", F.inline(_variants(F.col("line"))))
-    replaced = rows.where("i >= 0").groupBy("v", "i").agg(F.min("place").alias("earliest"), F.count("*").alias("n")).where("n > 1").select("v", "i", "earliest")
-    added = rows.groupBy("v").agg(F.min(F.when(F.col("i") < 0, F.col("place"))).alias("whole"), F.min(F.when(F.col("i") >= 0, F.col("place"))).alias("cut"))
+    suspects = cut_lineage(_shared_ends(distinct))
+    # Hashes tell apart lines at the same place, of rows with equal ids and different texts.
+    held = lines.select("place", "line").join(_small(suspects), "place").where((F.col("h") == _hashes()[0]) & (F.col("g") == _hashes()[1]))
+    # Numbers in the order of places; equal places get different ones and are told apart below.
+    held = cut_lineage(held.select("h", "g", "place", "lo", "hi", "line").distinct().orderBy("place").withColumn("o", F.monotonically_increasing_id()))
+    rows = held.select("o", F.inline(_variants(F.col("line"), F.col("lo"), F.col("hi"))))
+    again = cut_lineage(rows.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v"))
+    rows = cut_lineage(rows.join(_small(again), "v", "left_semi"))
+    replaced = rows.where("i >= 0").groupBy("v", "i").agg(F.min("o").alias("earliest"), F.count("*").alias("n")).where("n > 1").select("v", "i", "earliest")
+    added = rows.groupBy("v").agg(F.min(F.when(F.col("i") < 0, F.col("o"))).alias("whole"), F.min(F.when(F.col("i") >= 0, F.col("o"))).alias("cut"))
     added = added.where("whole is not null and cut is not null")
-    by_replaced = rows.join(replaced, ["v", "i"]).where("earliest < place").select("place", "earliest")
-    by_added = rows.join(added, "v").select("place", F.when(F.col("i") < 0, F.col("cut")).otherwise(F.col("whole")).alias("earliest")).where("earliest < place")
-    hits = by_replaced.unionByName(by_added).groupBy("place").agg(F.min("earliest").alias("earliest"))
-    one = held.select("place", "h", "g", F.col("line").alias("a"))
-    other = held.select(F.col("place").alias("earliest"), F.col("line").alias("b"))
-    verified = hits.join(one, "place").join(other, "earliest").where(_one_edit(F.split("a", " "), F.split("b", " ")))
+    by_replaced = rows.join(replaced, ["v", "i"]).where("earliest < o").select("o", "earliest")
+    by_added = rows.join(added, "v").select("o", F.when(F.col("i") < 0, F.col("cut")).otherwise(F.col("whole")).alias("earliest")).where("earliest < o")
+    hits = by_replaced.unionByName(by_added).distinct()
+    one = held.select("o", "h", "g", "place", F.col("line").alias("a"))
+    other = held.select(F.col("o").alias("earliest"), F.col("place").alias("before"), F.col("line").alias("b"))
+    verified = hits.join(one, "o").join(other, "earliest").where("before < place").where(_one_edit(F.split("a", " "), F.split("b", " ")))
     return verified.select("h", "g").distinct()
 
 
@@ -157,9 +179,9 @@ def dedup(docs: DataFrame, *, least_words: int = 5, id_col: str = "doc_id", text
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     lines = _lines(docs, id_col, text_col)
     n, *anchors = _anchors(least_words)
-    hashed = lines.withColumn("n", n).select(*_hashes(), "place", *anchors)
+    hashed = lines.withColumn("n", n).select(*_hashes(), "place", F.col("n").alias("words"), *anchors)
     names = ["first_1", "last_1", "first_2", "last_2"]
-    distinct = cut_lineage(hashed.groupBy("h", "g").agg(F.min("place").alias("place"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in names]))
+    distinct = cut_lineage(hashed.groupBy("h", "g").agg(F.min("place").alias("place"), F.count("*").alias("n"), F.min("words").alias("words"), *[F.min(c).alias(c) for c in names]))
     near = alike(distinct, lines)
     gone = distinct.join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").where("near or n > 1").select("h", "g", F.col("place").alias("earliest"), F.coalesce("near", F.lit(False)).alias("near"))
     places = lines.select(*_hashes(), "key", "line_no", "place")
