@@ -289,10 +289,48 @@ def test_toxicity_learns_one_text_per_id_whatever_the_order(spark, monkeypatch):
 # -- Substring dedup
 
 
-def plain_substring(docs, sentences, words, long):
+def plain_cut(text, long):
+    """Sentences found character by character: (sentence with its gap, words, whether a line ends)."""
+    parts, at, k = [], 0, 0
+    while k < len(text):
+        if text[k] == "\n" or text[k] in ".!?" and text[k + 1 : k + 2].isspace():
+            line, k = text[k] == "\n", k + 1
+            while k < len(text) and (text[k] == "\n" if line else text[k].isspace()):
+                k += 1
+            parts.append(text[at:k])
+            at = k
+        else:
+            k += 1
+    if at < len(text) or not parts:
+        parts.append(text[at:])
+    out = []
+    for number, part in enumerate(parts):
+        words = list(re.finditer(r"\S+", part))
+        hashes = [xxhash.xxh32_intdigest(w[0]) for w in words]
+        starts, size = [0], 0
+        for k in range(len(words)):
+            size += 1
+            chosen = k > 0 and (hashes[k] ^ hashes[k - 1] >> 5) % max(2, long // 2) == 0
+            if len(words) > long and k < len(words) - 1 and (chosen or size == long):
+                starts.append(words[k + 1].start())
+                size = 0
+        for a, b in zip(starts, [*starts[1:], len(part)]):
+            out.append((part[a:b], sum(a <= w.start() < b for w in words), b == len(part) and ("\n" in part or number == len(parts) - 1)))
+    return out
+
+
+def test_sentences_are_cut_as_by_characters():
+    r = random.Random(23)
+    texts = ["".join(r.choice("ab .!?\n\t\xa0\x1f ") for _ in range(r.randint(0, 120))) for _ in range(3000)] + [t or "" for _, t in ODD] + invented(24)
+    for text in texts:
+        for long in (3, 5, 16):
+            assert substring.cut(text, long) == plain_cut(text, long)
+
+
+def plain_substring(docs, sentences, words, long, every_end=False):
     spans, cuts = collections.defaultdict(list), {}
     for doc, text in docs:
-        pieces = substring.cut(text or "", long)
+        pieces = plain_cut(text or "", long)
         assert "".join(p for p, _, _ in pieces) == (text or "")
         cuts[doc, text] = pieces
         real = [k for k, p in enumerate(pieces) if p[1]]
@@ -300,7 +338,7 @@ def plain_substring(docs, sentences, words, long):
         for a in range(len(real)):
             for b in range(a + 1, len(real) + 1):
                 later = [x for x in range(real[b - 1], (real + [len(pieces)])[b])]
-                line_end = any(pieces[x][2] for x in later)
+                line_end = every_end or any(pieces[x][2] for x in later)
                 if enough(a, b) and (not enough(a, b - 1) or line_end and not enough(a + 1, b)):
                     key = "\n".join(" ".join(pieces[k][0].split()) for k in real[a:b])
                     spans[key].append((doc is None, doc or 0, text or "", real[a], real[b - 1] + 1))
@@ -314,14 +352,18 @@ def plain_substring(docs, sentences, words, long):
     return {(d, t): "".join(p for k, (p, _, _) in enumerate(pieces) if k not in gone[d, t or ""]) if t else t for (d, t), pieces in cuts.items()}
 
 
-def test_substring(spark):
+@pytest.mark.parametrize("every_end", [False, True])
+def test_substring(spark, every_end):
     docs = [(k, t) for k, t in enumerate(invented(21, 80))] + [x for x in ODD if x[0] != 904] + [(950, "word"), (950, "word")]
+    docs += [(951, "\n".join(["a b c d.", "e f g h."] * 5)), (951, "a b c d. e f g h."), (951, "\n".join(["a b c d.", "e f g h."] * 5))]
     df = frame(spark, docs).withColumn("n_removed", F.lit("clash")).withColumn("hash", F.lit(1))
-    found = substring.dedup(df, sentences=2, words=6, long=5).collect()
-    want = plain_substring(set(docs), 2, 6, 5)
+    found = substring.dedup(df, sentences=2, words=6, long=5, every_end=every_end).collect()
+    want = plain_substring(set(docs), 2, 6, 5, every_end)
     assert len(found) == len(docs)
     assert {(r.doc_id, r.text) for r in found} == {(d, t) for (d, _), t in want.items()}
     assert sum(r.n_removed for r in found) > 50
+    counts = {d: sum(n > 0 for _, n, _ in plain_cut(t or "", 5)) for d, t in docs if d not in (None, 951)}
+    assert all(r.n_sentences == counts[r.doc_id] for r in found if r.doc_id in counts)
     assert substring.dedup(df.limit(0)).collect() == []
 
 
