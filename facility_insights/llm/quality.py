@@ -25,9 +25,13 @@ KEPT_BITS = 6
 MEASURES = ("word_length", "symbols", "dup_lines", "repeats")
 #: Below so many documents, a language's and source's quantiles come from its language.
 GROUP_ROWS = 100
-#: The fence stands so many interquartile ranges beyond the quartiles, and at least so far from them.
-FENCE = 6
-LEAST_WIDTH = {"word_length": 250, "symbols": 300, "dup_lines": 5000, "repeats": 2000}
+#: A group's tails begin at these hundredths; a fence stands beyond its tail's begin by the tail's distance from the median.
+LOW, MIDDLE, HIGH = 1, 50, 99
+#: Where values hardly spread, a fence stands so far beyond: some marks in a long text are no outlier.
+MARGIN = {"word_length": 25, "symbols": 50, "dup_lines": 500, "repeats": 100}
+
+
+QUANTILES = ("low_q", "mid_q", "high_q")
 
 
 def _let(value: Column, then) -> Column:
@@ -133,37 +137,38 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "measure", "low").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, measure, rows, q1, q3): the least bucket at which a quarter and three quarters of the rows are reached."""
+def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, measure, rows, low_q, mid_q, high_q): the least bucket at which these hundredths of the rows are reached."""
     group = Window.partitionBy(*keys, "measure")
     so_far = F.sum("n").over(group.orderBy("low"))
     run = sketches.withColumns({"upto": so_far, "rows": F.sum("n").over(group)})
     return run.groupBy(*keys, "measure").agg(
         F.max("rows").alias("rows"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("rows"), F.col("low"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("rows") * 3, F.col("low"))).alias("q3"),
+        *[F.min(F.when(F.col("upto") * 100 >= F.col("rows") * share, F.col("low"))).alias(q) for q, share in zip(QUANTILES, (LOW, MIDDLE, HIGH), strict=True)],
     )
 
 
 def thresholds(rated: DataFrame, least_rows: int = GROUP_ROWS) -> DataFrame:
     """(lang, source, low_<measure>, high_<measure>): the fences of each language and source.
 
-    A group of fewer than ``least_rows`` documents takes its language's quartiles, and a language of
+    A group of fewer than ``least_rows`` documents takes its language's quantiles, and a language of
     fewer takes the corpus's; both come from the merged sketches.
     """
     fine = sketch(rated, ["lang", "source"])
-    by_source = quartiles(fine, ["lang", "source"])
-    by_lang = quartiles(merge(fine, ["lang"]), ["lang"]).select("lang", "measure", *[F.col(c).alias(f"l_{c}") for c in ("rows", "q1", "q3")])
-    corpus = quartiles(merge(fine, []), []).select("measure", F.col("q1").alias("c_q1"), F.col("q3").alias("c_q3"))
+    by_source = quantiles(fine, ["lang", "source"])
+    by_lang = quantiles(merge(fine, ["lang"]), ["lang"]).select("lang", "measure", *[F.col(c).alias(f"l_{c}") for c in ("rows", *QUANTILES)])
+    corpus = quantiles(merge(fine, []), []).select("measure", *[F.col(q).alias(f"c_{q}") for q in QUANTILES])
     chosen = by_source.join(by_lang, ["lang", "measure"]).join(corpus, "measure")
 
     def pick(q: str) -> Column:
         return F.when(F.col("rows") >= least_rows, F.col(q)).when(F.col("l_rows") >= least_rows, F.col(f"l_{q}")).otherwise(F.col(f"c_{q}"))
 
-    width = F.element_at(F.create_map(*[F.lit(x) for pair in LEAST_WIDTH.items() for x in pair]), F.col("measure"))
-    fenced = chosen.select("lang", "source", "measure", pick("q1").alias("q1"), pick("q3").alias("q3"), width.alias("width"))
-    beyond = F.greatest(F.col("width"), FENCE * (F.col("q3") - F.col("q1")))
-    fenced = fenced.select("lang", "source", "measure", (F.col("q1") - beyond).alias("low"), (F.col("q3") + beyond).alias("high"))
+    margin = F.element_at(F.create_map(*[F.lit(x) for pair in MARGIN.items() for x in pair]), F.col("measure"))
+    picked = chosen.select("lang", "source", "measure", margin.alias("margin"), *[pick(q).alias(q) for q in QUANTILES])
+    below = F.greatest(F.col("margin"), F.col("mid_q") - F.col("low_q"))
+    beyond = F.greatest(F.col("margin"), F.col("high_q") - F.col("mid_q"))
+    top = F.col("high_q") + F.shiftright("high_q", KEPT_BITS - 1)  # the bucket's upper bound
+    fenced = picked.select("lang", "source", "measure", (F.col("low_q") - below).alias("low"), (top + beyond).alias("high"))
     return fenced.groupBy("lang", "source").agg(
         *[F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m in MEASURES for side in ("low", "high")]
     )
@@ -172,7 +177,7 @@ def thresholds(rated: DataFrame, least_rows: int = GROUP_ROWS) -> DataFrame:
 def judge(docs: DataFrame, **columns: str) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept), a row for each input row.
 
-    A document is kept if it passes the base rules and lies within its group's fences. Quartiles are
+    A document is kept if it passes the base rules and lies within its group's fences. Quantiles are
     those of all documents that pass the base rules; a group without such a document keeps none.
     Null texts have zeros and fail; repeated rows count and stay; an empty table gives no row; other
     columns of the input are not looked at.

@@ -43,18 +43,18 @@ FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 """
 
 _SPACE = r"\x20\x09-\x0D"
-_WIDTH = " ".join(f"WHEN '{m}' THEN {w}" for m, w in quality.LEAST_WIDTH.items())
+_WIDTH = " ".join(f"WHEN '{m}' THEN {w}" for m, w in quality.MARGIN.items())
 _FENCED = " AND ".join(
-    f"max(CASE WHEN measure = '{m}' THEN x <= q3 + far END)" + (f" AND max(CASE WHEN measure = '{m}' THEN x >= q1 - far END)" if m == quality.MEASURES[0] else "") for m in quality.MEASURES
+    f"max(CASE WHEN measure = '{m}' THEN x <= high_q + high_q // 32 + greatest(margin, high_q - mid_q) END)" + (f" AND max(CASE WHEN measure = '{m}' THEN x >= low_q - greatest(margin, mid_q - low_q) END)" if m == quality.MEASURES[0] else "") for m in quality.MEASURES
 )
 
 
-def _quartiles(name: str, keys: str, source: str) -> str:
+def _quantiles(name: str, keys: str, source: str) -> str:
     by = f"{keys}, " if keys else ""
     return f"""
 {name}_s AS (SELECT {by}measure, low, sum(n) AS n FROM {source} GROUP BY {by}measure, low),
 {name} AS (
-  SELECT {by}measure, max(total) AS total, min(low) FILTER (4 * upto >= total) AS q1, min(low) FILTER (4 * upto >= 3 * total) AS q3
+  SELECT {by}measure, max(total) AS total, {", ".join(f"min(low) FILTER (100 * upto >= {share} * total) AS {q}" for q, share in zip(quality.QUANTILES, (quality.LOW, quality.MIDDLE, quality.HIGH), strict=True))}
   FROM (SELECT *, sum(n) OVER (PARTITION BY {by}measure ORDER BY low) AS upto, sum(n) OVER (PARTITION BY {by}measure) AS total FROM {name}_s)
   GROUP BY {by}measure)"""
 
@@ -82,15 +82,15 @@ x AS (
 k AS (
   SELECT lang, source, measure, (x >> e) << e AS low, count(*) AS n
   FROM (SELECT *, CAST(greatest(0, length(bin(x)) - {quality.KEPT_BITS}) AS BIGINT) AS e FROM x WHERE NOT base_failed) GROUP BY ALL),
-{_quartiles("f", "lang, source", "k")},
-{_quartiles("l", "lang", "k")},
-{_quartiles("c", "", "k")},
+{_quantiles("f", "lang, source", "k")},
+{_quantiles("l", "lang", "k")},
+{_quantiles("c", "", "k")},
 t AS (
-  SELECT f.lang, f.source, f.measure, {_PICK.format(q="q1", n=quality.GROUP_ROWS)}, {_PICK.format(q="q3", n=quality.GROUP_ROWS)}
+  SELECT f.lang, f.source, f.measure, {", ".join(_PICK.format(q=q, n=quality.GROUP_ROWS) for q in quality.QUANTILES)}
   FROM f JOIN l ON f.lang = l.lang AND f.measure = l.measure JOIN c ON f.measure = c.measure),
 v AS (
   SELECT r, {_FENCED} AS inside
-  FROM (SELECT x.*, q1, q3, greatest(CASE measure {_WIDTH} END, {quality.FENCE} * (q3 - q1)) AS far FROM x JOIN t USING (lang, source, measure)) GROUP BY r)
+  FROM (SELECT x.*, {', '.join(quality.QUANTILES)}, CASE measure {_WIDTH} END AS margin FROM x JOIN t USING (lang, source, measure)) GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, false) AS kept
 FROM b LEFT JOIN v USING (r)
 """

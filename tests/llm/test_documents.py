@@ -428,6 +428,32 @@ def test_quality_adapts_to_the_source(spark):
     assert not kept[1000] and kept[1001] and all(kept[k] for k in range(400))
 
 
+def test_each_measure_has_its_own_fence_in_each_group(spark):
+    r = random.Random(27)
+    rows = [(f"s{s}", k, r.randint(400, 450 + 40 * s), r.randint(0, 100 + 300 * s), r.randint(0, 600 + 1000 * s), r.randint(0, 200 + 500 * s)) for s in (0, 1) for k in range(300)]
+    rated = frame(spark, rows, "source string, doc_id long, word_length long, symbols long, dup_lines long, repeats long").withColumn("lang", F.lit("en"))
+    fences = {x.source: x for x in quality.thresholds(rated).collect()}
+    for at, m in enumerate(quality.MEASURES, 2):
+        highs = []
+        for s in ("s0", "s1"):
+            values = sorted(x[at] for x in rows if x[0] == s)
+            exact = values[296] + max(quality.MARGIN[m], values[296] - values[149])
+            highs.append(fences[s][f"high_{m}"])
+            assert exact <= highs[-1] + 2 * values[296] / 32 and highs[-1] <= exact + 3 * values[296] / 32
+        assert highs[0] < highs[1]
+    assert fences["s0"].high_repeats < 2000  # stricter than the base rule
+
+
+def test_repeats_reject_below_the_base_rule(spark):
+    r = random.Random(28)
+    plain = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows = [(k, " ".join(plain(100)), "en", "s", 0) for k in range(300)]
+    again = plain(7)
+    rows.append((1000, " ".join(again + plain(80) + again), "en", "s", 0))  # 14 of 94 words
+    found = {x.doc_id: (x.base_failed, x.kept) for x in quality.judge(frame(spark, rows, DOCS)).collect()}
+    assert found.pop(1000) == (False, False) and set(found.values()) == {(False, True)}
+
+
 def test_sketches_merge_and_bound_their_buckets(spark):
     values = [0, 1, 63, 64, 65, 1000, 1023, 10_000, 123_456_789]
     rows = [("a" if k % 2 else "b", *[v] * 4) for k, v in enumerate(values * 3)]
