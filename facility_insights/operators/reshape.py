@@ -28,7 +28,8 @@ def pivot_measures(
     Pass ``levels`` so Spark skips the distinct-levels job and the plan is stable. A repeated
     (key, code) raises inside the aggregate when the table is computed (the long table must be a
     function of (key, code)). With ``check_unique`` it raises ``DuplicatePivotCell`` at once, by
-    one partial-aggregated count.
+    one partial-aggregated count. Cast values that end as numbers before: text makes Spark sort the
+    long rows for the aggregate, numbers are kept in a hash map.
     """
     if check_unique:
         dup = df.groupBy(key, code).count().where(F.col("count") > 1).limit(1).collect()
@@ -37,7 +38,7 @@ def pivot_measures(
             raise DuplicatePivotCell(f"repeated cell {key}={r[key]!r}, {code}={r[code]!r}")
     g = df.groupBy(key)
     p = g.pivot(code, list(levels)) if levels is not None else g.pivot(code)
-    repeated = F.raise_error(F.lit(f"repeated cell: a {key} has a {code} more than once")).cast("string")
+    repeated = F.raise_error(F.lit(f"repeated cell: a {key} has a {code} more than once")).cast(df.schema[value].dataType)
     return p.agg(F.when(F.count(F.lit(1)) > 1, repeated).otherwise(F.first(value)))
 
 

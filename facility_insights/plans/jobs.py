@@ -16,24 +16,26 @@ from ..operators import clean, features, geo, merge, reshape
 from ..session import cut_lineage
 
 
+def _numeric_scores(long: DataFrame, tokens) -> DataFrame:
+    """(ccn, code, score) with missing tokens -> NULL and numeric scores, so that the pivot is a hash aggregate."""
+    return clean.cast_columns(clean.sentinels_to_null(long.select("ccn", "code", "score"), tokens, columns=["score"]), ["score"], "double")
+
+
 def clean_survey(survey_long: DataFrame, codes=S.SURVEY_CODES) -> DataFrame:
-    """Long survey -> wide (one column per code), tokens -> NULL, numeric, canonical key."""
-    wide = reshape.pivot_measures(survey_long.select("ccn", "code", "score"), "ccn", "code", "score", levels=codes)
-    wide = clean.sentinels_to_null(wide, S.SURVEY_MISSING_TOKENS, columns=codes)
-    wide = clean.cast_columns(wide, codes, "double")
+    """Long survey: tokens -> NULL, numeric, -> wide (one column per code), canonical key."""
+    wide = reshape.pivot_measures(_numeric_scores(survey_long, S.SURVEY_MISSING_TOKENS), "ccn", "code", "score", levels=codes)
     return wide.withColumn("ccn", canonical_key("ccn"))
 
 
 def clean_provider(provider_long: DataFrame, cities: DataFrame, counties: DataFrame, floats=S.PROVIDER_FLOATS) -> DataFrame:
-    """Code filter, pivot, identity join, territory filter, coordinates, tokens, casts, key."""
+    """Code filter, tokens and casts, pivot, identity join, territory filter, coordinates, tokens of the identity, key."""
     kept = clean.filter_not_contains(provider_long, "code", S.DROPPED_CODE_MARK)
-    measures = reshape.pivot_measures(kept.select("ccn", "code", "score"), "ccn", "code", "score", levels=floats)
+    measures = reshape.pivot_measures(_numeric_scores(kept, S.PROVIDER_MISSING_TOKENS), "ccn", "code", "score", levels=floats)
     ids = kept.select(*S.PROVIDER_ID_COLUMNS)
     wide = merge.join_identity_measures(ids, measures, "ccn")
     wide = clean.filter_not_in_keep_null(wide, "state", S.EXCLUDED_STATES)
     wide = merge.geo_lookup_cascade(wide, cities, counties)
     wide = clean.sentinels_to_null(wide, S.PROVIDER_MISSING_TOKENS)
-    wide = clean.cast_columns(wide, floats, "double")
     return wide.withColumn("ccn", canonical_key("ccn"))
 
 
