@@ -1626,3 +1626,6 @@ def q_compare_models(spark, sf_dir):
     cv = _cv_report(spark, sf_dir).withColumns({"report": F.lit("cv"), "split": F.lit(None).cast("int")})
     rs = _resample_report(spark, sf_dir).withColumn("report", F.lit("resample"))
     return r6(cv.unionByName(rs))
+
+
+from . import feature_models  # noqa: E402,F401  (registers the models on the feature table)

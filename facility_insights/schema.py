@@ -120,6 +120,30 @@ FEATURE_LABELS = {
     "x4": "Key Pattern Score",
 }
 
+# Columns of the feature table that the insight model reads, in order, with their labels; the flag is not scaled.
+INSIGHT_LABELS = {
+    "for_profit": "For-Profit",
+    "n_win_60": "Facilities Within 60 mi",
+    "H_001_01_OBSERVED": "Treatment Preferences Observed",
+    "MANAGED_EMO_REL": "Team Met Emotional Needs",
+    "MANAGED_SYMPTOMS": "Team Managed Symptoms",
+    "MANAGED_TRAINING": "Staff Adequately Trained",
+    "H_002_01_OBSERVED": "Beliefs Addressed Observed",
+    "Average_Daily_Census": "Average Daily Census",
+    "Pct_Pts_w_Cancer": "% Patients With Cancer",
+    "days_operation": "Days of Operation",
+    "nurse_visit_ct_pb": "Nurse Visits per Patient",
+    "total_charge_pb": "Total Charge per Patient",
+    "perc_rural": "% Rural Zip",
+}
+INSIGHT_FEATURES = list(INSIGHT_LABELS)
+INSIGHT_UNSCALED = ["for_profit"]
+# What a facility can act on: no ownership, place or neighbourhood.
+ACTIONABLE_FEATURES = [f for f in INSIGHT_FEATURES if f not in ("for_profit", "n_win_60", "perc_rural")]
+INSIGHT_TARGETS = ["would_recommend", "RATING_EST"]
+# The column whose gap marks an entity that only the prediction model scores.
+OBSERVED_COLUMN = "RECOMMEND_BBV"
+
 # Data dictionaries used for the variable catalog (variable -> description), by source.
 SURVEY_BIN_NAMES = {"BBV": "bottom box", "MBV": "middle box", "TBV": "top box"}
 SURVEY_DESCRIPTIONS = {f"{s}_{b}": f"{s.replace('_', ' ').title()} - {n} percent" for s in SURVEY_STEMS for b, n in SURVEY_BIN_NAMES.items()}
