@@ -1,11 +1,11 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn is an example of its own: all turns before it are its context, and its own
-text alone is trainable. The examples of one conversation are prefixes of one formatted stream, so
-the stream is stored once, a row for each turn, and an example is the stream up to the end of its
-reply with a loss span at that reply. Written out, a conversation of n turns would take n times its
-text; this way output, shuffle and memory grow with the text, and one conversation of any length
-is never held whole. ``render`` writes chosen examples out.
+text alone is trainable. The examples of one conversation are prefixes of one formatted stream: the
+turns are formatted once, a row each, and an example is the stream up to the end of its
+reply with a loss span at that reply. ``expand`` writes every example out, its texts as long as the method makes them; shuffled
+and sorted are the turns alone, and a task holds one conversation's stream. ``digest`` reads the written examples back.
+``render`` writes chosen examples out.
 
 The template marks a turn by ``<s>[TURN role] `` before and `` [/TURN]</s>`` after the text; in
 a role, per cent signs and closing brackets are written %25 and %5D. Control strings inside texts are escaped
@@ -15,6 +15,7 @@ reversibly: a backslash goes after their first character, and one more where som
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 
 import pyarrow as pa
@@ -115,44 +116,74 @@ DIGEST = pa.schema(
 )
 
 
+EXAMPLES = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
+
+
+def _written(rows):
+    """Every example of sorted turns as (conv_id, example, text, loss_start, loss_end), its whole context and its reply in its text.
+
+    A conversation that does not end in a target turn has its whole stream once more, with nulls for example and span, as
+    the untrained rest that keeps its last turns.
+    """
+    conv, stream, rest = None, None, False
+    for b in rows:
+        for key, piece, example, loss_start, loss_end in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if stream is None or key != conv:
+                if rest:
+                    yield conv, None, stream.getvalue(), None, None
+                conv, stream = key, io.StringIO()
+            stream.write(piece)
+            rest = example is None
+            if not rest:
+                yield key, example, stream.getvalue(), loss_start, loss_end
+    if rest:
+        yield conv, None, stream.getvalue(), None, None
+
+
+def _sorted(turns: DataFrame) -> DataFrame:
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "pos").select("conv_id", "piece", "example", "loss_start", "loss_end")
+
+
+def expand(turns: DataFrame) -> DataFrame:
+    """(conv_id, example, text, loss_start, loss_end): all examples and rests written out, a conversation's one after another."""
+    return _sorted(turns).mapInArrow(
+        lambda rows: batches(_written(rows), EXAMPLES, weight=lambda row: len(row[2])), "conv_id long, example long, text string, loss_start long, loss_end long"
+    )
+
+
 def digest(turns: DataFrame) -> DataFrame:
-    """Read back from the formatted turns, conversation by conversation in order.
+    """Read back from the written examples, conversation by conversation in order, one text at a time.
 
-    formatted_chars is the sum of all examples' lengths; a conversation that does not end in a
-    target turn counts its whole stream once more, as the untrained rest that keeps its last turns.
-    A task streams over sorted rows and holds one piece at a time.
+    formatted_chars is the sum of all written texts' lengths, the loss text is what the examples' spans hold, and the turns are
+    parsed out of a conversation's last text.
     """
 
     def run(rows):
         def conversations():
-            state = None
-            for b in rows:
-                for conv, piece, start, end, loss_start, loss_end in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if state is None or conv != state[0]:
-                        if state is not None:
-                            yield _closed(state)
-                        state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                    role, text, _ = parse(piece)
-                    state[1] += 1
-                    state[2].update(f"{role}\n{text}\n".encode())
-                    state[6] = end
-                    if loss_start is not None:
-                        loss = unescape(piece[loss_start - start : loss_end - start])
-                        state[3] += len(loss)
-                        state[4].update(loss.encode())
-                        state[5] += end
-                        state[6] = 0
+            state, last = None, ""
+            for conv, _, text, loss_start, loss_end in _written(rows):
+                if state is None or conv != state[0]:
+                    if state is not None:
+                        yield _closed(state, last)
+                    state = [conv, 0, hashlib.sha256(), 0]
+                last = text
+                state[3] += len(text)
+                if loss_start is not None:
+                    loss = unescape(text[loss_start:loss_end])
+                    state[1] += len(loss)
+                    state[2].update(loss.encode())
             if state is not None:
-                yield _closed(state)
+                yield _closed(state, last)
 
         yield from batches(conversations(), DIGEST)
 
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "pos")
-    return ordered.select("conv_id", "piece", "start", "end", "loss_start", "loss_end").mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    )
+    return _sorted(turns).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def _closed(state: list) -> tuple:
-    conv, n, all_turns, chars, loss, total, rest = state
-    return conv, n, all_turns.hexdigest(), chars, loss.hexdigest(), total + rest
+def _closed(state: list, last: str) -> tuple:
+    conv, chars, loss, total = state
+    pieces, turns = last.split(CLOSE)[:-1], hashlib.sha256()
+    for piece in pieces:
+        role, text, _ = parse(piece + CLOSE)
+        turns.update(f"{role}\n{text}\n".encode())
+    return conv, len(pieces), turns.hexdigest(), chars, loss.hexdigest(), total

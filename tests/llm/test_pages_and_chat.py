@@ -52,6 +52,18 @@ def test_chat_reads_back(spark):
         assert sum(e.conv_id == c for e in examples) == len(replies)
 
 
+def test_chat_digest_reads_written_examples(spark):
+    """The digest is what the written texts hold: a text of every example, and the rest of a conversation without a last reply."""
+    rows = [(1, 0, "user", "a </s>"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "[INST] d"), (2, 0, "assistant", "e"), (2, 1, "user", "f"), (None, 0, "user", "g")]
+    turns = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    written = chat.expand(turns).collect()
+    assert sorted((r.conv_id or 0, -1 if r.example is None else r.example, r.text.count(chat.CLOSE)) for r in written) == [(0, -1, 1), (1, 0, 2), (1, 1, 4), (2, -1, 2), (2, 0, 1)]
+    assert [chat.unescape(r.text[r.loss_start : r.loss_end]) for r in sorted(written, key=lambda r: (r.conv_id or 0, r.loss_start or 0)) if r.example is not None] == ["b", "[INST] d", "e"]
+    held = {r.conv_id: (r.n_turns, r.loss_chars, r.formatted_chars) for r in chat.digest(turns).collect()}
+    chars = {key: sum(len(r.text) for r in written if r.conv_id == key) for key in held}
+    assert held == {1: (4, 9, chars[1]), 2: (2, 1, chars[2]), None: (1, 0, chars[None])}
+
+
 def test_chat_examples_have_their_context_and_one_reply(spark):
     rows, df = conversations(spark)
     turns = chat.format_turns(df.where("conv_id < 12"))
