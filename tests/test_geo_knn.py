@@ -203,3 +203,27 @@ def test_knn_of_empty_tables_and_nan(spark):
     assert [r["b"] for r in knn.knn_impute(some, none, "ccn", ["a", "b"]).orderBy("ccn").collect()] == [None, 2.0, 4.0]
     got = {r["ccn"]: (r["a"], r["b"]) for r in knn.knn_impute(some, some, "ccn", ["a", "b"], k=1).collect()}
     assert got == {"x": (1.0, 4.0), "y": (1.5, 2.0), "z": (1.5, 4.0)}
+
+
+def test_layout_by_pattern_keeps_results_and_bounds_copies(spark):
+    """Each pattern's donors have its features alone, at most k of those alike in them; the nearest donors stay the same."""
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.integers(0, 3, 80).astype(float), rng.normal(size=80), rng.normal(size=80)]).round(2)
+    x[:30, 1] = np.nan
+    x[20:50, 2] = np.nan
+    df, names = _frame(spark, x, [f"k{i:04d}" for i in range(80)])
+    donors = knn.prepare_donors(df, "ccn", names, names)
+    need = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(i)) for i, c in enumerate(names)]), lambda i: i.isNotNull())
+    q = df.select(F.col("ccn").alias("qkey"), F.lit("").alias("_g"), *[F.col(c).alias(f"q{j}") for j, c in enumerate(names)], need.alias("_need")).where(F.size("_need") > 0)
+    by_q, by_d = knn._by_pattern(q, donors, 3, 3, 2)
+    patterns = {r["_g"].split("\u0001")[1] for r in by_q.collect()}
+    assert patterns == {"101", "100", "110"}
+    alike = {}
+    for r in by_d.collect():
+        pattern = r["_g"].split("\u0001")[1]
+        assert all(r[f"d{j}"] is None for j in range(3) if pattern[j] == "0")
+        key = (pattern, *[r[f"d{j}"] for j in range(3)], *[r[f"t{j}"] is None for j in range(3)])
+        alike[key] = alike.get(key, 0) + 1
+    assert max(alike.values()) == 2
+    got, want = ({(r.qkey, r.ti): r.value for r in knn._block_search(a, b, 3, 3, 2).collect()} for a, b in ((by_q, by_d), (q, donors)))
+    assert got == pytest.approx(want, abs=1e-12) and len(got) > 50
