@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.sql import functions as F
 
 from facility_insights.models import boosting
 from facility_insights.models.boosting import HistogramBoosting, Settings, grow
@@ -132,3 +133,18 @@ def test_saved_in_a_pipeline_and_empty_fits(spark, rows, tmp_path):
     assert key(model.transform(rows)) == key(loaded.transform(rows))
     assert grow(rows.limit(0), NAMES, "y", rounds=2) == {}
     assert model.transform(rows.limit(0)).collect() == []
+
+
+def test_rows_are_spread_over_free_cores(spark, monkeypatch):
+    """A table below a task's rows still keeps more than one core busy, and a node's cells are one row of each task."""
+    seen = []
+    first_state = boosting._first_state
+
+    def watched(rows, *rest):
+        seen.append(rows.rdd.getNumPartitions())
+        return first_state(rows, *rest)
+
+    monkeypatch.setattr(boosting, "_first_state", watched)
+    df = spark.range(20_000).select((F.col("id") % 97).cast("double").alias("a"), (F.col("id") % 13).cast("double").alias("y"))
+    boosting.grow(df, ["a"], "y", rounds=1)
+    assert seen == [4]
