@@ -148,3 +148,40 @@ def test_rows_are_spread_over_free_cores(spark, monkeypatch):
     df = spark.range(20_000).select((F.col("id") % 97).cast("double").alias("a"), (F.col("id") % 13).cast("double").alias("y"))
     boosting.grow(df, ["a"], "y", rounds=1)
     assert seen == [4]
+
+
+@pytest.mark.parametrize("s", [Settings(rate=0.3, depth=4), Settings(rate=0.2, depth=9, child_weight=2, gamma=0.1, columns=0.7), Settings(rate=0.3, depth=6, leaves=9), Settings(rate=0.3, depth=20, leaves=8, alpha=0.9)])
+def test_trees_of_one_task_are_those_of_jobs(rows, monkeypatch, s):
+    """All trees of all models take one job; the same trees as a job a level gives."""
+    jobs = []
+    one = grow(rows, NAMES, "y", [s], group="g", rounds=4, jobs=jobs)
+    assert sum(jobs) == 1 and len(jobs) == 4
+    monkeypatch.setattr(boosting, "LOCAL_BYTES", 0)
+    many = grow(rows, NAMES, "y", [s], group="g", rounds=4, jobs=(levels := []))
+    assert sum(levels) > 4
+    x, _ = table()
+    for key in ((0, 0), (1, 0)):
+        assert np.allclose(one[key].predict(x), many[key].predict(x), atol=1e-9)
+        assert [len(t["feature"]) for t in one[key].trees] == [len(t["feature"]) for t in many[key].trees]
+        assert one[key].mean == pytest.approx(many[key].mean) and one[key].importances(3) == pytest.approx(many[key].importances(3))
+
+
+def test_splits_of_met_cells_are_those_of_all_cells():
+    r = np.random.default_rng(3)
+    for s in (Settings(), Settings(child_weight=4, gamma=0.3)):
+        slot, width = np.r_[np.arange(40), r.integers(0, 40, 400)], 30
+        keys, grad = slot * width + r.integers(0, width, 440), r.normal(size=440)
+        dense, sparse = (f(keys, grad, 40, width, s) for f in (boosting._dense_splits, boosting._sparse_splits))
+        found = dense[0] > -np.inf
+        assert found.any() and np.array_equal(found, sparse[0] > -np.inf) and np.array_equal(dense[1][found], sparse[1][found])
+        assert all(np.allclose(a[found], b[found]) for a, b in zip(dense, sparse, strict=True)) and np.allclose(dense[4], sparse[4])
+
+
+def test_search_errors_are_those_of_the_models(rows, monkeypatch):
+    members = [Settings(rate=0.3, depth=3), Settings(rate=0.1, depth=5, columns=0.4)]
+    fit, test = rows.where("c < 4"), rows.where("c >= 4")
+    found = []
+    for most in (boosting.LOCAL_BYTES, 0):
+        monkeypatch.setattr(boosting, "LOCAL_BYTES", most)
+        found.append({(r.member, r.g): r.mse for r in boosting.search_errors(fit, test, NAMES, "y", members, "g", rounds=3).collect()})
+    assert found[0] == pytest.approx(found[1]) and len(found[0]) == 4
