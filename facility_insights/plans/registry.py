@@ -1614,7 +1614,7 @@ def q_train_prediction(spark, sf_dir):
     out = unlabelled.select("ccn")
     for y, name in (("y1", "would_recommend"), ("y2", "rating_est")):
         labelled = f.where((F.col("part") == "train") & F.col(y).isNotNull())
-        trees = boosting.HistogramBoosting(featureCols=_X, labelCol=y, predictionCol=name, rounds=S.COMPARE_ROUNDS, settings=settings)
+        trees = boosting.HistogramBoosting(featureCols=_X, labelCol=y, predictionCol=name, settings=settings)
         model = _reloaded(spark, preprocessing(_X, "ccn", trees).fit(labelled), f"prediction_{y}")
         out = out.join(model.transform(unlabelled).select("ccn", name), "ccn")
     return r6(out)
