@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facility_insights import schema as S
-from facility_insights.operators import geo, knn, knn_blocks
+from facility_insights.operators import geo, knn, knn_blocks, knn_local
 
 R = S.EARTH_RADIUS_KM * S.KM_TO_MILES
 
@@ -227,3 +227,42 @@ def test_layout_by_pattern_keeps_results_and_bounds_copies(spark):
     assert max(alike.values()) == 2
     got, want = ({(r.qkey, r.ti): r.value for r in knn._block_search(a, b, 3, 3, 2).collect()} for a, b in ((by_q, by_d), (q, donors)))
     assert got == pytest.approx(want, abs=1e-12) and len(got) > 50
+
+
+@pytest.mark.parametrize("width,lacks", [(3, 0.2), (4, 0.3), (13, 0.1), (13, 0.4)])
+def test_search_in_one_step_equals_brute_force_and_blocks(spark, monkeypatch, width, lacks):
+    """Groups and rows with bounds of their own: few and many patterns, ties, copies, a far row, a scarce feature."""
+    monkeypatch.setattr(knn_local, "FEW", 3)
+    monkeypatch.setattr(knn_local, "LEAF_ROWS", 4)
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(150, width)).round(1)
+    x[rng.random(150) < 0.3, 1] = np.nan
+    x[rng.random(x.shape) < lacks * (rng.random((150, 1)) < 0.5)] = np.nan
+    x[20:40], x[60, 0], x[5:, width - 1] = x[20], 1e6, np.nan
+    keys = [f"k{i:04d}" for i in range(len(x))]
+    donors = ~np.isnan(x)
+    rank = np.argsort(np.argsort(keys))
+    t, w = x.copy(), np.ones(len(x), dtype=np.int64)
+    row, ti, value, weight = knn_local.search(x, ~donors, x, t, w, rank, 5)
+    for r, i, v, n in zip(row, ti, value, weight, strict=True):
+        shared = donors & donors[r]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            dist = np.sqrt(width / shared.sum(axis=1) * np.where(shared, (x - x[r]) ** 2, 0.0).sum(axis=1))
+        near = sorted((dist[j], j) for j in range(len(x)) if donors[j, i] and shared[j].any())[:5]
+        assert n == len(near) and v == pytest.approx(np.mean([x[j, i] for _, j in near]), abs=1e-9)
+    assert set(zip(row, ti, strict=True)) == {(r, i) for r, i in zip(*np.nonzero(~donors), strict=True) if donors[r].any() and (donors[:, i] & (donors & donors[r]).any(axis=1)).any()}
+
+
+def test_search_in_one_step_takes_each_group_and_weight(spark, monkeypatch):
+    """Shares, groups without donors and weights: the same as by blocks."""
+    rng = np.random.default_rng(2)
+    rows = [(int(k % 4), f"k{k:03d}", *[None if rng.random() < 0.3 else float(rng.integers(0, 4)) for _ in range(3)]) for k in range(200)]
+    df = spark.createDataFrame(rows, "g int, ccn string, a double, b double, c double")
+    fit, found = df.where("g < 3"), []
+    monkeypatch.setattr(knn_local, "SHARE_ROWS", 10)
+    for most in (knn_local.LOCAL_BYTES, 0):
+        monkeypatch.setattr(knn_local, "LOCAL_BYTES", most)
+        out = knn.knn_impute(df, fit, "ccn", ["a", "b", "c"], group="g")
+        found.append({(r.g, r.ccn): (r.a, r.b, r.c) for r in out.collect()})
+    assert found[0].keys() == found[1].keys() and len(found[0]) == 200
+    assert all(found[0][key] == pytest.approx(found[1][key], abs=1e-9) for key in found[0])
