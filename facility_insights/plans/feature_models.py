@@ -2,13 +2,14 @@
 
 The feature table is written once to the shared folder with the columns the models read. For each target one
 pipeline of scaler, imputer and least squares is fitted on the labelled rows, saved and read again; coefficients,
-contributions and recommendations come from the model that was read. Entities without survey answers are left to
+contributions and recommendations come from the model that was read. Where entities' rows are shown too, labelled and
+observed rows are imputed together, once. Entities without survey answers are left to
 the prediction model. The SQL does the same by all-pairs distances and Gram-Schmidt.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
@@ -37,9 +38,21 @@ def _table(spark, sf_dir: str) -> DataFrame:
 def fit_insight(spark, table: DataFrame, target: str) -> PipelineModel:
     """Scaler (flag left as it is), imputer and least squares fitted on all labelled rows; saved, then read."""
     rows = table.where(F.col(target).isNotNull()).select("ccn", *_F, target)
-    linear = LinearRegression(featuresCol="features", labelCol=target, solver="normal", standardization=False)
-    stages = [VectorAssembler(inputCols=_F, outputCol="features"), linear]
-    return reg._reloaded(spark, reg.preprocessing(_F, "ccn", *stages, exclude=S.INSIGHT_UNSCALED).fit(rows), f"insight_{target}")
+    return reg._reloaded(spark, reg.preprocessing(_F, "ccn", *_least_squares(target), exclude=S.INSIGHT_UNSCALED).fit(rows), f"insight_{target}")
+
+
+def _least_squares(target: str) -> list:
+    return [VectorAssembler(inputCols=_F, outputCol="features"), LinearRegression(featuresCol="features", labelCol=target, solver="normal", standardization=False)]
+
+
+def fit_and_fill(spark, table: DataFrame, target: str) -> tuple[PipelineModel, DataFrame]:
+    """The same pipeline, and the labelled and the observed rows as its scaler and imputer, read again, give them: each row is imputed once."""
+    rows = table.select("ccn", *_F, target, S.OBSERVED_COLUMN).where(F.col(target).isNotNull() | F.col(S.OBSERVED_COLUMN).isNotNull())
+    labelled = F.col(target).isNotNull()
+    first = reg._reloaded(spark, reg.preprocessing(_F, "ccn", exclude=S.INSIGHT_UNSCALED).fit(rows.where(labelled)), f"insight_rows_{target}")
+    filled = reg.cut_lineage_df(first.transform(rows))
+    last = Pipeline(stages=_least_squares(target)).fit(filled.where(labelled))
+    return reg._reloaded(spark, PipelineModel([*first.stages, *last.stages]), f"insight_{target}"), filled
 
 
 def _coefficients(spark, model: PipelineModel) -> dict[str, float]:
@@ -56,11 +69,10 @@ def _for_targets(one, spark, table: DataFrame) -> DataFrame:
 
 def explained(spark, table: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
     """K3 of the observed entities, and (ccn, predicted, actual): from the same scaled and imputed rows."""
-    model = fit_insight(spark, table, target)
+    model, filled = fit_and_fill(spark, table, target)
     scaler = model.stages[0]
     coefs = _coefficients(spark, model)
-    entities = table.where(F.col(S.OBSERVED_COLUMN).isNotNull()).select("ccn", *_F, F.col(target).alias("actual"))
-    z = reg.cut_lineage_df(PipelineModel(model.stages[:2]).transform(entities))
+    z = filled.where(F.col(S.OBSERVED_COLUMN).isNotNull()).select("ccn", *_F, F.col(target).alias("actual"))
     fitted = scaler.params_of()
     unscaled = {f: F.col(f) * fitted[f][1] + fitted[f][0] if f in fitted else F.col(f).cast("double") for f in _F}
     rows = z.withColumns({f"_raw_{f}": v for f, v in unscaled.items()})

@@ -45,3 +45,13 @@ def test_coefficients_are_the_least_squares_ones(explained):
     best = np.linalg.lstsq(design, predicted.loc[z.index, "actual"].to_numpy(float), rcond=None)[0]
     found = contrib.groupby("feature")["coefficient"].first()[S.INSIGHT_FEATURES]
     assert found.to_numpy() == pytest.approx(best[1:], abs=1e-8)
+
+
+def test_rows_are_imputed_once(spark, table, monkeypatch):
+    """Labelled and observed rows go through one neighbour search for each target."""
+    from facility_insights.operators import knn
+
+    searches, search = [], knn.knn_target_means
+    monkeypatch.setattr(knn, "knn_target_means", lambda *a, **b: searches.append(1) or search(*a, **b))
+    feature_models.explained(spark, table, "would_recommend")[1].count()
+    assert len(searches) == 1
