@@ -266,3 +266,17 @@ def test_search_in_one_step_takes_each_group_and_weight(spark, monkeypatch):
         found.append({(r.g, r.ccn): (r.a, r.b, r.c) for r in out.collect()})
     assert found[0].keys() == found[1].keys() and len(found[0]) == 200
     assert all(found[0][key] == pytest.approx(found[1][key], abs=1e-9) for key in found[0])
+
+
+def test_rows_of_one_key_share_their_donors(spark, monkeypatch):
+    """Repeated query keys give one value each, the same in one step as by blocks."""
+    rng = np.random.default_rng(4)
+    rows = [(f"k{k % 50:02d}", *[None if rng.random() < 0.3 else float(rng.integers(0, 9)) for _ in range(2)], float(k)) for k in range(60)]
+    df = spark.createDataFrame(rows, "ccn string, a double, b double, y double")
+    found = []
+    for most in (knn_local.LOCAL_BYTES, 0):
+        monkeypatch.setattr(knn_local, "LOCAL_BYTES", most)
+        out = knn.knn_target_means(df, df, "ccn", ["a", "b"], ["y"], None, 7).collect()
+        found.append({r.ccn: (r.value, r.n_donors) for r in out})
+        assert len(out) == len(found[-1])
+    assert found[0].keys() == found[1].keys() and all(found[0][key] == pytest.approx(found[1][key]) for key in found[0])
